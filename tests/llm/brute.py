@@ -28,3 +28,27 @@ def substring(rows, window=50):
                 gone.update(range(p, p + window))
         out.append((i, len(w), len(gone), sha(" ".join(x for p, x in enumerate(w) if p not in gone))))
     return out
+
+
+def near(rows, size=5, over=75, under=100):
+    """rows: (doc_id, text); (doc_id, n_shingles, component_id, kept) of each."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(lower))
+        sets.append({tuple(w[p : p + size]) for p in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    up = {i: i for i, _ in rows if i is not None}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows[:a]):
+            if i is not None and j is not None and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if under * both >= over * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((top(i), top(j)))
+                    up[y] = x
+    return [(i, len(s), top(i) if i is not None and s else i, True if i is None else (top(i) if s else i) == i) for (i, _), s in zip(rows, sets, strict=True)]
