@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 LAST_ID = 2**63 - 1
 
 #: Bytes of text that a kernel works on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _own: list[str] = []
 
