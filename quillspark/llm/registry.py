@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .minhash import near_duplicates
+from .quality import classified
+from .rules import apply_rules, labelled_statistics, learn
 from .substring import remove_repeated_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +25,22 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = apply_rules(docs, learn(labelled_statistics(docs, table(spark, sf_dir, "labels"))))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_substring_dedup": op3_substring_dedup,
         "op4_minhash_dedup": op4_minhash_dedup,
+        "op6_quality_rules": op6_quality_rules,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
