@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .minhash import near_duplicates
+from .packing import packed
 from .quality import classified
 from .rules import apply_rules, labelled_statistics, learn
 from .substring import remove_repeated_spans
@@ -31,6 +32,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +45,7 @@ def queries() -> dict[str, Query]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op8_packing": op8_packing,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
