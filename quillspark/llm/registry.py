@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat
 from .common import table
 from .minhash import near_duplicates
 from .packing import packed
@@ -36,6 +37,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +51,7 @@ def queries() -> dict[str, Query]:
         "op4_minhash_dedup": op4_minhash_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op8_packing": op8_packing,
+        "op9_chat_formatting": op9_chat_formatting,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
