@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, mixing
 from .common import table
 from .minhash import near_duplicates
 from .packing import packed
@@ -18,6 +18,10 @@ from .substring import remove_repeated_spans
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated_spans(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
@@ -47,6 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_source_mixing": op1_source_mixing,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op6_quality_rules": op6_quality_rules,
@@ -57,4 +62,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_source_mixing": mixing.ORACLE,
+    }
