@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, mixing
+from .ann import nearest
 from .common import table
 from .minhash import near_duplicates
 from .packing import packed
@@ -22,6 +23,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated_spans(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
@@ -52,6 +57,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": op1_source_mixing,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op6_quality_rules": op6_quality_rules,
