@@ -8,9 +8,9 @@ share of equal coordinates is concentrated about the Jaccard similarity as for t
 1. Texts with equal shingle sets form a class, represented by its smallest id.
 2. Representatives whose sketches agree in a band share a bucket. Buckets with the same members count once.
 3. Each member is confirmed against its bucket's smallest member on the full sets.
-4. Buckets whose members still lie in several components are searched again, in blocks: each member
-   proposes its most similar partner of another component, until that links nothing more; then every
-   remaining pair across components whose sketches don't rule out the threshold is confirmed.
+4. Buckets whose members still lie in several components are searched again, in blocks: every pair across
+   components that the sketches don't rule out is confirmed there on the full sets, in the first bucket
+   that it shares, and only links leave the block.
 5. Components come from star contraction.
 
 So no bucket is expanded into all its pairs, and none is capped. With the defaults a pair at the threshold
@@ -37,10 +37,11 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 BANDS, BAND_ROWS = 40, 4
 BLOCK = 512
+BLOCK_BYTES = 4 << 20
 
 U = np.uint64
 EMPTY = U(2**64 - 1)
-_SKETCHES = "did long, th long, n long, set_a long, set_b long, bands array<long>, sketch binary"
+_SKETCHES = "did long, th long, n long, n_bytes long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -110,12 +111,13 @@ def sketched(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                         pa.array(did[low:high]),
                         pa.array(th[low:high]),
                         pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(np.diff(offsets)),
                         pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                         pa.array(np.array([K.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                         lists,
                         pa.array([s.tobytes() for s in short], pa.binary()),
                     ],
-                    names=["did", "th", "n", "set_a", "set_b", "bands", "sketch"],
+                    names=["did", "th", "n", "n_bytes", "set_a", "set_b", "bands", "sketch"],
                 )
 
     return texts.mapInArrow(run, _SKETCHES)
@@ -149,33 +151,56 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: tuple[in
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, coordinates: int, threshold: tuple[int, int], best: bool) -> DataFrame:
-    """Pairs of one bucket and different components, from blocks of members compared by their sketches."""
-    share = threshold[0] / threshold[1]
+def _across(members: DataFrame, size: int, coordinates: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links between members of one bucket that lie in different components, confirmed on the full sets.
+
+    A pair is looked at in the first bucket that it shares, if its sketches don't rule it out; links found
+    join the components at hand, so that a block gives fewer links than it has members."""
+    over, under = threshold
+    share = over / under
     least = coordinates * share - 4.5 * (coordinates * share * (1 - share)) ** 0.5
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        did, comp, block = (table.column(n).to_numpy() for n in ("did", "comp", "block"))
+        low, high, band = key[1].as_py(), key[2].as_py(), table.column("band")[0].as_py()
+        table = table.sort_by([("did", "ascending"), ("block", "ascending")]).combine_chunks()
+        did, comp, block, lo = (table.column(n).to_numpy() for n in ("did", "comp", "block", "lo"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(did), coordinates)
-        left = np.flatnonzero(block == key[1].as_py())
-        right = np.flatnonzero(block == key[2].as_py())
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(did), -1)
+        sets: dict[int, np.ndarray] = {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                text = table.column("text")[i].as_py().encode()
+                sets[i] = shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), size)[0]
+            return sets[i]
+
+        comp = np.unique(comp, return_inverse=True)[1]
         one, two = [], []
-        for i in left.tolist():
+        right = np.flatnonzero((block == high) & (did != lo))
+        for i in np.flatnonzero((block == low) & (did != lo)).tolist():
             other = right[comp[right] != comp[i]]
-            if key[1].as_py() == key[2].as_py() and not best:
+            if low == high:
                 other = other[other > i]
             if len(other):
                 same = (sketch[other] == sketch[i]).sum(axis=1)
-                pick = [int(same.argmax())] if best else np.flatnonzero(same >= least)
-                pick = [p for p in pick if same[p] >= least]
-                one += [did[i]] * len(pick)
-                two += did[other[pick]].tolist() if len(pick) else []
-        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
-
-    blocks = members.withColumn("of", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("did"), "of").cast("int"))
+                other, same = other[same >= least], same[same >= least]
+            if len(other):
+                first = (bands[other] == bands[i]).argmax(axis=1) == band
+                other = other[first][np.argsort(-same[first], kind="stable")]
+            for j in other.tolist():
+                if comp[i] == comp[j]:
+                    continue
+                both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                if both and under * both >= over * (len(of(i)) + len(of(j)) - both):
+                    one.append(did[i])
+                    two.append(did[j])
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array(np.maximum(one, two), pa.int64()), "b": pa.array(np.minimum(one, two), pa.int64())})
+
+    blocks = members.withColumn("of", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("block", F.pmod(F.xxhash64("did"), "of").cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "did", "comp", "block", "sketch")
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "lo", "did", "comp", "block", "bands", "sketch", "text")
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -187,59 +212,45 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, class_id, n_links``, a row for each row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, class_id``, a row for each row of ``docs``.
 
-    class_id: smallest id with the same shingle set; n_links: confirmed links of the class."""
+    class_id: smallest id with the same shingle set."""
     texts = keyed(docs, id_col, text_col)
     made = stored(sketched(texts, size, bands, rows), "sketches")
-    real = made.filter((F.col("n") > 0) & (F.col("did") != LAST_ID))
-    classes = stored(real.groupBy("n", "set_a", "set_b").agg(F.min(F.struct("did", "th")).alias("first")).select("n", "set_a", "set_b", F.col("first.did").alias("rep"), F.col("first.th").alias("rep_th")), "classes")
-    reps = real.join(classes.select(F.col("rep").alias("did"), F.col("rep_th").alias("th")), ["did", "th"], "left_semi").dropDuplicates(["did", "th"])
-    banded = reps.select("did", F.explode("bands").alias("key"))
+    real = made.filter((F.col("n") > 0) & (F.col("did") != LAST_ID)).select("did", "th", "n", "set_a", "set_b")
+    classes = real.groupBy("n", "set_a", "set_b").agg(F.min(F.struct("did", "th")).alias("first"))
+    classes = stored(classes.select("n", "set_a", "set_b", F.col("first.did").alias("rep"), F.col("first.th").alias("rep_th")), "classes")
+    first = classes.select(F.col("rep").alias("did"), F.col("rep_th").alias("th"))
+    reps = stored(made.join(first, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).select("did", "th", "n_bytes", "bands", "sketch"), "representatives")
+    banded = reps.select("did", "n_bytes", F.posexplode("bands").alias("band", "key"))
+    # Of buckets with the same members, that of the first band stays.
     buckets = (
         banded.groupBy("key")
-        .agg(F.count("*").alias("size"), F.min("did").alias("lo"), F.bit_xor(F.xxhash64("did")).alias("who"))
+        .agg(F.count("*").alias("size"), F.min("did").alias("lo"), F.bit_xor(F.xxhash64("did")).alias("who"), F.sum("n_bytes").alias("bytes"), F.min("band").alias("band"))
         .filter("size > 1")
         .groupBy("size", "lo", "who")
-        .agg(F.min("key").alias("key"))
-        .select("key", "size", "lo")
+        .agg(F.min(F.struct("band", "key")).alias("one"), F.max("bytes").alias("bytes"))
+        .select("one.key", "one.band", "size", "lo", "bytes")
     )
-    members = stored(banded.join(buckets, "key"), "buckets")
-    rep_texts = texts.join(reps.select("did", "th"), ["did", "th"], "left_semi").dropDuplicates(["did"]).select("did", "text")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("did")).unionByName(pairs.select(F.col("b").alias("did"))).distinct()
-        return stored(confirmed(pairs, rep_texts.join(wanted, "did", "left_semi"), size, threshold), "links")
+    members = stored(banded.select("did", "key").join(buckets, "key"), "buckets")
+    wanted = reps.join(members.select("did").distinct(), "did", "left_semi").select("did", "th")
+    candidates = stored(texts.join(wanted, ["did", "th"], "left_semi").dropDuplicates(["did"]).select("did", "text"), "candidates")
 
     # Rows that share an id are one document: its classes hang together.
-    shared = real.join(classes, ["n", "set_a", "set_b"]).filter("did != rep").groupBy("did").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1"))
-    joined = shared.select(F.col("did").alias("a"), F.col("r0").alias("b")).unionByName(shared.filter("r0 < r1").select(F.col("did").alias("a"), F.col("r1").alias("b")))
-    tried = stored(members.filter("did > lo").select(F.col("did").alias("a"), F.col("lo").alias("b")).distinct(), "tried")
-    edges = links(tried)
-    crowded = members.filter("size > 2").select("key", "size", "did")
-    best = True
+    shared = real.join(classes, ["n", "set_a", "set_b"]).groupBy("did").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 < r1 or did < r0")
+    joined = shared.select(F.col("did").alias("a"), F.col("r0").alias("b")).unionByName(shared.select(F.col("did").alias("a"), F.col("r1").alias("b"))).filter("a != b")
+    tried = members.filter("did > lo").select(F.col("did").alias("a"), F.col("lo").alias("b")).distinct()
+    edges = stored(confirmed(tried, candidates, size, threshold), "links")
     found = components(edges)
-    while True:
-        split = crowded.join(found.withColumnRenamed("node", "did"), "did", "left").withColumn("comp", F.coalesce("component", "did")).drop("component")
-        mixed = split.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-        unsettled = split.join(mixed, "key", "left_semi").join(reps.select("did", "sketch").dropDuplicates(["did"]), "did")
-        pairs = stored(_across(unsettled, bands * rows, threshold, best).join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = links(pairs)
-        tried = tried.unionByName(pairs)
-        edges = edges.unionByName(new)
-        any_new = not new.isEmpty()
-        if any_new:
-            found = components(edges)
-        if not best:
-            break
-        best = any_new
-    edges = edges.unionByName(joined)
+    split = members.filter("size > 2").join(found.withColumnRenamed("node", "did"), "did", "left").withColumn("comp", F.coalesce("component", "did")).drop("component")
+    mixed = split.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
+    unsettled = split.join(mixed, "key", "left_semi").join(reps.select("did", "bands", "sketch").dropDuplicates(["did"]), "did").join(candidates, "did")
+    new = stored(_across(unsettled, size, bands * rows, threshold), "more-links")
+    edges = edges.unionByName(new).unionByName(joined)
     found = components(edges)
-    degree = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     labelled = (
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(degree.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("n", "set_a", "set_b", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("n", "set_a", "set_b", "rep", F.coalesce("component", "rep").alias("component"))
     )
     rows_ = made.select("did", "n", "set_a", "set_b").join(labelled, ["n", "set_a", "set_b"], "left")
     takes_part = (F.col("n") > 0) & (F.col("did") != LAST_ID)
@@ -250,5 +261,4 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("did") == component, F.lit(True)).alias("kept"),
         F.when(takes_part, F.col("rep")).otherwise(id_back(F.col("did"))).alias("class_id"),
-        F.when(takes_part, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
