@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import chat, mixing
 from .ann import nearest
 from .common import table
+from .lines import remove_shared_blocks
 from .minhash import near_duplicates
 from .packing import packed
 from .quality import classified
@@ -36,6 +37,11 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_shared_blocks(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_blocks", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = apply_rules(docs, learn(labelled_statistics(docs, table(spark, sf_dir, "labels"))))
@@ -60,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_minhash_dedup": op4_minhash_dedup,
+        "op5_line_dedup": op5_line_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op8_packing": op8_packing,
         "op9_chat_formatting": op9_chat_formatting,
