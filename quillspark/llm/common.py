@@ -45,15 +45,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``did`` (null ids last), ``th`` (hash of the text, so that rows sharing an id stay apart), ``text``.
 
-    Only the two named columns are read, so extra columns can't clash."""
+    Only the two named columns are read, so extra columns can't clash; ``carry`` adds the columns other
+    than the text in a struct ``row``."""
     text = docs[text_col]
+    rest = [F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")] if carry else []
     return docs.select(
         F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("did"),
         F.xxhash64(text).alias("th"),
         F.coalesce(text, F.lit("")).alias("text"),
+        *rest,
     )
 
 

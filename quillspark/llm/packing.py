@@ -19,12 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 2048
 GROUP_DOCS = 2048
 END_ID = 1
+#: More than a group has sequences.
+SEQUENCES = 1 << 24
 VOCABULARY = "byte_bpe_50k"
 
 _ENCODER: dict[str, object] = {}
@@ -45,27 +47,22 @@ def encoder(vocabulary: str = VOCABULARY):
     return _ENCODER[vocabulary].encode_ordinary
 
 
-def tokenised(docs: DataFrame, vocabulary: str, size: int, id_col: str, text_col: str, keep_ids: bool = False) -> DataFrame:
-    """One row a document: id, token count with the end mark, and each cut's checksum.
-
-    The rest is what the last incomplete sequence holds; ``ids`` (uint32 bytes) only on request."""
-    schema = "doc_id long, th long, n long, crcs array<long>" + (", ids binary" if keep_ids else "")
+def tokenised(docs: DataFrame, vocabulary: str, size: int, id_col: str, text_col: str, group: Column) -> DataFrame:
+    """One row a document: id, token count with the end mark, and the checksum of each cut of its ids."""
+    schema = "doc_id long, th long, group long, n long, crcs array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
-            counts, crcs, kept = [], [], []
-            for text in batch.column(2):
+            counts, crcs = [], []
+            for text in batch.column(3):
                 ids = np.array([*encode(text.as_py() or ""), END_ID], np.dtype("<u4"))
                 counts.append(len(ids))
                 crcs.append([zlib.crc32(ids[a : a + size].tobytes()) for a in range(0, len(ids), size)])
-                if keep_ids:
-                    kept.append(ids.tobytes())
-            columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
-            names = ["doc_id", "th", "n", "crcs"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
+            columns = [*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "group", "n", "crcs"])
 
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("th"), group.cast("long").alias("group"), docs[text_col].alias("text"))
     return texts.mapInArrow(run, schema)
 
 
@@ -111,11 +108,15 @@ def packed(
     vocabulary: str = VOCABULARY,
     id_col: str = "doc_id",
     text_col: str = "text",
+    group: Column | None = None,
 ) -> DataFrame:
-    """A row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length``."""
-    made = tokenised(docs, vocabulary, size, id_col, text_col)
-    groups = max(1, -(-docs.count() // group_docs))
-    dealt = made.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "th"), F.lit(groups)))
+    """A row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length``.
+
+    group: a number below 2**39 for each row, where the documents come shuffled already; else a hash deals them."""
+    if group is None:
+        groups = max(1, -(-docs.count() // group_docs))
+        group = F.pmod(F.xxhash64(F.lit(seed), docs[id_col].cast("long"), docs[text_col]), F.lit(groups))
+    dealt = tokenised(docs, vocabulary, size, id_col, text_col, group)
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         group = key[0].as_py()
@@ -146,7 +147,7 @@ def packed(
                 "length": pa.array(out["length"], pa.int64()),
                 "ids_crc32": pa.array(out["ids_crc32"], pa.int64()),
                 "doc_tokens": rows.column("n").take(row),
-                "sequence_id": pa.array(bins * groups + group),
+                "sequence_id": pa.array(group * SEQUENCES + bins),
                 "offset": pa.array(out["offset"], pa.int64()),
                 "sequence_length": pa.array(filled[bins]),
             }

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .common import utf8_parts
@@ -220,6 +221,22 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def scored_rows(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``row`` (all columns of docs, as a struct) and ``score``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full(batch.num_rows, 0.5)
+            if model is not None:
+                for low, high, data, offsets in utf8_parts(batch.column(0).field(at)):
+                    out[low:high] = model.score(features(data, offsets))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["row", "score"])
+
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).mapInArrow(run, schema)
+
+
 def classified(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of docs."""
     out = scored(docs, fit_on(docs, labels, fit_rows))
