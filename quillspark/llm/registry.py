@@ -16,6 +16,7 @@ from .packing import packed
 from .quality import classified
 from .rules import apply_rules, labelled_statistics, learn
 from .substring import remove_repeated_spans
+from .suffix import remove_repeated_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["length"])
+    return kept.select("doc_id", "n_bytes", F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -68,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_packing": op8_packing,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_quality_classifier": op10_quality_classifier,

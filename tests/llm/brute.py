@@ -52,3 +52,20 @@ def near(rows, size=5, over=75, under=100):
                     x, y = sorted((top(i), top(j)))
                     up[y] = x
     return [(i, len(s), top(i) if i is not None and s else i, True if i is None else (top(i) if s else i) == i) for (i, _), s in zip(rows, sets, strict=True)]
+
+
+def byte_repeats(rows, window=200):
+    """rows: (doc_id, text); (doc_id, n_bytes, n_removed, n_spans, sha) of each."""
+    texts = [(t or "").encode() for _, t in rows]
+    times = {}
+    for t in texts:
+        for p in range(len(t) - window + 1):
+            times[t[p : p + window]] = times.get(t[p : p + window], 0) + 1
+    out = []
+    for (i, _), t in zip(rows, texts, strict=True):
+        gone = bytearray(len(t))
+        for p in range(len(t) - window + 1):
+            if times[t[p : p + window]] > 1:
+                gone[p : p + window] = b"\1" * window
+        out.append((i, len(t), sum(gone), sum(1 for p in range(len(t)) if gone[p] and (p == 0 or not gone[p - 1])), sha(bytes(b for b, g in zip(t, gone, strict=True) if not g))))
+    return out
