@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
+from . import core
 
-def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+MODULES = ["relational"]
+for _name in MODULES:
+    __import__(f"{__package__}.{_name}")
 
 
-FLAGSHIP: Query = _flagship
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch retrieval of every benchmark item."""
+    return core.QUERIES["r25_search"](spark, sf_dir)
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, core.Query]:
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.ORACLES)
