@@ -1,31 +1,36 @@
 """Containment joins: which texts hold which passages, without comparing every pair.
 
-A passage that is contained whole brings along every ``gram`` characters of it. Each passage is keyed by
-one of its grams, the one that hashes least among those starting on its own characters; the texts are cut
-into grams and joined on the key; what meets is checked in full. Passages shorter than a gram are few
-by nature and are checked against all texts, behind a broadcast of bounded size."""
+The inner words of a contained passage (all but its first and last, which may be cut) stand whole in the
+text. Each passage is keyed by the three-word run among them that hashes least; the texts' runs are joined on
+that key, and what meets is checked in full. Passages with too few words are checked against all texts,
+behind a broadcast whose size is checked, or by a plain join beyond it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 16
+RUN = 3
 SHORT_LIMIT = 1000
 
 
-def contained_in(passages: DataFrame, pid: str, ptext: str, texts: DataFrame, tid: str, ttext: str, gram: int = GRAM) -> DataFrame:
+def _runs(words: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - RUN, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(RUN)]))
+
+
+def contained_in(passages: DataFrame, pid: str, ptext: str, texts: DataFrame, tid: str, ttext: str) -> DataFrame:
     """``pid, tid`` for each passage that a text contains; empty passages are contained in every text.
 
     Null passages and texts hold nothing."""
-    p = passages.select(F.col(pid), F.col(ptext).alias("_p")).filter("_p is not null")
+    p = passages.select(F.col(pid), F.col(ptext).alias("_p")).filter("_p is not null").withColumn("_w", F.split("_p", r"\s+"))
     t = texts.select(F.col(tid), F.col(ttext).alias("_t")).filter("_t is not null")
-    cut = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(gram))))
-    long = p.filter(F.length("_p") >= gram).select(pid, "_p", F.array_min(cut("_p")).alias("_g"))
-    grams = t.filter(F.length("_t") >= gram).select(tid, F.explode(F.array_distinct(cut("_t"))).alias("_g"))
-    met = long.select(pid, "_g").join(grams, "_g").select(pid, tid).distinct()
-    full = met.join(p, pid).join(t, tid).filter(F.contains("_t", "_p")).select(pid, tid)
-    short = p.filter(F.length("_p") < gram)
+    long = p.filter(F.size("_w") >= RUN + 2).withColumn("_w", F.expr("slice(_w, 2, size(_w) - 2)"))
+    keys = long.select(pid, F.array_min(_runs(F.col("_w"))).alias("_g"))
+    words = t.withColumn("_w", F.split("_t", r"\s+")).filter(F.size("_w") >= RUN)
+    runs = words.select(tid, F.explode(F.array_distinct(_runs(F.col("_w")))).alias("_g"))
+    met = keys.join(runs, "_g").select(pid, tid).distinct()
+    full = met.join(p.select(pid, "_p"), pid).join(t, tid).filter(F.contains("_t", "_p")).select(pid, tid)
+    short = p.filter(F.size("_w") < RUN + 2).select(pid, "_p")
     few = short.limit(SHORT_LIMIT + 1).count()
     if not few:
         return full
