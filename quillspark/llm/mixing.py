@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 65536
 PERIOD = 1000
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 BROADCAST_SOURCES = 4096
 _SPAN = 1 << 60
 
