@@ -142,7 +142,8 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, k: int = MINIMISE
         .filter("low < high")
         .select("node", "low", (F.col("path_low") != F.col("path_high")).alias("branches"))
     )
-    shared = stored(paths.join(nodes, "node"), "shared-paths")
+    # Written first: the join then stands on two plain exchanges, whose hot partitions Spark splits.
+    shared = stored(paths.join(stored(nodes, "nodes"), "node"), "shared-paths")
     plain = shared.filter("not branches and did > low").select("did", "th", "start", "n")
     branching = shared.filter("branches")
     sources = branching.groupBy("node", "path").agg(F.min(F.struct("did", "th", "start", "n")).alias("at"))
