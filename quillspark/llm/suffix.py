@@ -155,7 +155,8 @@ def repeated_byte_spans(texts: DataFrame, window: int = WINDOW, k: int = MINIMIS
         .filter("times > 1")
         .select("node", (F.col("low") != F.col("high")).alias("branches"))
     )
-    shared = stored(paths.join(nodes, "node"), "shared-paths")
+    # Written first: the join then stands on two plain exchanges, whose hot partitions Spark splits.
+    shared = stored(paths.join(stored(nodes, "nodes"), "node"), "shared-paths")
     plain = shared.filter("not branches").select("did", "th", "start", "n")
     branching = shared.filter("branches")
     sources = branching.groupBy("node", "path").agg(F.count("*").alias("times"), F.min(F.struct("did", "th", "start", "n")).alias("at"))
@@ -169,7 +170,7 @@ def repeated_byte_spans(texts: DataFrame, window: int = WINDOW, k: int = MINIMIS
         .filter("total > 1")
         .select("key", (F.col("low") != F.col("high")).alias("differ"))
     )
-    repeated = stored(steps.join(keys, "key"), "repeated-steps")
+    repeated = stored(steps.join(stored(keys, "repeated-keys"), "key"), "repeated-steps")
     distinct = repeated.filter("differ").groupBy("key", "sub").agg(F.sum("times").alias("total"), F.min(F.struct("node", "path", "off", "n")).alias("at"))
     distinct = stored(distinct.select("key", "sub", "total", "at.*"), "distinct-steps")
     pieces = contents.select("node", "path", "content").join(distinct, ["node", "path"]).select("key", "sub", F.expr(f"substring(content, off + 1, n + {window - 1})").alias("piece"))
