@@ -36,7 +36,7 @@ from .graph import components
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 BANDS, BAND_ROWS = 40, 4
-BLOCK = 512
+BLOCK = 256
 BLOCK_BYTES = 4 << 20
 
 U = np.uint64
