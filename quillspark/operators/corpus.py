@@ -53,6 +53,13 @@ def tab_panes(text: Column) -> Column:
     return F.arrays_zip(names.alias("name"), bodies.alias("body"))
 
 
+def definition_lists(text: Column) -> Column:
+    """``term: a, b`` for each definition list."""
+    out = F.regexp_replace(text, r"(?is)</dd>\s*<dd\b[^>]*>", ", ")
+    out = F.regexp_replace(out, r"(?is)</dt>\s*<dd\b[^>]*>", ": ")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?is)</d[dl]>\s*<dt\b[^>]*>", "\n"), r"(?i)</?d[ltd]\b[^>]*>", ""))
+
+
 def visible_letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
 

@@ -134,3 +134,19 @@ def migrated(rows: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFra
     """Rows in the newest shape: known columns kept and cast, missing ones with their default, unknown ones dropped."""
     have = set(rows.columns)
     return rows.select(*[(F.coalesce(F.col(n).cast(kind), F.lit(default).cast(kind)) if n in have else F.lit(default).cast(kind)).alias(n) for n, (kind, default) in columns.items()])
+
+
+def openings(occasions: DataFrame, person: str, gap_ms: int, daily: int) -> DataFrame:
+    """Occasions that may open a conversation, in order: at least ``gap_ms`` after the last one taken, at most ``daily`` a day.
+
+    What is taken depends on what was, so each person's occasions fold in one expression."""
+    ordered = occasions.groupBy(person).agg(F.array_sort(F.collect_list(F.struct("ms", "id"))).alias("_s"))
+    start = F.struct(F.lit(-(1 << 60)).alias("last"), F.lit(-1).cast("long").alias("day"), F.lit(0).alias("n"), F.array().cast("array<struct<ms:bigint,id:bigint>>").alias("taken"))
+
+    def step(a: Column, s: Column) -> Column:
+        today = F.floor(s["ms"] / 86_400_000).cast("long")
+        used = F.when(a["day"] == today, a["n"]).otherwise(0)
+        ok = (s["ms"] - a["last"] >= gap_ms) & (used < daily)
+        return F.when(ok, F.struct(s["ms"].alias("last"), today.alias("day"), (used + 1).alias("n"), F.concat(a["taken"], F.array(F.struct(s["ms"].alias("ms"), s["id"].alias("id")))).alias("taken"))).otherwise(a)
+
+    return ordered.select(person, F.explode(F.aggregate("_s", start, step)["taken"]).alias("_t")).select(person, "_t.id", "_t.ms")

@@ -84,3 +84,91 @@ def u07(t: Tables) -> DataFrame:
     from .figures import figure_table
 
     return figure_table(t, {"attributed_units": ">= 0", "spoken_lines": ">= 0"})
+
+
+@query("r03_tokeniser_fallback", "SELECT item_id, true AS fallback FROM benchmark")
+def r03(t: Tables) -> DataFrame:
+    """No dictionary segmenter is installed: its name is refused, and the bigram tokeniser stands in."""
+    try:
+        cut = H.tokeniser("dictionary+n1")
+        fallback = False
+    except ValueError:
+        cut, fallback = H.tokeniser("bigram+n1"), True
+    return t.benchmark.select("item_id", (F.lit(fallback) & (F.size(cut(F.col("text"))) > 0)).alias("fallback"))
+
+
+@query("r26_refused_modes", "SELECT unnest(['dense', 'hybrid']) AS mode, true AS refused")
+def r26(t: Tables) -> DataFrame:
+    from ..operators import retrieval as R
+
+    rows = []
+    for mode in ("dense", "hybrid"):
+        try:
+            R.search(None, t.units, t.benchmark, mode=mode)
+            rows.append((mode, False))
+        except ValueError:
+            rows.append((mode, True))
+    return t.spark.createDataFrame(rows, "mode string, refused boolean")
+
+
+@query("c03_table_grid", "SELECT page_id, 0::BIGINT AS rows FROM pages WHERE NOT regexp_matches(html, '(?i)<table')")
+def c03(t: Tables) -> DataFrame:
+    from ..operators import corpus as C
+
+    def parse(row: dict) -> list[dict]:
+        return [{"page_id": row["page_id"], "rows": len(C.table_grid(row["html"]))}]
+
+    return H.parsed(t.pages.filter(~F.col("html").rlike("(?i)<table")).select("page_id", "html"), parse, "page_id long, rows long")
+
+
+@query("c06_definition_lists", "SELECT p_partkey, p_brand || ': ' || p_type || ', ' || p_name AS text FROM part")
+def c06(t: Tables) -> DataFrame:
+    from ..operators import corpus as C
+
+    raw = F.concat(F.lit("<dl><dt>"), "p_brand", F.lit("</dt><dd>"), "p_type", F.lit("</dd><dd>"), "p_name", F.lit("</dd></dl>"))
+    return t.part.select("p_partkey", C.definition_lists(raw).alias("text"))
+
+
+@query("d07_seeded_pick", "SELECT channel, id FROM (SELECT channel, id, row_number() OVER (PARTITION BY channel ORDER BY md5('11|' || id), id) AS rn FROM message) WHERE rn <= 3")
+def d07(t: Tables) -> DataFrame:
+    from ..operators.relational import top_per_group
+
+    return top_per_group(t.message, ["channel"], [F.md5(F.concat(F.lit("11|"), F.col("id").cast("string"))), "id"], 3).select("channel", "id")
+
+
+@query("u02_pack_hooks", "SELECT p_partkey, upper(p_type) AS faction FROM part")
+def u02(t: Tables) -> DataFrame:
+    return H.Pack(faction=str.upper).apply(t.part, "faction", "p_type").select("p_partkey", "faction")
+
+
+@query("u04_plugin_hooks", "SELECT p_partkey, p_name || '!' AS line FROM part")
+def u04(t: Tables) -> DataFrame:
+    def parse(row: dict) -> list[dict]:
+        host = H.PluginHost()
+        return [{"p_partkey": row["p_partkey"], "line": host.call("loud", lambda x: f"{x}!", host.call("broken", lambda x: x.no_such, row["p_name"]))}]
+
+    return H.parsed(t.part.select("p_partkey", "p_name"), parse, "p_partkey long, line string")
+
+
+@query("u05_plugin_manifest", "SELECT 'good' AS plugin, 50 AS timeout_ms UNION ALL SELECT 'Bad name', NULL")
+def u05(t: Tables) -> DataFrame:
+    rows = []
+    for name in ("good", "Bad name"):
+        try:
+            rows.append((name, H.Plugin.parse({"name": name, "protocol": 1, "tools": ["a"], "timeout_ms": 3}).timeout_ms))
+        except ValueError:
+            rows.append((name, None))
+    return t.spark.createDataFrame(rows, "plugin string, timeout_ms int")
+
+
+@query("u06_tokeniser_dispatch", "SELECT p_partkey, lower(p_name) AS tokens FROM part")
+def u06(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.array_join(H.tokeniser("latin+n1")(F.col("p_name")), " ").alias("tokens"))
+
+
+@query("u08_topic_match", "SELECT p_partkey FROM part WHERE contains(p_name, 'ring')")
+def u08(t: Tables) -> DataFrame:
+    def match(name: str) -> str:
+        return "yes" if "ring" in name else "no"
+
+    return H.Pack(resolve=match).apply(t.part, "resolve", "p_name").filter("resolve = 'yes'").select("p_partkey")

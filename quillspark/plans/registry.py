@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import core
 
-MODULES = ["relational", "scalars", "retrieval", "evaluate", "world", "corpus", "sources", "persona"]
+MODULES = ["relational", "scalars", "retrieval", "evaluate", "world", "corpus", "sources", "persona", "streams"]
 for _name in MODULES:
     __import__(f"{__package__}.{_name}")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..sources import store as S
+from ..sources.scratch import scratch
 from .core import Tables, query
 
 
@@ -82,3 +85,63 @@ def s19(t: Tables) -> DataFrame:
     t.orders.createOrReplaceTempView("quillspark_orders")
     rows = [("orders", S.measure(t.spark, "select count(*) from quillspark_orders")), ("nothing", S.measure(t.spark, "select count(*) from no_such_view"))]
     return t.spark.createDataFrame(rows, "measure string, value string")
+
+
+@query("s09_partition_overwrite", "SELECT kind, count(*) AS n FROM message WHERE id % 2 = 0 OR kind = 'view' GROUP BY kind")
+def s09(t: Tables) -> DataFrame:
+    path = scratch(t.spark, "partitions")
+    rows = t.message.select("id", "kind")
+    S.replace_partitions(rows.filter("id % 2 = 0"), path, "kind")
+    S.replace_partitions(rows.filter("kind = 'view'"), path, "kind")  # the other kinds stay
+    return R.grouped_counts(t.spark.read.parquet(path), "kind")
+
+
+def _corpus(t: Tables) -> str:
+    path = scratch(t.spark, "corpus")
+    S.write_corpus({"units": t.units, "attribution": t.attribution}, path, {"format_version": 1, "requires": ["bm25"]})
+    return path
+
+
+@query("s11_corpus_swap", "SELECT 2::BIGINT AS versions, (SELECT count(*) FROM units WHERE template = 'en') AS units")
+def s11(t: Tables) -> DataFrame:
+    path = _corpus(t)
+    S.write_corpus({"units": t.units.filter("template = 'en'")}, path, {"format_version": 1})
+    _, version = S.read_corpus(t.spark, path)
+    return t.spark.read.parquet(f"{version}/units").agg(F.lit(int(version[-6:])).cast("long").alias("versions"), F.count("*").alias("units"))
+
+
+@query("s12_corpus_tables", "SELECT ord, page, chars FROM units")
+def s12(t: Tables) -> DataFrame:
+    _, version = S.read_corpus(t.spark, _corpus(t))
+    return t.spark.read.parquet(f"{version}/units").select("ord", "page", "chars")
+
+
+@query("s14_capabilities", "SELECT 'ok' AS corpus, true AS opens UNION ALL SELECT 'unknown', false")
+def s14(t: Tables) -> DataFrame:
+    def opens(manifest: dict) -> bool:
+        rows = t.spark.createDataFrame([(k, json.dumps(v)) for k, v in manifest.items()], "key string, value string")
+        try:
+            return bool(S.read_manifest(rows))
+        except ValueError:
+            return False
+
+    return t.spark.createDataFrame([("ok", opens({"format_version": 1, "requires": ["bm25"]})), ("unknown", opens({"format_version": 1, "requires": ["dense"]}))], "corpus string, opens boolean")
+
+
+@query("s15_suite_lines", "SELECT item_id AS qid, text FROM benchmark")
+def s15(t: Tables) -> DataFrame:
+    path = scratch(t.spark, "suite")
+    S.write_suite(t.benchmark.select(F.col("item_id").alias("qid"), "text"), path)
+    return S.read_suite(t.spark, path, "qid long, text string")
+
+
+@query("s16_attached", "SELECT count(*) AS n, false AS has_raw FROM part")
+def s16(t: Tables) -> DataFrame:
+    main, raw = S.attached(t.spark, f"{t.folder}/part.parquet", f"{t.folder}/no_such_cache.parquet")
+    return main.agg(F.count("*").alias("n")).withColumn("has_raw", F.lit(raw is not None))
+
+
+@query("s18_report", "SELECT '| ' || kind || ' | ' || count(*) || ' |' AS line FROM message GROUP BY kind")
+def s18(t: Tables) -> DataFrame:
+    text = S.markdown(R.grouped_counts(t.message, "kind"))
+    return t.spark.createDataFrame([(x,) for x in text.splitlines()[2:]], "line string")

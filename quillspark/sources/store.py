@@ -131,7 +131,8 @@ def write_suite(suite: DataFrame, path: str) -> None:
 def read_suite(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed lines; the first one that can't be read is named in the error."""
     df = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    bad = df.select("_bad", F.input_file_name().alias("file")).filter("_bad is not null").limit(1).collect()
+    # A parsed column has to be read beside the raw one.
+    bad = df.select("_bad", df.columns[0], F.input_file_name().alias("file")).filter("_bad is not null").limit(1).collect()
     if bad:
         raise ValueError(f"not a suite line in {bad[0]['file']}: {bad[0]['_bad'][:200]}")
     return df.drop("_bad")
