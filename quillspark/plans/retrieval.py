@@ -163,7 +163,7 @@ near AS (SELECT DISTINCT s.qid, b.ord FROM strong s JOIN pos a USING (ord) JOIN
 
 
 def positions(t: Tables) -> DataFrame:
-    return t.units.select("ord", "page").withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("ord")) - 1)
+    return t.units.select("ord", "page").withColumn("pos", (F.row_number().over(Window.partitionBy("page").orderBy("ord")) - 1).cast("long"))
 
 
 @query("r20_neighbours", f"WITH {CTE}, {_SCOPE}, {_NEAR} SELECT qid, ord FROM near")
