@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 LAST_ID = 2**63 - 1
 
 #: Bytes of text that a kernel works on at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+#: Bytes of an Arrow batch on its way to Python, at most.
+BATCH_BYTES = 16 << 20
 
 _own: list[str] = []
 
@@ -41,6 +44,14 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold at most ``BATCH_BYTES``: long texts would else fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name).rstrip("bB")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,6 +61,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
 
     Only the two named columns are read, so extra columns can't clash; ``carry`` adds the columns other
     than the text in a struct ``row``."""
+    bounded_batches(docs.sparkSession)
     text = docs[text_col]
     rest = [F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")] if carry else []
     return docs.select(

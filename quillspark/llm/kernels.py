@@ -42,7 +42,7 @@ class RangeHash:
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = -(-n // 65536) * 65536
             for name, base in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(n, base, np.uint64)
                 steps[0] = 1

@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SIZE = 2048
 GROUP_DOCS = 2048
 END_ID = 1
@@ -62,6 +64,7 @@ def tokenised(docs: DataFrame, vocabulary: str, size: int, id_col: str, text_col
             columns = [*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "group", "n", "crcs"])
 
+    bounded_batches(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("th"), group.cast("long").alias("group"), docs[text_col].alias("text"))
     return texts.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import utf8_parts
+from .common import bounded_batches, utf8_parts
 
 FIT_ROWS = 16_000
 THRESHOLD = 0.3
@@ -194,6 +194,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Fit on bounded samples: trusted positives outside the held-out fifth, and unlabelled texts."""
+    bounded_batches(docs.sparkSession)
     own = labels.select(labels["doc_id"].cast("long").alias("pid"), labels["quality"].alias("quality")).filter("pid is not null")
     trusted = own.filter((F.col("quality") == 1) & ~held_out(F.col("pid"))).select("pid").orderBy(F.xxhash64("pid"), "pid").limit(fit_rows)
     ids = docs.select(docs[id_col].cast("long").alias("pid")).filter("pid is not null")
