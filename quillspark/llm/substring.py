@@ -148,18 +148,16 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, k: int = MINIMISE
     branching = shared.filter("branches")
     sources = branching.groupBy("node", "path").agg(F.min(F.struct("did", "th", "start", "n")).alias("at"))
     sources = stored(sources.select("node", "path", "at.*"), "path-sources")
-    later = branching.join(sources.select("node", "path", F.col("did").alias("first_did")), ["node", "path"])
     edges = stored(_expand(docs, sources, window), "edges")
     first = edges.groupBy("node", "edge").agg(F.min("first_did").alias("low"), F.max("first_did").alias("high")).filter("low < high").select("node", "edge", "low")
     found = edges.join(first, ["node", "edge"]).filter("low < first_did").groupBy("node", "path").agg(F.collect_list("off").alias("offs"))
-    whole = later.filter("did > first_did").select("did", "th", "start", "n")
-    parts = (
-        later.filter("did = first_did")
-        .join(found, ["node", "path"])
-        .select("did", "th", "start", F.explode("offs").alias("off"))
-        .select("did", "th", (F.col("start") + F.col("off")).alias("start"), F.lit(1).alias("n"))
-    )
-    return plain.unionByName(whole).unionByName(parts)
+    # One join brings each occurrence its verdict: a later document loses the whole path, the first one
+    # what an even earlier document has through another path.
+    judged = stored(sources.join(found, ["node", "path"], "left").select("node", "path", F.col("did").alias("first_did"), "offs"), "judged-paths")
+    every = F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("n")))
+    some = F.transform("offs", lambda off: F.struct(off.alias("off"), F.lit(1).alias("n")))
+    lost = branching.join(judged, ["node", "path"]).select("did", "th", "start", F.explode(F.when(F.col("did") > F.col("first_did"), every).otherwise(some)).alias("x"))
+    return plain.unionByName(lost.select("did", "th", (F.col("start") + F.col("x.off")).alias("start"), F.col("x.n").alias("n")))
 
 
 def remove_repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
