@@ -223,11 +223,13 @@ def rolling_sum(df: DataFrame, at: str, value: str, span_ms: int, by: list[str]
 
 
 def dense_ordinal(df: DataFrame, order: list[str], name: str, parts: str) -> DataFrame:
-    """0..N-1 in a total order: numbered within the leading column ``parts``, shifted by its prefix counts."""
+    """0..N-1 in a total order: numbered within the leading column ``parts``, shifted by its prefix counts.
+
+    Only one row a value of ``parts`` meets in one task; choose a column with moderately many values."""
     within = F.row_number().over(Window.partitionBy(parts).orderBy(*order)) - 1
     sizes = df.groupBy(parts).agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy(parts).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return df.withColumn("_within", within).join(F.broadcast(before.select(parts, "_before")), parts).withColumn(name, F.col("_before") + F.col("_within")).drop("_within", "_before")
+    return df.withColumn("_within", within).join(before.select(parts, "_before"), parts).withColumn(name, F.col("_before") + F.col("_within")).drop("_within", "_before")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
