@@ -11,7 +11,7 @@ from . import relational as R
 
 HOUR_MS = 3_600_000
 
-# Calls an hour and pacing by tier (idle, seeds a day, gap and so on are the reference's defaults).
+# Calls an hour by tier.
 QUOTA_TIERS = {"low": 40, "middle": 80, "high": 160, "extra_high": 320, "max": 640}
 
 
