@@ -234,3 +234,16 @@ def test_plugins():
     with pytest.raises(ValueError):
         H.Plugin.parse({"name": "x", "protocol": 9})
     assert H.Plugin.parse({"name": "x", "protocol": 1, "timeout_ms": 99999}).timeout_ms == 5000
+
+
+def test_fingerprint_ignores_order(spark):
+    a = spark.createDataFrame([(f"u{i}",) for i in range(50)], "id string")
+    b = a.orderBy(F.desc("id")).repartition(3)
+    assert C.fingerprint(a, "id").first() == C.fingerprint(b, "id").first()
+    assert C.fingerprint(a.filter("id <> 'u7'"), "id").first() != C.fingerprint(a, "id").first()
+
+
+def test_pieces_and_sections_of_frames(spark):
+    df = spark.createDataFrame([(1, "aaa bbb. ccc ddd", "x<h1>T</h1>y<table><tr><td>z</td></tr></table>"), (2, None, None)], "k long, t string, h string")
+    assert [tuple(r) for r in C.pieces(df, "k", "t", 9).orderBy("k", "piece").collect()] == [(1, 0, "aaa bbb."), (1, 1, "ccc ddd")]
+    assert [(r["k"], r["path"], r["body"]) for r in C.page_sections(df, "k", "h").orderBy("k", "seq").collect()] == [(1, [], "x"), (1, ["T"], "y")]
