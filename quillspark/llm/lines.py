@@ -5,8 +5,9 @@ documents share proposes one partner for each later holder: its first holder (sm
 linear in the lines, however often a line occurs, and no frequency is cut off. Of a pair, only the lines
 that proposed it are aligned: those that are rare, once in each of the two, are the anchors; the longest
 run of anchors rising in both documents is kept (patience), and each anchor grows over equal neighbours,
-repeated lines included, until the next anchor. A block is a run of lines aligned with adjacent lines of
-the earlier document. Blocks of ``min_lines`` lines or ``min_bytes`` bytes go from the later document.
+repeated lines included, until the next anchor. What is left between two anchors is aligned in the same way,
+with rarity counted within; where no line is rare, a longest common subsequence is taken. A block is a run
+of lines aligned with adjacent lines of the earlier document. Blocks of ``min_lines`` lines or ``min_bytes`` bytes go from the later document.
 
 Cases: null or empty texts have no lines; rows that share an id are one age, neither is later; null ids
 are later than all others; repeated rows get equal results; empty tables give empty results; only the two
@@ -29,6 +30,9 @@ from .common import id_back, keyed, stored, utf8_parts
 MIN_LINES = 2
 MIN_BYTES = 32
 
+#: Bits of the table of one longest common subsequence, at most: 32 MB.
+TABLE_BITS = 1 << 28
+
 _LINES = "did long, th long, h long, g long, n_bytes int, at array<int>"
 _KEPT = "did long, n_lines long, n_removed long, n_blocks long, kept_text string"
 
@@ -69,10 +73,8 @@ def distinct_lines(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, _LINES)
 
 
-def patience(lines: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]]:
-    """Aligned (place in the later, place in the earlier) of a pair. lines: places of each shared line."""
-    anchors = sorted((d[0], e[0]) for d, e in lines if len(d) == 1 and len(e) == 1)
-    # Longest rising run of the earlier document's places, by piles.
+def _rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of anchors that rises in both documents, by piles."""
     tops: list[int] = []
     piles: list[int] = []
     back: list[int] = []
@@ -89,23 +91,94 @@ def patience(lines: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]]:
     while i >= 0:
         run.append(anchors[i])
         i = back[i]
-    run.reverse()
-    later = {p: n for n, (d, _) in enumerate(lines) for p in d}
-    earlier = {p: n for n, (_, e) in enumerate(lines) for p in e}
+    return run[::-1]
+
+
+def _lengths(a: list, b: list) -> Iterator[int]:
+    """After each item of a, a number whose zero bits are the steps of the common length along b."""
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    yield v
+    for x in a:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _prefix_lengths(a: list, b: list) -> np.ndarray:
+    for v in _lengths(a, b):
+        last = v
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.append(0, np.cumsum(bits == 0))
+
+
+def common(a: list, b: list, bits: int = TABLE_BITS) -> list[tuple[int, int]]:
+    """A longest common subsequence, as late in a as can be; halves of a in turn where the table is above ``bits``."""
+    if len(a) > 1 and len(a) * len(b) > bits:
+        half = len(a) // 2
+        j = int(np.argmax(_prefix_lengths(a[:half], b) + _prefix_lengths(a[half:][::-1], b[::-1])[::-1]))
+        return common(a[:half], b[:j], bits) + [(p + half, q + j) for p, q in common(a[half:], b[j:], bits)]
+    rows = list(_lengths(a, b))
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif rows[i] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
+def align(a: list, b: list) -> list[tuple[int, int]]:
+    """Patience diff of two documents, the later one first: aligned places, rising in both."""
     out: list[tuple[int, int]] = []
-    low_d = low_e = -1
-    for n, (d, e) in enumerate(run):
-        high_d, high_e = run[n + 1] if n + 1 < len(run) else (1 << 60, 1 << 60)
-        up = 1
-        while d - up > low_d and e - up > low_e and later.get(d - up, -1) == earlier.get(e - up, -2):
-            up += 1
-        out += [(d - k, e - k) for k in range(up - 1, -1, -1)]
-        down = 1
-        while d + down < high_d and e + down < high_e and later.get(d + down, -1) == earlier.get(e + down, -2):
-            out.append((d + down, e + down))
-            down += 1
-        low_d, low_e = d + down - 1, e + down - 1
-    return out
+    todo = [(0, len(a), 0, len(b), False, False)]
+    while todo:
+        # left, right: an anchor bounds the range there, and grows over equal neighbours.
+        d0, d1, e0, e1, left, right = todo.pop()
+        while left and d0 < d1 and e0 < e1 and a[d0] == b[e0]:
+            out.append((d0, e0))
+            d0, e0 = d0 + 1, e0 + 1
+        while right and d0 < d1 and e0 < e1 and a[d1 - 1] == b[e1 - 1]:
+            d1, e1 = d1 - 1, e1 - 1
+            out.append((d1, e1))
+        own: dict = {}
+        for p in range(d0, d1):
+            own.setdefault(a[p], []).append(p)
+        other: dict = {}
+        for p in range(e0, e1):
+            if b[p] in own:
+                other.setdefault(b[p], []).append(p)
+        anchors = sorted((own[x][0], q[0]) for x, q in other.items() if len(q) == len(own[x]) == 1)
+        if anchors:
+            run = _rising(anchors)
+            out += run
+            ends = [(d0 - 1, e0 - 1), *run, (d1, e1)]
+            for n in range(len(ends) - 1):
+                (p, q), (r, s) = ends[n], ends[n + 1]
+                todo.append((p + 1, r, q + 1, s, left or n > 0, right or n + 2 < len(ends)))
+        elif other:
+            d = sorted(p for x in other for p in own[x])
+            e = sorted(p for q in other.values() for p in q)
+            out += [(d[i], e[j]) for i, j in common([a[p] for p in d], [b[p] for p in e])]
+    return sorted(out)
+
+
+def patience(lines: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]]:
+    """Aligned (place in the later, place in the earlier) of a pair. lines: places of each shared line."""
+    pair: list[list[int]] = []
+    for side in (0, 1):
+        held = [-1 - side] * (1 + max((p for x in lines for p in x[side]), default=-1))
+        for n, x in enumerate(lines):
+            for p in x[side]:
+                held[p] = n
+        pair.append(held)
+    return align(*pair)
 
 
 def blocks(aligned: list[tuple[int, int]], size: dict[int, int], min_lines: int, min_bytes: int) -> list[tuple[int, int]]:

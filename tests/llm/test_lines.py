@@ -94,3 +94,38 @@ def test_patience_keeps_order():
     assert lines.patience([([0], [2]), ([1], [0]), ([2], [1])]) == [(1, 0), (2, 1)]
     assert lines.patience([([0, 2], [0, 2]), ([1], [1])]) == [(0, 0), (1, 1), (2, 2)]
     assert lines.patience([]) == []
+
+
+def _longest(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_common_is_longest():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        for bits in (lines.TABLE_BITS, 8):
+            got = lines.common(a, b, bits)
+            assert len(got) == _longest(a, b) and all(a[i] == b[j] for i, j in got)
+            assert all(p < r and q < s for (p, q), (r, s) in zip(got, got[1:], strict=False))
+
+
+def test_align_without_unique_lines():
+    passage = [f"line {i}" for i in range(5)]
+    # An exact copy whose lines all repeat, and the passage twice on either side.
+    assert lines.align(["a", "b", "a", "b"], ["a", "b", "a", "b"]) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    assert lines.align(["x", *passage, "y", *passage], ["u", *passage, "v"]) == [(7 + i, 1 + i) for i in range(5)]
+    assert lines.align(["u", *passage, "v"], ["x", *passage, "y", *passage]) in ([(1 + i, 1 + i) for i in range(5)], [(1 + i, 7 + i) for i in range(5)])
+    # A block of repeated lines after a changed line between two anchors; a line that is unique only between anchors.
+    assert (3, 3) in lines.align(["A", "c", "r", "r", "Z"], ["A", "d", "r", "r", "Z"]) and (2, 2) in lines.align(["A", "c", "r", "r", "k", "Z"], ["A", "d", "r", "r", "m", "Z"])
+    assert (3, 3) in lines.align(["A", "c", "d", "r", "e", "B", "r"], ["A", "f", "g", "r", "h", "B", "r"])
+
+
+def test_passage_twice_is_removed(spark):
+    passage = [f"passage line {i}" for i in range(6)]
+    rows = [(1, "\n".join(passage)), (2, "\n".join(["own", *passage, "between", *passage])), (3, "\n".join(["end"] * 4)), (4, "\n".join(["end"] * 4))]
+    assert [(i, n, gone) for i, n, gone, _ in _result(spark, rows)] == [(1, 6, 0), (2, 14, 6), (3, 4, 0), (4, 4, 4)]
