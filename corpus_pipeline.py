@@ -26,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has go from the later one; one that loses all its lines goes."""
-    cut = remove_shared_blocks(docs, carry=True).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    cut = remove_shared_blocks(docs, carry=True, every=True).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     columns = []
     for c in docs.columns:
         if c == "text":

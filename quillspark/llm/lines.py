@@ -9,6 +9,12 @@ repeated lines included, until the next anchor. What is left between two anchors
 with rarity counted within; where no line is rare, a longest common subsequence is taken. A block is a run
 of lines aligned with adjacent lines of the earlier document. Blocks of ``min_lines`` lines or ``min_bytes`` bytes go from the later document.
 
+With ``every``, partners are all earlier documents, and pairs are aligned on all lines that they share. A block
+holds a window of lines that is long enough, so only holders of such windows can be partners. The first holder
+of each window comes first. Where that leaves lines of a window that an earlier document holds, the document is
+tried against every other holder. What the pair aligns depends on the shared lines and on where others lie
+between them, so holders that are alike in this are tried once, as the earliest of them.
+
 Cases: null or empty texts have no lines; rows that share an id are one age, neither is later; null ids
 are later than all others; repeated rows get equal results; empty tables give empty results; only the two
 named columns are read."""
@@ -37,29 +43,35 @@ _LINES = "did long, th long, h long, g long, n_bytes int, at array<int>"
 _KEPT = "did long, n_lines long, n_removed long, n_blocks long, kept_text string"
 
 
+def _full_lines(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of texts: (first row, end row, text of each non-blank line, its place in the text, two hashes, bytes)."""
+    for low, high, data, offsets in utf8_parts(column):
+        starts, ends, bounds = K.word_bounds(data, offsets)
+        if not len(starts):
+            continue
+        # A word begins a line if a newline or the start of its text lies between it and the word before.
+        breaks = np.cumsum(data == 10)
+        line = breaks[starts]
+        text = np.searchsorted(bounds, np.arange(len(starts)), "right") - 1
+        new = np.ones(len(starts), bool)
+        new[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(starts)) - 1
+        a, b, of = starts[first], ends[last], text[first]
+        place = np.arange(len(first)) - np.searchsorted(of, of)
+        h, g = (x.ranges(x.bytes_prefix(data), a, b) for x in (K.FIRST, K.SECOND))
+        yield low, high, of, place, h, g, b - a
+
+
 def distinct_lines(texts: DataFrame) -> DataFrame:
     """A row for each distinct line of each text, with all its places among the text's non-blank lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for low, _, data, offsets in utf8_parts(batch.column(2)):
-                starts, ends, bounds = K.word_bounds(data, offsets)
-                if not len(starts):
-                    continue
-                # A word begins a line if a newline or the start of its text lies between it and the word before.
-                breaks = np.cumsum(data == 10)
-                line = breaks[starts]
-                text = np.searchsorted(bounds, np.arange(len(starts)), "right") - 1
-                new = np.ones(len(starts), bool)
-                new[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(starts)) - 1
-                a, b, of = starts[first], ends[last], text[first]
-                place = np.arange(len(first)) - np.searchsorted(of, of)
-                h, g = (x.ranges(x.bytes_prefix(data), a, b) for x in (K.FIRST, K.SECOND))
+            for low, _, of, place, h, g, size in _full_lines(batch.column(2)):
                 order = np.lexsort((place, g, h, of))
-                h, g, of, place, size = h[order], g[order], of[order], place[order], (b - a)[order]
+                h, g, of, place, size = h[order], g[order], of[order], place[order], size[order]
                 head = np.ones(len(h), bool)
                 head[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (of[1:] != of[:-1])
                 at = np.flatnonzero(head)
@@ -220,6 +232,154 @@ def aligned_blocks(texts: DataFrame, min_lines: int = MIN_LINES, min_bytes: int
     return pairs.select("did", "th", "lines").mapInArrow(run, "did long, th long, start int, n int")
 
 
+def sequences(texts: DataFrame) -> DataFrame:
+    """``did, th, h, g, size``: the non-blank lines of each text in order, two hashes and the bytes of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, _, of, _, h, g, size in _full_lines(batch.column(2)):
+                head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                bounds = pa.array(np.append(head, len(of)).astype(np.int32))
+                at = pa.array(low + of[head])
+                held = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (h.view(np.int64), g.view(np.int64), size.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *held], names=["did", "th", "h", "g", "size"])
+
+    return texts.mapInArrow(run, "did long, th long, h array<long>, g array<long>, size array<int>").dropDuplicates(["did", "th"])
+
+
+def _windows(h: np.ndarray, size: np.ndarray, min_lines: int, min_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Lines of a window, first places, keys: of all windows of ``min_lines`` lines and of shorter ones of ``min_bytes``."""
+    h = h.view(np.uint64)
+    total = np.append(0, np.cumsum(size, dtype=np.int64))
+    key = np.zeros(len(h), np.uint64)
+    for n in range(1, min(min_lines, len(h)) + 1):
+        key = (key[: len(h) - n + 1] ^ (key[: len(h) - n + 1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[n - 1 :]
+        at = np.arange(len(key))
+        if n < min_lines:
+            at = at[total[n:] - total[:-n] >= min_bytes]
+        yield n, at, key[at].view(np.int64)
+
+
+def _window_keys(seqs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
+    """``did, th, key`` for each distinct window of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, key = [], []
+            for i, (h, size) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                found = [k for _, _, k in _windows(h.values.to_numpy(), size.values.to_numpy(), min_lines, min_bytes)]
+                own = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                key.append(own)
+                row.append(np.full(len(own), i))
+            if row:
+                at = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(key))], names=["did", "th", "key"])
+
+    return seqs.select("did", "th", "h", "size").mapInArrow(run, "did long, th long, key long")
+
+
+_SPANS = "did long, th long, start int, n int"
+
+
+def _spans(batch: pa.RecordBatch, found: list[set[tuple[int, int]]]) -> pa.RecordBatch:
+    at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+    flat = [sorted(x) for x in found]
+    start, n = (pa.array([b[k] for x in flat for b in x], pa.int32()) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), start, n], names=["did", "th", "start", "n"])
+
+
+def _lines_of(h: pa.ListScalar, g: pa.ListScalar) -> list[tuple[int, int]]:
+    return list(zip(h.values.to_numpy().tolist(), g.values.to_numpy().tolist(), strict=True))
+
+
+def every_block(texts: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """``did, th, start, n``: blocks that cover what the alignments with all earlier texts cover."""
+    seqs = stored(sequences(texts), "sequences")
+    keys = stored(_window_keys(seqs, min_lines, min_bytes), "windows")
+    first = keys.groupBy("key").agg(F.min(F.struct("did", "th")).alias("first"), F.max("did").alias("high")).filter("first.did < high")
+    # Written first: the join then stands on two plain exchanges, whose hot partitions Spark splits.
+    first = stored(first.select("key", F.col("first.did").alias("edid"), F.col("first.th").alias("eth")), "first-holders")
+    shared = stored(keys.join(first, "key").filter("did > edid"), "shared-windows")
+    earlier = seqs.select(F.col("did").alias("edid"), F.col("th").alias("eth"), F.col("h").alias("eh"), F.col("g").alias("eg"))
+    pairs = stored(shared.select("did", "th", "edid", "eth").distinct(), "pairs").join(earlier, ["edid", "eth"])
+    pairs = stored(pairs.select("did", "th", "eh", "eg"), "partners").join(seqs, ["did", "th"])
+
+    def pairwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for h, g, size, eh, eg in zip(*batch.columns[2:], strict=True):
+                held = dict(enumerate(size.values.to_numpy().tolist()))
+                found.append(set(blocks(align(_lines_of(h, g), _lines_of(eh, eg)), held, min_lines, min_bytes)))
+            yield _spans(batch, found)
+
+    cut = stored(pairs.select("did", "th", "h", "g", "size", "eh", "eg").mapInArrow(pairwise, _SPANS), "first-spans")
+
+    def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, key = [], []
+            for i, (h, size, shared_keys, spans) in enumerate(zip(*batch.columns[2:], strict=True)):
+                open_ = np.ones(len(h), np.int64)
+                for x in spans.as_py() or ():
+                    open_[x["start"] : x["start"] + x["n"]] = 0
+                total = np.append(0, np.cumsum(open_))
+                ours = shared_keys.values.to_numpy()
+                for n, at, k in _windows(h.values.to_numpy(), size.values.to_numpy(), min_lines, min_bytes):
+                    k = k[(total[at + n] > total[at]) & np.isin(k, ours)]
+                    key += np.unique(k).tolist()
+                    row += [i] * (len(key) - len(row))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key, pa.int64())], names=["did", "th", "key"])
+
+    covered = cut.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    held = shared.groupBy("did", "th").agg(F.collect_list("key").alias("keys")).join(seqs, ["did", "th"]).join(covered, ["did", "th"], "left")
+    left = stored(held.select("did", "th", "h", "size", "keys", "spans").mapInArrow(uncovered, "did long, th long, key long"), "uncovered")
+    # Holders of the windows left, as the lines they share with any text that has such a window, and the gaps between.
+    ours = left.select("did", "th").distinct().join(seqs, ["did", "th"]).select(F.explode(F.arrays_zip("h", "g")).alias("x")).select("x.h", "x.g").distinct()
+    holders = stored(keys.join(left.select("key").distinct(), "key", "left_semi"), "holders")
+    line = holders.select("did", "th").distinct().join(seqs, ["did", "th"]).select("did", "th", F.posexplode(F.arrays_zip("h", "g")).alias("at", "x")).select("did", "th", "at", "x.h", "x.g")
+    line = line.join(stored(ours, "lines-left"), ["h", "g"], "left_semi")
+    alike = line.groupBy("did", "th").agg(F.array_sort(F.collect_list(F.struct("at", "h", "g"))).alias("x"))
+    # A gap is a step of more than one place.
+    alike = alike.select("did", "th", F.expr("transform(x, (v, i) -> named_struct('h', v.h, 'g', v.g, 'gap', i > 0 and v.at > x[greatest(i - 1, 0)].at + 1))").alias("x"))
+    kinds = holders.join(alike, ["did", "th"]).groupBy("key", "x").agg(F.min("did").alias("edid"))
+    tried = left.join(stored(kinds, "kinds"), "key").filter("edid < did")
+    # Some of a text's partners at once, so that no row holds all.
+    lists = tried.groupBy("did", "th", F.pmod(F.xxhash64("x"), F.lit(64)).alias("part")).agg(F.collect_list("x").alias("others"))
+    lists = stored(lists, "kinds-tried").join(seqs, ["did", "th"])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for h, g, size, others in zip(*batch.columns[2:], strict=True):
+                own = _lines_of(h, g)
+                held = dict(enumerate(size.values.to_numpy().tolist()))
+                known = set(own)
+                flat = others.values
+                # The values of a slice are those of the whole batch.
+                bounds = flat.offsets.to_numpy()
+                values = flat.values.slice(bounds[0], bounds[-1] - bounds[0])
+                bounds = bounds - bounds[0]
+                xh, xg, gap = (values.field(k).to_numpy(zero_copy_only=False).tolist() for k in range(3))
+                kinds = set()
+                for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    kept: list = []
+                    broken = False
+                    for p in range(low, high):
+                        broken |= gap[p]
+                        if (xh[p], xg[p]) in known:
+                            if broken and kept:
+                                kept.append(None)
+                            kept.append((xh[p], xg[p]))
+                            broken = False
+                        else:
+                            broken = True
+                    kinds.add(tuple(kept))
+                found.append({b for kind in kinds for b in blocks(align(own, list(kind)), held, min_lines, min_bytes)})
+            yield _spans(batch, found)
+
+    return cut.unionByName(lists.select("did", "th", "h", "g", "size", "others").mapInArrow(rest, _SPANS))
+
+
 def _cut(texts: DataFrame, found: DataFrame, carry: bool = False) -> DataFrame:
     columns = ["did", "text", "spans"] + ["row"] * carry
     schema = T.StructType.fromDDL(_KEPT)
@@ -235,10 +395,12 @@ def _cut(texts: DataFrame, found: DataFrame, carry: bool = False) -> DataFrame:
                     lines = text.as_py().encode().split(b"\n")
                     full = [i for i, x in enumerate(lines) if not x.isspace() and x]
                     gone: set[int] = set()
-                    n = 0
+                    places: set[int] = set()
                     for s in spans.as_py() or ():
-                        n += 1
-                        gone.update(full[s["start"] : s["start"] + s["n"]])
+                        places.update(range(s["start"], s["start"] + s["n"]))
+                    # Spans found with different partners can overlap: a block is a run of removed lines.
+                    n = sum(p - 1 not in places for p in places)
+                    gone.update(full[p] for p in places)
                     kept = [x for i, x in enumerate(lines) if i not in gone] if gone else lines
                     rows.append((did.as_py(), len(full), len(gone), n, b"\n".join(kept).decode()))
                 types = [pa.int64()] * 4 + [pa.string()]
@@ -248,10 +410,11 @@ def _cut(texts: DataFrame, found: DataFrame, carry: bool = False) -> DataFrame:
     return texts.join(found, ["did", "th"], "left").select(*columns).mapInArrow(run, schema)
 
 
-def remove_shared_blocks(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def remove_shared_blocks(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, every: bool = False) -> DataFrame:
     """``doc_id, n_lines, n_removed, n_blocks, kept_text``, a row for each row of docs.
 
-    ``carry`` adds the columns of docs other than the text, in a struct ``row``."""
+    ``every`` aligns with all earlier documents, not only with the first holders of lines; ``carry`` adds the columns of docs other than the text, in a struct ``row``."""
     texts = keyed(docs, id_col, text_col, carry)
-    spans = aligned_blocks(texts.select("did", "th", "text"), min_lines, min_bytes).groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    found = (every_block if every else aligned_blocks)(texts.select("did", "th", "text"), min_lines, min_bytes)
+    spans = found.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     return _cut(texts, spans, carry).select(id_back(F.col("did")).alias("doc_id"), "n_lines", "n_removed", "n_blocks", "kept_text", *["row"] * carry)

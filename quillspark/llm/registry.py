@@ -39,7 +39,7 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_shared_blocks(table(spark, sf_dir, "documents"))
+    kept = remove_shared_blocks(table(spark, sf_dir, "documents"), every=True)
     return kept.select("doc_id", "n_lines", "n_removed", "n_blocks", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 

@@ -129,3 +129,42 @@ def test_passage_twice_is_removed(spark):
     passage = [f"passage line {i}" for i in range(6)]
     rows = [(1, "\n".join(passage)), (2, "\n".join(["own", *passage, "between", *passage])), (3, "\n".join(["end"] * 4)), (4, "\n".join(["end"] * 4))]
     assert [(i, n, gone) for i, n, gone, _ in _result(spark, rows)] == [(1, 6, 0), (2, 14, 6), (3, 4, 0), (4, 4, 4)]
+
+
+def _every(rows):
+    """Patience diff over all pairs, without first holders."""
+    last = 2**63 - 1
+    docs = [(last if i is None else i, t or "") for i, t in rows]
+    full = [[x.strip(WHITE) for x in t.split("\n") if x.strip(WHITE)] for _, t in docs]
+    out = []
+    for n, (i, _) in enumerate(docs):
+        size = {p: len(x.encode()) for p, x in enumerate(full[n])}
+        gone = set()
+        for m, (j, _) in enumerate(docs):
+            if j < i:
+                for start, k in lines.blocks(lines.align(full[n], full[m]), size, 2, 32):
+                    gone.update(range(start, start + k))
+        out.append((rows[n][0], len(full[n]), len(gone), sum(p - 1 not in gone for p in gone)))
+    return sorted(out, key=repr)
+
+
+def _every_result(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted((tuple(r) for r in lines.remove_shared_blocks(df, every=True).select("doc_id", "n_lines", "n_removed", "n_blocks").collect()), key=repr)
+
+
+def test_every_partner_against_all_pairs(spark):
+    short = [f"s{i}" for i in range(10)]
+    rows = [(i, f"own {i}\n{x}\nend {i}") for i, x in enumerate(short)] + [(20, "\n".join(short)), (21, "\n".join(short))]
+    rng = random.Random(3)
+    hot = ["license line that stands in very many documents", "a", "b", "---"]
+    for i in range(30, 150):
+        text = []
+        for _ in range(rng.randint(0, 4)):
+            text += rng.choice([[rng.choice(hot)], rng.choices(hot, k=3), [f"own {rng.random()}"], short[3:6], short[5:9]])
+        rows.append((rng.choice([i, i, i - 1, None]), "\n".join(text)))
+    rows += [(None, None), (200, ""), (201, " \n"), rows[40], rows[40]]
+    want = _every(rows)
+    assert (21, 10, 10, 1) in want
+    assert _every_result(spark, rows) == want
+    assert _every_result(spark, []) == []
