@@ -1,19 +1,20 @@
 """Line dedup by pairwise alignment: patience diff of documents that share rare lines.
 
-Lines are compared without their outer white space; blank lines only keep their place. Every line that two
-documents share proposes one partner for each later holder: its first holder (smallest id). So pairs are
-linear in the lines, however often a line occurs, and no frequency is cut off. Of a pair, only the lines
-that proposed it are aligned: those that are rare, once in each of the two, are the anchors; the longest
-run of anchors rising in both documents is kept (patience), and each anchor grows over equal neighbours,
-repeated lines included, until the next anchor. What is left between two anchors is aligned in the same way,
-with rarity counted within; where no line is rare, a longest common subsequence is taken. A block is a run
-of lines aligned with adjacent lines of the earlier document. Blocks of ``min_lines`` lines or ``min_bytes`` bytes go from the later document.
-
-With ``every``, partners are all earlier documents, and pairs are aligned on all lines that they share. A block
-holds a window of lines that is long enough, so only holders of such windows can be partners. The first holder
-of each window comes first. Where that leaves lines of a window that an earlier document holds, the document is
-tried against every other holder. What the pair aligns depends on the shared lines and on where others lie
-between them, so holders that are alike in this are tried once, as the earliest of them.
+Lines are compared without their outer white space; blank lines only keep their place. A block is a run of
+adjacent lines that an earlier document (smaller id) holds as adjacent lines too; blocks of ``min_lines``
+lines or ``min_bytes`` bytes go from the later document.
+
+Pairs: a block holds a window of lines that is just long enough, and each window proposes one partner for
+every later holder: its first holder. So there are no more pairs than windows, however often a window occurs.
+
+Alignment: of a pair all lines are aligned that either shares with any other document in a window. Lines that
+are rare, once in each of the two, are the anchors; the longest run of anchors rising in both is kept
+(patience), and each anchor grows over equal neighbours. What is left between two anchors is aligned in the
+same way, with rarity counted within; where no line is rare, a longest common subsequence is taken. A passage
+that was moved crosses that order: a window that both hold, with a line that isn't aligned yet, is an anchor
+of its own and grows likewise. So every window that a pair shares is aligned, and the first holder of a window
+takes from a later document what any other earlier holder of it would: the result is that of aligning each
+document with all earlier ones.
 
 Cases: null or empty texts have no lines; rows that share an id are one age, neither is later; null ids
 are later than all others; repeated rows get equal results; empty tables give empty results; only the two
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import id_back, keyed, stored, utf8_parts
+from .common import id_back, keyed, released, stored, utf8_parts
 
 MIN_LINES = 2
 MIN_BYTES = 32
@@ -39,8 +40,7 @@ MIN_BYTES = 32
 #: Bits of the table of one longest common subsequence, at most: 32 MB.
 TABLE_BITS = 1 << 28
 
-_LINES = "did long, th long, h long, g long, n_bytes int, at array<int>"
-_KEPT = "did long, n_lines long, n_removed long, n_blocks long, kept_text string"
+_KEPT = "did long, n_lines long, n_removed long, n_blocks long, n_bytes long, kept_text string"
 
 
 def _full_lines(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -63,28 +63,6 @@ def _full_lines(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield low, high, of, place, h, g, b - a
 
 
-def distinct_lines(texts: DataFrame) -> DataFrame:
-    """A row for each distinct line of each text, with all its places among the text's non-blank lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            did, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for low, _, of, place, h, g, size in _full_lines(batch.column(2)):
-                order = np.lexsort((place, g, h, of))
-                h, g, of, place, size = h[order], g[order], of[order], place[order], size[order]
-                head = np.ones(len(h), bool)
-                head[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (of[1:] != of[:-1])
-                at = np.flatnonzero(head)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(h)).astype(np.int32)), pa.array(place.astype(np.int32)))
-                row = low + of[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(did[row]), pa.array(th[row]), pa.array(h[at].view(np.int64)), pa.array(g[at].view(np.int64)), pa.array(size[at].astype(np.int32)), lists],
-                    names=["did", "th", "h", "g", "n_bytes", "at"],
-                )
-
-    return texts.mapInArrow(run, _LINES)
-
-
 def _rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of anchors that rises in both documents, by piles."""
     tops: list[int] = []
@@ -181,55 +159,50 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def patience(lines: list[tuple[list[int], list[int]]]) -> list[tuple[int, int]]:
-    """Aligned (place in the later, place in the earlier) of a pair. lines: places of each shared line."""
-    pair: list[list[int]] = []
-    for side in (0, 1):
-        held = [-1 - side] * (1 + max((p for x in lines for p in x[side]), default=-1))
-        for n, x in enumerate(lines):
-            for p in x[side]:
-                held[p] = n
-        pair.append(held)
-    return align(*pair)
-
-
-def blocks(aligned: list[tuple[int, int]], size: dict[int, int], min_lines: int, min_bytes: int) -> list[tuple[int, int]]:
-    """Runs (first place, number of lines) of the later document that are long enough."""
+def blocks(aligned: list[tuple[int, int]], size: dict[int, int], min_lines: int, min_bytes: int) -> list[tuple[int, int, int]]:
+    """Runs (first place, first place in the earlier, number of lines) that are long enough. size: bytes of the later one's lines."""
     out, i = [], 0
     while i < len(aligned):
         j = i + 1
         while j < len(aligned) and aligned[j][0] == aligned[j - 1][0] + 1 and aligned[j][1] == aligned[j - 1][1] + 1:
             j += 1
         if j - i >= min_lines or sum(size[d] for d, _ in aligned[i:j]) >= min_bytes:
-            out.append((aligned[i][0], j - i))
+            out.append((*aligned[i], j - i))
         i = j
     return out
 
 
-def aligned_blocks(texts: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``did, th, start, n``: blocks of each later text that an earlier one has too."""
-    lines = distinct_lines(texts)
-    holders = lines.groupBy("h", "g").agg(F.min(F.struct("did", "th", "at")).alias("first"), F.max("did").alias("high")).filter("first.did < high")
-    # Written first: the join then stands on two plain exchanges, whose hot partitions Spark splits.
-    shared = lines.join(stored(holders.select("h", "g", "first"), "holders"), ["h", "g"]).filter(F.col("did") > F.col("first.did"))
-    pairs = shared.groupBy("did", "th", F.col("first.did").alias("edid"), F.col("first.th").alias("eth")).agg(
-        F.collect_list(F.struct(F.col("at").alias("d"), F.col("first.at").alias("e"), "n_bytes")).alias("lines")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, start, n = [], [], []
-            for i, found in enumerate(batch.column(2)):
-                own = sorted((x["d"], x["e"], x["n_bytes"]) for x in found.as_py())
-                size = {p: b for d, _, b in own for p in d}
-                for a, k in blocks(patience([(d, e) for d, e, _ in own]), size, min_lines, min_bytes):
-                    row.append(i)
-                    start.append(a)
-                    n.append(k)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(n, pa.int32())], names=["did", "th", "start", "n"])
-
-    return pairs.select("did", "th", "lines").mapInArrow(run, "did long, th long, start int, n int")
+def shared_blocks(later: dict[int, object], earlier: dict[int, object], size: dict[int, int], min_lines: int, min_bytes: int) -> list[tuple[int, int, int]]:
+    """Blocks (first place in the later, in the earlier, number of lines). later, earlier: lines by place, in order."""
+    at, other = list(later), list(earlier)
+    found = blocks([(at[i], other[j]) for i, j in align(list(later.values()), list(earlier.values()))], size, min_lines, min_bytes)
+    covered = {p + k for p, _, n in found for k in range(n)}
+    held = set(earlier.values())
+    if all(p in covered or x not in held for p, x in later.items()):
+        return found
+    # Moved passages: windows that both hold, though the order of the others crosses them.
+    places: dict = {}
+    for q, x in earlier.items():
+        places.setdefault(x, []).append(q)
+    for p in at:
+        weight = 0
+        for n in range(1, min_lines + 1):
+            if p + n - 1 not in later:
+                break
+            weight += size[p + n - 1]
+            if (n < min_lines and weight < min_bytes) or all(p + k in covered for k in range(n)):
+                continue
+            q = next((q for q in places.get(later[p], ()) if all(earlier.get(q + k) == later[p + k] for k in range(1, n))), None)
+            if q is None:
+                break
+            low, high = 0, n
+            while p + low - 1 in later and later[p + low - 1] == earlier.get(q + low - 1):
+                low -= 1
+            while p + high in later and later[p + high] == earlier.get(q + high):
+                high += 1
+            found.append((p + low, q + low, high - low))
+            covered.update(range(p + low, p + high))
+    return found
 
 
 def sequences(texts: DataFrame) -> DataFrame:
@@ -244,140 +217,131 @@ def sequences(texts: DataFrame) -> DataFrame:
                 held = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (h.view(np.int64), g.view(np.int64), size.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *held], names=["did", "th", "h", "g", "size"])
 
-    return texts.mapInArrow(run, "did long, th long, h array<long>, g array<long>, size array<int>").dropDuplicates(["did", "th"])
+    return texts.mapInArrow(run, "did long, th long, h array<long>, g array<long>, size array<int>")
 
 
-def _windows(h: np.ndarray, size: np.ndarray, min_lines: int, min_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Lines of a window, first places, keys: of all windows of ``min_lines`` lines and of shorter ones of ``min_bytes``."""
-    h = h.view(np.uint64)
+def _windows(h: np.ndarray, size: np.ndarray, owner: np.ndarray, min_lines: int, min_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Lines of a window, first places, keys: of windows of ``min_lines`` lines and of shorter ones of ``min_bytes``.
+
+    A window whose lines all lie in shorter ones within it says nothing new and is left out."""
     total = np.append(0, np.cumsum(size, dtype=np.int64))
     key = np.zeros(len(h), np.uint64)
+    shorter: dict[int, np.ndarray] = {}
     for n in range(1, min(min_lines, len(h)) + 1):
-        key = (key[: len(h) - n + 1] ^ (key[: len(h) - n + 1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[n - 1 :]
-        at = np.arange(len(key))
+        m = len(h) - n + 1
+        key = K.mix(key[:m] ^ h[n - 1 :])
+        fits = owner[:m] == owner[n - 1 :]
         if n < min_lines:
-            at = at[total[n:] - total[:-n] >= min_bytes]
-        yield n, at, key[at].view(np.int64)
+            fits &= total[n:] - total[:m] >= min_bytes
+        known = np.full(m, n > 1)
+        for k in range(n):
+            line = np.zeros(m, bool)
+            for w, q in shorter.items():
+                for s in range(max(0, k - w + 1), min(k, n - w) + 1):
+                    line |= q[s : s + m]
+            known &= line
+        shorter[n] = fits
+        at = np.flatnonzero(fits & ~known)
+        yield n, at, key[at]
+
+
+def _list_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of a list column without nulls."""
+    bounds = column.offsets.to_numpy()
+    return column.values.slice(bounds[0], bounds[-1] - bounds[0]).to_numpy(zero_copy_only=False), bounds - bounds[0]
 
 
-def _window_keys(seqs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
-    """``did, th, key`` for each distinct window of each text."""
+def window_rows(seqs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
+    """``did, th, key, n, at``: a row for each distinct window of each text, its lines and all its first places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, key = [], []
-            for i, (h, size) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                found = [k for _, _, k in _windows(h.values.to_numpy(), size.values.to_numpy(), min_lines, min_bytes)]
-                own = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-                key.append(own)
-                row.append(np.full(len(own), i))
-            if row:
-                at = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(key))], names=["did", "th", "key"])
+            (h, bounds), (size, _) = _list_values(batch.column(2)), _list_values(batch.column(3))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            for n, at, key in _windows(h.view(np.uint64), size, owner, min_lines, min_bytes):
+                if not len(at):
+                    continue
+                order = np.lexsort((at, key, owner[at]))
+                at, key = at[order], key[order]
+                row = owner[at]
+                head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(at)).astype(np.int32)), pa.array((at - bounds[row]).astype(np.int32)))
+                row = pa.array(row[head])
+                columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(key[head].view(np.int64)), pa.array(np.full(len(head), n, np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["did", "th", "key", "n", "at"])
 
-    return seqs.select("did", "th", "h", "size").mapInArrow(run, "did long, th long, key long")
+    return seqs.select("did", "th", "h", "size").mapInArrow(run, "did long, th long, key long, n int, at array<int>")
 
 
-_SPANS = "did long, th long, start int, n int"
+_PASSAGES = "did long, th long, at array<int>, h array<long>, g array<long>, size array<int>, partners array<struct<edid:long,eth:long>>"
+_ALIGNED = "did long, th long, edid long, eth long, start int, estart int, n int"
 
 
-def _spans(batch: pa.RecordBatch, found: list[set[tuple[int, int]]]) -> pa.RecordBatch:
-    at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
-    flat = [sorted(x) for x in found]
-    start, n = (pa.array([b[k] for x in flat for b in x], pa.int32()) for k in (0, 1))
-    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), start, n], names=["did", "th", "start", "n"])
+def _passages(marked: DataFrame) -> DataFrame:
+    """Of each text the lines that lie in the marked windows, with their places."""
 
-
-def _lines_of(h: pa.ListScalar, g: pa.ListScalar) -> list[tuple[int, int]]:
-    return list(zip(h.values.to_numpy().tolist(), g.values.to_numpy().tolist(), strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (h, bounds), (g, _), (size, _) = (_list_values(batch.column(i)) for i in (2, 3, 4))
+            took, counts = [], []
+            for i, marks in enumerate(batch.column(5)):
+                at, ends = _list_values(marks.values.field(1))
+                n = np.repeat(marks.values.field(0).to_numpy(), np.diff(ends))
+                step = np.zeros(bounds[i + 1] - bounds[i] + 1, np.int64)
+                np.add.at(step, at, 1)
+                np.add.at(step, at + n, -1)
+                took.append(np.flatnonzero(np.cumsum(step[:-1]) > 0))
+                counts.append(len(took[-1]))
+            if not took:
+                continue
+            at = np.concatenate(took)
+            own = at + np.repeat(bounds[:-1], counts)
+            ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), h[own], g[own], size[own])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, batch.column(6)], names=["did", "th", "at", "h", "g", "size", "partners"])
+
+    return marked.select("did", "th", "h", "g", "size", "marks", "partners").mapInArrow(run, _PASSAGES)
 
 
-def every_block(texts: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``did, th, start, n``: blocks that cover what the alignments with all earlier texts cover."""
+def aligned_blocks(texts: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """``did, th, edid, eth, start, estart, n``: blocks of each later text, and where an earlier one has them."""
     seqs = stored(sequences(texts), "sequences")
-    keys = stored(_window_keys(seqs, min_lines, min_bytes), "windows")
-    first = keys.groupBy("key").agg(F.min(F.struct("did", "th")).alias("first"), F.max("did").alias("high")).filter("first.did < high")
+    windows = stored(window_rows(seqs, min_lines, min_bytes), "windows")
+    first = windows.groupBy("key").agg(F.min(F.struct("did", "th")).alias("first"), F.max("did").alias("high")).filter("first.did < high")
     # Written first: the join then stands on two plain exchanges, whose hot partitions Spark splits.
-    first = stored(first.select("key", F.col("first.did").alias("edid"), F.col("first.th").alias("eth")), "first-holders")
-    shared = stored(keys.join(first, "key").filter("did > edid"), "shared-windows")
-    earlier = seqs.select(F.col("did").alias("edid"), F.col("th").alias("eth"), F.col("h").alias("eh"), F.col("g").alias("eg"))
-    pairs = stored(shared.select("did", "th", "edid", "eth").distinct(), "pairs").join(earlier, ["edid", "eth"])
-    pairs = stored(pairs.select("did", "th", "eh", "eg"), "partners").join(seqs, ["did", "th"])
-
-    def pairwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for h, g, size, eh, eg in zip(*batch.columns[2:], strict=True):
-                held = dict(enumerate(size.values.to_numpy().tolist()))
-                found.append(set(blocks(align(_lines_of(h, g), _lines_of(eh, eg)), held, min_lines, min_bytes)))
-            yield _spans(batch, found)
+    first = stored(first.select("key", "first"), "first-holders")
+    partner = F.when(F.col("did") > F.col("first.did"), F.struct(F.col("first.did").alias("edid"), F.col("first.th").alias("eth")))
+    shared = windows.join(first, "key").select("did", "th", F.struct("n", "at").alias("mark"), partner.alias("partner"))
+    marked = stored(shared.groupBy("did", "th").agg(F.collect_list("mark").alias("marks"), F.collect_set("partner").alias("partners")), "marks")
+    released(windows, first)
+    # Repeated rows are one text.
+    joined = marked.join(seqs, ["did", "th"]).dropDuplicates(["did", "th"])
+    passages = stored(_passages(joined), "passages")
+    released(marked, seqs)
+    pairs = passages.select("did", "th", "at", "h", "g", "size", F.explode("partners").alias("e")).select("e.edid", "e.eth", "did", "th", "at", "h", "g", "size")
+    earlier = passages.select(F.col("did").alias("edid"), F.col("th").alias("eth"), F.col("at").alias("eat"), F.col("h").alias("eh"), F.col("g").alias("eg"))
+
+    def lines_of(at: pa.ListScalar, h: pa.ListScalar, g: pa.ListScalar) -> dict[int, object]:
+        return dict(zip(at.values.to_numpy().tolist(), zip(h.values.to_numpy().tolist(), g.values.to_numpy().tolist(), strict=True), strict=True))
 
-    cut = stored(pairs.select("did", "th", "h", "g", "size", "eh", "eg").mapInArrow(pairwise, _SPANS), "first-spans")
-
-    def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, key = [], []
-            for i, (h, size, shared_keys, spans) in enumerate(zip(*batch.columns[2:], strict=True)):
-                open_ = np.ones(len(h), np.int64)
-                for x in spans.as_py() or ():
-                    open_[x["start"] : x["start"] + x["n"]] = 0
-                total = np.append(0, np.cumsum(open_))
-                ours = shared_keys.values.to_numpy()
-                for n, at, k in _windows(h.values.to_numpy(), size.values.to_numpy(), min_lines, min_bytes):
-                    k = k[(total[at + n] > total[at]) & np.isin(k, ours)]
-                    key += np.unique(k).tolist()
-                    row += [i] * (len(key) - len(row))
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key, pa.int64())], names=["did", "th", "key"])
-
-    covered = cut.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    held = shared.groupBy("did", "th").agg(F.collect_list("key").alias("keys")).join(seqs, ["did", "th"]).join(covered, ["did", "th"], "left")
-    left = stored(held.select("did", "th", "h", "size", "keys", "spans").mapInArrow(uncovered, "did long, th long, key long"), "uncovered")
-    # Holders of the windows left, as the lines they share with any text that has such a window, and the gaps between.
-    ours = left.select("did", "th").distinct().join(seqs, ["did", "th"]).select(F.explode(F.arrays_zip("h", "g")).alias("x")).select("x.h", "x.g").distinct()
-    holders = stored(keys.join(left.select("key").distinct(), "key", "left_semi"), "holders")
-    line = holders.select("did", "th").distinct().join(seqs, ["did", "th"]).select("did", "th", F.posexplode(F.arrays_zip("h", "g")).alias("at", "x")).select("did", "th", "at", "x.h", "x.g")
-    line = line.join(stored(ours, "lines-left"), ["h", "g"], "left_semi")
-    alike = line.groupBy("did", "th").agg(F.array_sort(F.collect_list(F.struct("at", "h", "g"))).alias("x"))
-    # A gap is a step of more than one place.
-    alike = alike.select("did", "th", F.expr("transform(x, (v, i) -> named_struct('h', v.h, 'g', v.g, 'gap', i > 0 and v.at > x[greatest(i - 1, 0)].at + 1))").alias("x"))
-    kinds = holders.join(alike, ["did", "th"]).groupBy("key", "x").agg(F.min("did").alias("edid"))
-    tried = left.join(stored(kinds, "kinds"), "key").filter("edid < did")
-    # Some of a text's partners at once, so that no row holds all.
-    lists = tried.groupBy("did", "th", F.pmod(F.xxhash64("x"), F.lit(64)).alias("part")).agg(F.collect_list("x").alias("others"))
-    lists = stored(lists, "kinds-tried").join(seqs, ["did", "th"])
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The join brings the pairs of one earlier text one after the other.
+        known, other = None, {}
         for batch in batches:
-            found = []
-            for h, g, size, others in zip(*batch.columns[2:], strict=True):
-                own = _lines_of(h, g)
-                held = dict(enumerate(size.values.to_numpy().tolist()))
-                known = set(own)
-                flat = others.values
-                # The values of a slice are those of the whole batch.
-                bounds = flat.offsets.to_numpy()
-                values = flat.values.slice(bounds[0], bounds[-1] - bounds[0])
-                bounds = bounds - bounds[0]
-                xh, xg, gap = (values.field(k).to_numpy(zero_copy_only=False).tolist() for k in range(3))
-                kinds = set()
-                for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    kept: list = []
-                    broken = False
-                    for p in range(low, high):
-                        broken |= gap[p]
-                        if (xh[p], xg[p]) in known:
-                            if broken and kept:
-                                kept.append(None)
-                            kept.append((xh[p], xg[p]))
-                            broken = False
-                        else:
-                            broken = True
-                    kinds.add(tuple(kept))
-                found.append({b for kind in kinds for b in blocks(align(own, list(kind)), held, min_lines, min_bytes)})
-            yield _spans(batch, found)
-
-    return cut.unionByName(lists.select("did", "th", "h", "g", "size", "others").mapInArrow(rest, _SPANS))
+            row, found = [], []
+            for i, (edid, eth, at, h, g, size, eat, eh, eg) in enumerate(zip(*(batch.column(k) for k in (0, 1, 4, 5, 6, 7, 8, 9, 10)), strict=True)):
+                if (key := (edid.as_py(), eth.as_py())) != known:
+                    known, other = key, lines_of(eat, eh, eg)
+                later = lines_of(at, h, g)
+                own = shared_blocks(later, other, dict(zip(later, size.values.to_numpy().tolist(), strict=True)), min_lines, min_bytes)
+                row += [i] * len(own)
+                found += own
+            take = pa.array(row, pa.int64())
+            ends = [batch.column(k).take(take) for k in (2, 3, 0, 1)]
+            yield pa.RecordBatch.from_arrays(ends + [pa.array([x[k] for x in found], pa.int32()) for k in range(3)], names=["did", "th", "edid", "eth", "start", "estart", "n"])
+
+    ordered = ["edid", "eth", "did", "th", "at", "h", "g", "size", "eat", "eh", "eg"]
+    return pairs.join(earlier, ["edid", "eth"]).select(*ordered).mapInArrow(run, _ALIGNED)
 
 
 def _cut(texts: DataFrame, found: DataFrame, carry: bool = False) -> DataFrame:
@@ -402,19 +366,19 @@ def _cut(texts: DataFrame, found: DataFrame, carry: bool = False) -> DataFrame:
                     n = sum(p - 1 not in places for p in places)
                     gone.update(full[p] for p in places)
                     kept = [x for i, x in enumerate(lines) if i not in gone] if gone else lines
-                    rows.append((did.as_py(), len(full), len(gone), n, b"\n".join(kept).decode()))
-                types = [pa.int64()] * 4 + [pa.string()]
+                    rows.append((did.as_py(), len(full), len(gone), n, sum(map(len, lines)) + len(lines) - 1, b"\n".join(kept).decode()))
+                types = [pa.int64()] * 5 + [pa.string()]
                 made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays(made + part.columns[3:], names=schema.names)
 
     return texts.join(found, ["did", "th"], "left").select(*columns).mapInArrow(run, schema)
 
 
-def remove_shared_blocks(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, every: bool = False) -> DataFrame:
-    """``doc_id, n_lines, n_removed, n_blocks, kept_text``, a row for each row of docs.
+def remove_shared_blocks(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """``doc_id, n_lines, n_removed, n_blocks, n_bytes, kept_text``, a row for each row of docs.
 
-    ``every`` aligns with all earlier documents, not only with the first holders of lines; ``carry`` adds the columns of docs other than the text, in a struct ``row``."""
+    ``n_bytes`` is the size before the cut; ``carry`` adds the columns of docs other than the text, in a struct ``row``."""
     texts = keyed(docs, id_col, text_col, carry)
-    found = (every_block if every else aligned_blocks)(texts.select("did", "th", "text"), min_lines, min_bytes)
+    found = aligned_blocks(texts.select("did", "th", "text"), min_lines, min_bytes)
     spans = found.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    return _cut(texts, spans, carry).select(id_back(F.col("did")).alias("doc_id"), "n_lines", "n_removed", "n_blocks", "kept_text", *["row"] * carry)
+    return _cut(texts, spans, carry).select(id_back(F.col("did")).alias("doc_id"), "n_lines", "n_removed", "n_blocks", "n_bytes", "kept_text", *["row"] * carry)

@@ -1,99 +1,128 @@
 import random
-from collections import defaultdict
 
 from quillspark.llm import lines
 
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def _brute(rows):
-    """The contract spelt out: first holders, anchors, longest rising run by dynamic programming, growth."""
+def _full(text):
+    return [x.strip(WHITE) for x in text.split("\n") if x.strip(WHITE)]
+
+
+def _removed(rows, pair):
+    """Every document against every earlier one; pair: which places of the later one go."""
     last = 2**63 - 1
     docs = [(last if i is None else i, t or "") for i, t in rows]
-    full = [[x.strip(WHITE) for x in t.split("\n") if x.strip(WHITE)] for _, t in docs]
-    first = {}
-    for n in sorted(range(len(docs)), key=lambda n: docs[n][0]):
-        for x in full[n]:
-            first.setdefault(x, n)
     out = []
-    for n, (i, t) in enumerate(docs):
-        gone = set()
-        partners = defaultdict(set)
-        for x in full[n]:
-            if docs[first[x]][0] < i:
-                partners[first[x]].add(x)
-        for o, xs in partners.items():
-            d = [x if x in xs else None for x in full[n]]
-            e = [x if x in xs else None for x in full[o]]
-            anchors = [(d.index(x), e.index(x)) for x in xs if d.count(x) == e.count(x) == 1]
-            anchors.sort()
-            best = []
-            for a in anchors:
-                best.append(max(([*b, a] for b in best if b[-1][1] < a[1]), key=len, default=[a]))
-            size = max(map(len, best), default=0)
-            assert all(len(b) != size or b for b in best)
-            chosen = max(best, key=len, default=[])
-            if sum(len(b) == size for b in best) > 1:
-                return None  # several longest runs: which is taken is not fixed
-            pairs, low = [], (-1, -1)
-            for k, a in enumerate(chosen):
-                high = chosen[k + 1] if k + 1 < len(chosen) else (len(d), len(e))
-                p, q = a
-                while p - 1 > low[0] and q - 1 > low[1] and d[p - 1] is not None and d[p - 1] == e[q - 1]:
-                    p, q = p - 1, q - 1
-                while p < high[0] and q < high[1] and d[p] is not None and d[p] == e[q]:
-                    pairs.append((p, q))
-                    low = (p, q)
-                    p, q = p + 1, q + 1
-            k = 0
-            while k < len(pairs):
-                j = k + 1
-                while j < len(pairs) and pairs[j] == (pairs[j - 1][0] + 1, pairs[j - 1][1] + 1):
-                    j += 1
-                if j - k >= 2 or sum(len(d[p].encode()) for p, _ in pairs[k:j]) >= 32:
-                    gone.update(p for p, _ in pairs[k:j])
-                k = j
+    for i, t in docs:
+        lines_, gone = _full(t), set()
+        for j, other in docs:
+            if j < i:
+                gone |= pair(lines_, _full(other))
         kept, at = [], 0
         for x in t.split("\n"):
             if x.strip(WHITE):
-                if at not in gone:
-                    kept.append(x)
                 at += 1
-            else:
-                kept.append(x)
-        out.append((rows[n][0], len(full[n]), len(gone), "\n".join(kept)))
+                if at - 1 in gone:
+                    continue
+            kept.append(x)
+        out.append((None if i == last else i, len(lines_), len(gone), sum(p - 1 not in gone for p in gone), len(t.encode()), "\n".join(kept)))
     return sorted(out, key=repr)
 
 
+def _by_alignment(a, b):
+    """Whole documents, aligned."""
+    found = lines.shared_blocks(dict(enumerate(a)), dict(enumerate(b)), {p: len(x.encode()) for p, x in enumerate(a)}, 2, 32)
+    assert all(a[p : p + n] == b[q : q + n] for p, q, n in found)
+    return {p + k for p, _, n in found for k in range(n)}
+
+
+def _by_runs(a, b):
+    """Without any alignment: all runs of lines that both have."""
+    gone = set()
+    for p in range(len(a)):
+        for q in range(len(b)):
+            n = 0
+            while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                n += 1
+            if n >= 2 or sum(len(x.encode()) for x in a[p : p + n]) >= 32:
+                gone.update(range(p, p + n))
+    return gone
+
+
+def _patience(a, b):
+    """Patience diff alone, without moved passages."""
+    size = {p: len(x.encode()) for p, x in enumerate(a)}
+    return {p + k for p, _, n in lines.blocks(lines.align(a, b), size, 2, 32) for k in range(n)}
+
+
 def _result(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as did", "2 as h", "3 as at")
-    return sorted((tuple(r) for r in lines.remove_shared_blocks(df).select("doc_id", "n_lines", "n_removed", "kept_text").collect()), key=repr)
-
-
-def test_against_brute_force(spark):
-    done = 0
-    for seed in range(40):
-        rng = random.Random(seed)
-        passages = [[f"line {rng.randint(0, 10**6)} {'é' * rng.randint(0, 20)}" for _ in range(rng.randint(1, 6))] for _ in range(8)] + [["---"], ["common words of every page, licensed"]]
-        rows = []
-        for i in range(30):
-            text = []
-            for p in rng.sample(passages, rng.randint(0, 3)):
-                text += p + rng.choice([[], [""], ["---"], [f"own {rng.random()}"]])
-            rows.append((rng.choice([i, i, None]), "\n".join("  " * rng.randint(0, 1) + x for x in text)))
-        rows += [(None, None), (100, ""), (101, "\n \n"), rows[3], rows[4]]
-        want = _brute(rows)
-        if want is not None and done < 2:
-            done += 1
-            assert _result(spark, rows) == want
-    assert done == 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as did", "2 as h", "3 as at", "4 as th", "5 as partners")
+    return sorted((tuple(r) for r in lines.remove_shared_blocks(df).collect()), key=repr)
+
+
+def _random_rows(seed):
+    rng = random.Random(seed)
+    short = [f"s{i}" for i in range(10)]
+    hot = ["license line that stands in very many documents", "a", "b", "---"]
+    passages = [[f"line {rng.randint(0, 10**6)} {'é' * rng.randint(0, 20)}" for _ in range(rng.randint(1, 6))] for _ in range(8)]
+    rows = [(i, f"own {i}\n{x}\nend {i}") for i, x in enumerate(short)] + [(20, "\n".join(short)), (21, "\n".join(short))]
+    for i in range(30, 110):
+        text = []
+        for _ in range(rng.randint(0, 4)):
+            text += rng.choice([[rng.choice(hot)], rng.choices(hot, k=3), [f"own {rng.random()}"], short[3:6], short[5:9], rng.choice(passages), rng.choice(passages)])
+        rows.append((rng.choice([i, i, i - 1, None]), "\n".join("  " * rng.randint(0, 1) + x for x in text)))
+    rng.shuffle(rows)
+    return rows + [(None, None), (200, ""), (201, " \n"), rows[40], rows[40]]
+
+
+def test_against_every_earlier_document(spark):
+    for seed in (3, 4):
+        rows = _random_rows(seed)
+        got = _result(spark, rows)
+        want = _removed(rows, _by_alignment)
+        assert got == want
+        assert want == _removed(rows, _by_runs)
+        # What patience diff of whole documents finds is never missed.
+        for a, b in zip(want, _removed(rows, _patience), strict=True):
+            assert a[:2] == b[:2] and a[2] >= b[2]
     assert _result(spark, []) == []
 
 
-def test_patience_keeps_order():
-    assert lines.patience([([0], [2]), ([1], [0]), ([2], [1])]) == [(1, 0), (2, 1)]
-    assert lines.patience([([0, 2], [0, 2]), ([1], [1])]) == [(0, 0), (1, 1), (2, 2)]
-    assert lines.patience([]) == []
+def test_windows_of_more_lines():
+    rng = random.Random(8)
+    for _ in range(2000):
+        a, b = ([rng.choice(["x", "yy", "zzz", "w" * 9]) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        size = {p: len(x) for p, x in enumerate(a)}
+        for least, weight in ((3, 8), (1, 99), (4, 10)):
+            found = lines.shared_blocks(dict(enumerate(a)), dict(enumerate(b)), size, least, weight)
+            want = set()
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    n = 0
+                    while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                        n += 1
+                    if n >= least or sum(map(len, a[p : p + n])) >= weight:
+                        want.update(range(p, p + n))
+            assert {p + k for p, _, n in found for k in range(n)} == want
+
+
+def test_copies_of_a_later_holder(spark):
+    """The first holder of one line lies elsewhere; the copy still goes whole."""
+    rows = [(1, "mid"), (3, "aaa\nmid\nbbb"), (4, "aaa\nmid\nbbb"), (11, "x1 line here"), (12, "y1 line here"), (13, "x1 line here\ny1 line here"), (14, "x1 line here\ny1 line here")]
+    assert [(i, gone) for i, _, gone, *_ in _result(spark, rows)] == [(1, 0), (11, 0), (12, 0), (13, 0), (14, 2), (3, 0), (4, 3)]
+
+
+def test_very_long_texts(spark):
+    long = "\n".join(f"line number {i} of a very long text" for i in range(30_000))
+    rows = [(1, long), (2, long + "\nown end"), (3, "same\n" * 20_000), (4, "same\n" * 20_000)]
+    assert [(i, n, gone) for i, n, gone, *_ in _result(spark, rows)] == [(1, 30_000, 0), (2, 30_001, 30_000), (3, 20_000, 0), (4, 20_000, 20_000)]
+
+
+def test_hash_columns_and_carried_row(spark):
+    df = spark.createDataFrame([(1, "a\nb", "x"), (2, "a\nb\nc", None)], "doc_id long, text string, row string")
+    got = lines.remove_shared_blocks(df, carry=True).select("doc_id", "n_removed", "row.row").collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == [(1, 0, "x"), (2, 2, None)]
 
 
 def _longest(a, b):
@@ -128,43 +157,6 @@ def test_align_without_unique_lines():
 def test_passage_twice_is_removed(spark):
     passage = [f"passage line {i}" for i in range(6)]
     rows = [(1, "\n".join(passage)), (2, "\n".join(["own", *passage, "between", *passage])), (3, "\n".join(["end"] * 4)), (4, "\n".join(["end"] * 4))]
-    assert [(i, n, gone) for i, n, gone, _ in _result(spark, rows)] == [(1, 6, 0), (2, 14, 6), (3, 4, 0), (4, 4, 4)]
-
-
-def _every(rows):
-    """Patience diff over all pairs, without first holders."""
-    last = 2**63 - 1
-    docs = [(last if i is None else i, t or "") for i, t in rows]
-    full = [[x.strip(WHITE) for x in t.split("\n") if x.strip(WHITE)] for _, t in docs]
-    out = []
-    for n, (i, _) in enumerate(docs):
-        size = {p: len(x.encode()) for p, x in enumerate(full[n])}
-        gone = set()
-        for m, (j, _) in enumerate(docs):
-            if j < i:
-                for start, k in lines.blocks(lines.align(full[n], full[m]), size, 2, 32):
-                    gone.update(range(start, start + k))
-        out.append((rows[n][0], len(full[n]), len(gone), sum(p - 1 not in gone for p in gone)))
-    return sorted(out, key=repr)
-
+    assert [(i, n, gone) for i, n, gone, *_ in _result(spark, rows)] == [(1, 6, 0), (2, 14, 12), (3, 4, 0), (4, 4, 4)]
 
-def _every_result(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted((tuple(r) for r in lines.remove_shared_blocks(df, every=True).select("doc_id", "n_lines", "n_removed", "n_blocks").collect()), key=repr)
 
-
-def test_every_partner_against_all_pairs(spark):
-    short = [f"s{i}" for i in range(10)]
-    rows = [(i, f"own {i}\n{x}\nend {i}") for i, x in enumerate(short)] + [(20, "\n".join(short)), (21, "\n".join(short))]
-    rng = random.Random(3)
-    hot = ["license line that stands in very many documents", "a", "b", "---"]
-    for i in range(30, 150):
-        text = []
-        for _ in range(rng.randint(0, 4)):
-            text += rng.choice([[rng.choice(hot)], rng.choices(hot, k=3), [f"own {rng.random()}"], short[3:6], short[5:9]])
-        rows.append((rng.choice([i, i, i - 1, None]), "\n".join(text)))
-    rows += [(None, None), (200, ""), (201, " \n"), rows[40], rows[40]]
-    want = _every(rows)
-    assert (21, 10, 10, 1) in want
-    assert _every_result(spark, rows) == want
-    assert _every_result(spark, []) == []
