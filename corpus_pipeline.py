@@ -10,8 +10,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import stored, table
+from quillspark.llm.common import released, stored, table
 from quillspark.llm.lines import remove_shared_blocks
+from quillspark.llm.minhash import DENOMINATOR as NEAR_UNDER
+from quillspark.llm.minhash import NUMERATOR as NEAR_OVER
 from quillspark.llm.minhash import near_duplicates
 from quillspark.llm.mixing import mixed
 from quillspark.llm.packing import GROUP_DOCS, packed
@@ -25,8 +27,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines that an earlier document has go from the later one; one that loses all its lines goes."""
-    cut = remove_shared_blocks(docs, carry=True, every=True).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    """Blocks of lines that an earlier document has go from the later one.
+
+    A document that loses all its lines goes. So does one of which less than a quarter is left, the rest that the
+    near-dedup threshold allows: a near copy, cut down to its own few words, would match nothing later on."""
+    cut = remove_shared_blocks(docs, carry=True)
+    left = NEAR_UNDER * F.octet_length("kept_text") > (NEAR_UNDER - NEAR_OVER) * F.col("n_bytes")
+    cut = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")) & left)
     columns = []
     for c in docs.columns:
         if c == "text":
@@ -39,11 +46,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    named = docs.filter("doc_id is not null")
-    kept = named.join(gone, named["doc_id"] == F.col("gone_id"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Rows that share an id and a text are one document; other texts under its id that are kept stay too."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rest = F.to_json(F.struct(*[docs[c] for c in docs.columns if c not in ("doc_id", "text")]))
+    named = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("th"), rest.alias("rest"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = named.filter("id is not null").join(gone, "id", "left_anti")
+    # Of rows that differ in other columns only, a fixed one stays.
+    first = kept.groupBy("id", "th").agg(F.min_by("row", F.coalesce("rest", F.lit(""))).alias("row"))
+    return first.select("row").unionByName(rows.filter("row.doc_id is null")).select("row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +70,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that don't come from files are dealt to groups by hash."""
     try:
-        placed = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        meta = docs.metadataColumn("_metadata")
+        placed = docs.select(docs["doc_id"], docs["text"], meta["file_name"].alias("_file"), meta["row_index"].alias("_row"))
     except AnalysisException:
         return packed(docs)
     part = F.coalesce(F.regexp_extract("_file", r"part-(\d{1,6})", 1).try_cast("long"), F.pmod(F.xxhash64("_file"), F.lit(1 << 17)))
@@ -80,5 +94,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        released(before)
     return STAGES[-1][1](spark, docs, sf_dir)
