@@ -63,3 +63,36 @@ def test_run_and_empty(spark, tables, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{path}/{name}.parquet").filter("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_shared_ids(spark, tmp_path):
+    words = lambda a: " ".join(f"w{a}x{i}" for i in range(60))
+    rows = [(1, words(1)), (1, words(2)), (1, words(1)), (2, words(3)), (5, words(3) + " end"), (None, words(4)), (None, None)]
+    clash = {c: "1" for c in ("row", "id", "th", "rest", "did", "gone_id", "_file", "_row", "_metadata", "slot", "share", "n", "kept_text", "n_removed", "score", "group", "spans")}
+    extra = ", ".join(f"{c} string" for c in clash)
+    data = [(i, t, "en", "a", 1, *clash.values()) for i, t in rows]
+    frame = spark.createDataFrame(data, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == frame.columns
+        if name == "minhash dedup":
+            assert sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect()) == sorted([(1, words(1)), (1, words(2)), (2, words(3)), (0, words(4)), (0, "")])
+    assert {r["doc_id"] for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()} == {1, 2, None}
+    # Frames that come from no file.
+    assert corpus_pipeline.packing(spark, frame.limit(3), str(tmp_path)).count() == 3
+
+
+def test_near_copies_leave_no_stumps(spark, tmp_path):
+    """A near copy whose lines are mostly an earlier document's goes in one of the two stages."""
+    rng = random.Random(4)
+    line = lambda: " ".join(f"w{rng.randint(0, 9000)}" for _ in range(10))
+    base = [[line() for _ in range(10)] for _ in range(12)]
+    rows = [(n, "\n".join(b)) for n, b in enumerate(base)]
+    rows += [(100 + n, "\n".join([*b[:4], line(), *b[5:]])) for n, b in enumerate(base)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.minhash_dedup):
+        docs = stored(stage(spark, docs, ""), "test")
+    assert sorted(r["doc_id"] for r in docs.collect()) == list(range(12))
