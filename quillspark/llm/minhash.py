@@ -16,8 +16,8 @@ share of equal coordinates is concentrated about the Jaccard similarity as for t
 So no bucket is expanded into all its pairs, and none is capped. With the defaults a pair at the threshold
 shares no band with probability 2.6e-7, and is ruled out by its sketch with one below 1e-5.
 
-Cases: null and empty texts have no shingles, and link with nothing; rows sharing an id are one document;
-rows with a null id take no part (component null, kept); repeated rows give repeated results; empty
+Cases: null and empty texts have no shingles, and link with nothing; rows sharing an id are one document, whose
+texts hang together however many they are; rows with a null id take no part (component null, kept); repeated rows give repeated results; empty
 tables give empty results; only the two named columns are read."""
 
 from __future__ import annotations
@@ -124,22 +124,22 @@ def sketched(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. texts: one row an id."""
+    """The pairs (a, b) whose full shingle sets reach the threshold. pairs: ``a, a_th, b, b_th``; texts: one row an id and th."""
     over, under = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            a, b, b_th = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             keep = np.zeros(len(a), bool)
-            held: dict[int, np.ndarray] = {}
-            for low, high, data, offsets in utf8_parts(batch.column(2)):
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for low, high, data, offsets in utf8_parts(batch.column(3)):
                 sets = shingle_sets(data, offsets, size)
                 for i in range(low, high):
-                    if (other := held.get(b[i])) is None:
-                        text = batch.column(3)[i].as_py().encode()
+                    if (other := held.get((b[i], b_th[i]))) is None:
+                        text = batch.column(4)[i].as_py().encode()
                         if len(held) > 4:
                             held.clear()
-                        other = held[b[i]] = shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), size)[0]
+                        other = held[b[i], b_th[i]] = shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), size)[0]
                     own = sets[i - low]
                     few, many = (own, other) if len(own) < len(other) else (other, own)
                     at = np.minimum(np.searchsorted(many, few), len(many) - 1)
@@ -147,8 +147,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: tuple[in
                     keep[i] = both > 0 and under * both >= over * (len(own) + len(other) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    one, two = texts.select(F.col("did").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("did").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    one, two = (texts.select(F.col("did").alias(x), F.col("th").alias(f"{x}_th"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    both = pairs.join(one, ["a", "a_th"]).join(two, ["b", "b_th"])
+    return both.select("a", "b", "b_th", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _across(members: DataFrame, size: int, coordinates: int, threshold: tuple[int, int]) -> DataFrame:
@@ -162,8 +163,8 @@ def _across(members: DataFrame, size: int, coordinates: int, threshold: tuple[in
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         low, high, band = key[1].as_py(), key[2].as_py(), table.column("band")[0].as_py()
-        table = table.sort_by([("did", "ascending"), ("block", "ascending")]).combine_chunks()
-        did, comp, block, lo = (table.column(n).to_numpy() for n in ("did", "comp", "block", "lo"))
+        table = table.sort_by([("did", "ascending"), ("th", "ascending"), ("block", "ascending")]).combine_chunks()
+        did, comp, block = (table.column(n).to_numpy() for n in ("did", "comp", "block"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(did), coordinates)
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(did), -1)
         sets: dict[int, np.ndarray] = {}
@@ -176,8 +177,8 @@ def _across(members: DataFrame, size: int, coordinates: int, threshold: tuple[in
 
         comp = np.unique(comp, return_inverse=True)[1]
         one, two = [], []
-        right = np.flatnonzero((block == high) & (did != lo))
-        for i in np.flatnonzero((block == low) & (did != lo)).tolist():
+        right = np.flatnonzero(block == high)
+        for i in np.flatnonzero(block == low).tolist():
             other = right[comp[right] != comp[i]]
             if low == high:
                 other = other[other > i]
@@ -197,9 +198,9 @@ def _across(members: DataFrame, size: int, coordinates: int, threshold: tuple[in
                     comp[comp == comp[j]] = comp[i]
         return pa.table({"a": pa.array(np.maximum(one, two), pa.int64()), "b": pa.array(np.minimum(one, two), pa.int64())})
 
-    blocks = members.withColumn("of", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("block", F.pmod(F.xxhash64("did"), "of").cast("int"))
+    blocks = members.withColumn("of", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")).withColumn("block", F.pmod(F.xxhash64("did", "th"), "of").cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "lo", "did", "comp", "block", "bands", "sketch", "text")
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "did", "th", "comp", "block", "bands", "sketch", "text")
     return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -221,32 +222,34 @@ def near_duplicates(
     classes = real.groupBy("n", "set_a", "set_b").agg(F.min(F.struct("did", "th")).alias("first"))
     classes = stored(classes.select("n", "set_a", "set_b", F.col("first.did").alias("rep"), F.col("first.th").alias("rep_th")), "classes")
     first = classes.select(F.col("rep").alias("did"), F.col("rep_th").alias("th"))
+    # An id may stand for several classes: representatives are told apart by id and text.
     reps = stored(made.join(first, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).select("did", "th", "n_bytes", "bands", "sketch"), "representatives")
-    banded = reps.select("did", "n_bytes", F.posexplode("bands").alias("band", "key"))
+    banded = reps.select("did", "th", "n_bytes", F.posexplode("bands").alias("band", "key"))
     # Of buckets with the same members, that of the first band stays.
     buckets = (
         banded.groupBy("key")
-        .agg(F.count("*").alias("size"), F.min("did").alias("lo"), F.bit_xor(F.xxhash64("did")).alias("who"), F.sum("n_bytes").alias("bytes"), F.min("band").alias("band"))
+        .agg(F.count("*").alias("size"), F.min(F.struct("did", "th")).alias("lo"), F.bit_xor(F.xxhash64("did", "th")).alias("who"), F.sum("n_bytes").alias("bytes"), F.min("band").alias("band"))
         .filter("size > 1")
         .groupBy("size", "lo", "who")
         .agg(F.min(F.struct("band", "key")).alias("one"), F.max("bytes").alias("bytes"))
         .select("one.key", "one.band", "size", "lo", "bytes")
     )
-    members = stored(banded.select("did", "key").join(buckets, "key"), "buckets")
-    wanted = reps.join(members.select("did").distinct(), "did", "left_semi").select("did", "th")
-    candidates = stored(texts.join(wanted, ["did", "th"], "left_semi").dropDuplicates(["did"]).select("did", "text"), "candidates")
-
-    # Rows that share an id are one document: its classes hang together.
-    shared = real.join(classes, ["n", "set_a", "set_b"]).groupBy("did").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 < r1 or did < r0")
-    joined = shared.select(F.col("did").alias("a"), F.col("r0").alias("b")).unionByName(shared.select(F.col("did").alias("a"), F.col("r1").alias("b"))).filter("a != b")
-    tried = members.filter("did > lo").select(F.col("did").alias("a"), F.col("lo").alias("b")).distinct()
-    edges = stored(confirmed(tried, candidates, size, threshold), "links")
+    members = stored(banded.select("did", "th", "key").join(buckets, "key"), "buckets")
+    wanted = members.select("did", "th").distinct()
+    candidates = stored(texts.join(wanted, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).select("did", "th", "text"), "candidates")
+
+    # Rows that share an id are one document: all its classes hang together.
+    own = real.join(classes, ["n", "set_a", "set_b"]).select("did", "rep").distinct()
+    several = own.groupBy("did").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).filter("b < high").select("did", "b")
+    joined = stored(own.join(several, "did").select(F.col("rep").alias("a"), "b").filter("a != b").distinct(), "one-id")
+    tried = members.filter("did != lo.did or th != lo.th").select(F.col("did").alias("a"), F.col("th").alias("a_th"), F.col("lo.did").alias("b"), F.col("lo.th").alias("b_th")).distinct()
+    edges = stored(confirmed(tried, candidates, size, threshold).filter("a != b").unionByName(joined), "links")
     found = components(edges)
     split = members.filter("size > 2").join(found.withColumnRenamed("node", "did"), "did", "left").withColumn("comp", F.coalesce("component", "did")).drop("component")
     mixed = split.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    unsettled = split.join(mixed, "key", "left_semi").join(reps.select("did", "bands", "sketch").dropDuplicates(["did"]), "did").join(candidates, "did")
+    unsettled = split.join(mixed, "key", "left_semi").join(reps.select("did", "th", "bands", "sketch"), ["did", "th"]).join(candidates, ["did", "th"])
     new = stored(_across(unsettled, size, bands * rows, threshold), "more-links")
-    edges = edges.unionByName(new).unionByName(joined)
+    edges = edges.unionByName(new)
     found = components(edges)
     labelled = (
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
