@@ -7,18 +7,21 @@ two children, so the first bin with room is found in logarithmic time. A group h
 only; the ids stay with their documents.
 
 Cases: null texts count as empty and still give one token (the end mark); null ids and repeated rows are
-packed row by row (a row number within the id and text tells them apart); ties in length go to the smaller
-id; empty tables give empty results; only the two named columns are read."""
+packed row by row (equal rows beyond a partition's first are dealt over all groups); ties in length go to the
+smaller id; empty tables give empty results; only the two named columns are read."""
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,37 +34,60 @@ END_ID = 1
 SEQUENCES = 1 << 24
 VOCABULARY = "byte_bpe_50k"
 
-_ENCODER: dict[str, object] = {}
+_ENCODER: dict[str, Callable[[str], list[int]]] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY):
-    """Text to ids of the byte-level vocabulary; its special strings are ordinary text.
+def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
+    """Text to the ids that ``tokenizers`` gives with the vocabulary's .json file and ``add_special_tokens=False``.
 
-    The same merges as the .json file of that name, through the faster of the two libraries (tested equal)."""
+    The file's added tokens are found first, as that library does; the text between goes through the same
+    merges in the faster of two libraries (tested equal)."""
     if vocabulary not in _ENCODER:
         import public_tokenizers
         import tiktoken
 
-        lines = open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb")
-        with lines:
+        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODER[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODER[vocabulary].encode_ordinary
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+            added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+        merges = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        marks = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
 
+        def encode(text: str) -> list[int]:
+            if marks is None or not marks.search(text):
+                return merges.encode_ordinary(text)
+            ids: list[int] = []
+            for piece in marks.split(text):
+                ids += [added[piece]] if piece in added else merges.encode_ordinary(piece)
+            return ids
 
-def tokenised(docs: DataFrame, vocabulary: str, size: int, id_col: str, text_col: str, group: Column) -> DataFrame:
-    """One row a document: id, token count with the end mark, and the checksum of each cut of its ids."""
+        _ENCODER[vocabulary] = encode
+    return _ENCODER[vocabulary]
+
+
+def tokenised(docs: DataFrame, vocabulary: str, size: int, id_col: str, text_col: str, group: Column, groups: int | None = None) -> DataFrame:
+    """One row a document: id, token count with the end mark, and the checksum of each cut of its ids.
+
+    groups: their number, where repeated rows are to be dealt out: all but a partition's first of equal rows
+    (same id and text) go to groups of their own hash, so that none holds them all."""
     schema = "doc_id long, th long, group long, n long, crcs array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
+        part = TaskContext.get().partitionId()
+        seen: dict[tuple[int | None, int], int] = {}
         for batch in batches:
             counts, crcs = [], []
+            dealt = batch.column(2).to_pylist()
+            for i, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if groups else ():
+                if turn := seen.get(row, 0):
+                    dealt[i] = zlib.crc32(f"{row}|{part}|{turn}".encode()) % groups
+                seen[row] = turn + 1
             for text in batch.column(3):
                 ids = np.array([*encode(text.as_py() or ""), END_ID], np.dtype("<u4"))
                 counts.append(len(ids))
                 crcs.append([zlib.crc32(ids[a : a + size].tobytes()) for a in range(0, len(ids), size)])
-            columns = [*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
+            columns = [*batch.columns[:2], pa.array(dealt, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "group", "n", "crcs"])
 
     bounded_batches(docs.sparkSession)
@@ -116,10 +142,11 @@ def packed(
     """A row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length``.
 
     group: a number below 2**39 for each row, where the documents come shuffled already; else a hash deals them."""
+    groups = None
     if group is None:
         groups = max(1, -(-docs.count() // group_docs))
         group = F.pmod(F.xxhash64(F.lit(seed), docs[id_col].cast("long"), docs[text_col]), F.lit(groups))
-    dealt = tokenised(docs, vocabulary, size, id_col, text_col, group)
+    dealt = tokenised(docs, vocabulary, size, id_col, text_col, group, groups)
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         group = key[0].as_py()
@@ -140,6 +167,8 @@ def packed(
             for k in range(x // size):
                 add(i, k * size, size, crcs[i][k], used, 0)
                 used += 1
+        if used >= SEQUENCES:
+            raise ValueError("a group holds too many sequences; take smaller groups")
         row = pa.array(out["row"], pa.int64())
         bins = np.array(out["bin"], np.int64)
         filled = np.bincount(bins, out["length"], used).astype(np.int64) if used else np.zeros(0, np.int64)

@@ -13,7 +13,6 @@ STRANGE = ["", " ", "\n\n  \n", "a" * 3000, "<|endoftext|> x <|endoftext|>", "na
 
 def _ids(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [1] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -58,3 +57,21 @@ def test_first_fit_matches_a_scan():
         want[i] = (b, 100 - free[b])
         free[b] -= lengths[i]
     assert packing.first_fit_decreasing(lengths, 100) == [want[i] for i in range(300)]
+
+
+def test_ids_are_those_of_the_named_call():
+    encode = packing.encoder()
+    rng = random.Random(2)
+    texts = STRANGE + ["".join(rng.choice(["<|endoftext|>", "<|endof", "text|>", " ", "  x", "é", "\n", "word"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    assert encode("<|endoftext|> x") == [50256, 2124]
+    assert [[*encode(t), 1] for t in texts] == _ids(texts)
+
+
+def test_repeated_rows_are_dealt_out(spark):
+    df = spark.createDataFrame([(7, "same")] * 3000 + [(None, None)] * 1000, "doc_id long, text string").withColumns({c: packing.F.lit(1) for c in ("th", "group", "n", "crcs")})
+    got = packing.packed(df, group_docs=200).collect()
+    assert len(got) == 4000 and sum(r["doc_id"] is None for r in got) == 1000
+    size = defaultdict(int)
+    for r in got:
+        size[r["sequence_id"] // packing.SEQUENCES] += 1
+    assert len(size) == 20 and max(size.values()) < 400
