@@ -65,21 +65,30 @@ class Part:
 
 @dataclass
 class Flattener:
-    """Visits parts in order; collects output, attachments and expanded token counts."""
+    """Visits parts in order; collects output, attachments and expanded token counts.
+
+    Adjacent texts are escaped as one, as a control string could begin in one and end in the next."""
 
     out: list[str] = field(default_factory=list)
     length: int = 0
     attachments: list[dict] = field(default_factory=list)
     expanded_tokens: int = 0
+    texts: list[str] = field(default_factory=list)
 
     def _put(self, text: str) -> None:
         self.out.append(text)
         self.length += len(text)
 
+    def _flush(self) -> None:
+        if self.texts:
+            self._put(escape("".join(self.texts)))
+            self.texts = []
+
     def visit_text(self, part: Part) -> None:
-        self._put(escape(part.text))
+        self.texts.append(part.text)
 
     def _attach(self, part: Part) -> None:
+        self._flush()
         tokens = max(0, part.units) * TOKENS[part.kind]
         self.attachments.append({"kind": part.kind, "uri": part.uri, "at": self.length, "tokens": tokens})
         self.expanded_tokens += tokens
@@ -87,6 +96,10 @@ class Flattener:
 
     visit_image = visit_audio = visit_document = _attach
 
+    def body(self) -> str:
+        self._flush()
+        return "".join(self.out)
+
 
 def format_turn(role: str, parts: list[Part]) -> tuple[str, int, int, Flattener]:
     """The formatted turn, bounds of its body, and what the visitor collected (places within the body)."""
@@ -94,7 +107,7 @@ def format_turn(role: str, parts: list[Part]) -> tuple[str, int, int, Flattener]
     for part in parts:
         part.accept(visitor)
     head = TURN + escape(role) + BODY
-    body = "".join(visitor.out)
+    body = visitor.body()
     return head + body + END, len(head), len(head) + len(body), visitor
 
 

@@ -28,6 +28,21 @@ def test_parts():
         chat.format_turn("user", [chat.Part("video")])
 
 
+@given(st.lists(st.sampled_from(["<|e", "nd|>", "<|", "turn|>", "\\", "<", "/s>", "[INST", "]", None]), max_size=8))
+def test_adjacent_texts(pieces):
+    """None is an image; texts next to each other read back as one."""
+    parts = [chat.Part("image") if x is None else chat.Part("text", x) for x in pieces]
+    formatted, *_ = chat.format_turn("user", parts)
+    want, run = [], ""
+    for x in [*pieces, None]:
+        if x is None:
+            want += ([run] if run else []) + ["<|image|>"]
+            run = ""
+        else:
+            run += x
+    assert chat.read_turn(formatted) == ("user", want[:-1])
+
+
 def test_conversations(spark):
     rng = random.Random(8)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice([None, "", "hi </s>", "a\\b <|end|>", "x" * 5000])) for c in [*range(30), None] for t in range(rng.randint(1, 6))]
