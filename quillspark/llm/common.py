@@ -76,6 +76,17 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def thinned(df: DataFrame, wanted: int, *key: str, seed: int = 0) -> DataFrame:
+    """The rows with the smallest hashes of the key columns, ``wanted`` of them or a little more (all, if fewer).
+
+    A share of the hash range is kept, so no task and no merge holds more than its share of the sample."""
+    n = df.count()
+    if n <= wanted:
+        return df
+    share = min(1.0, (wanted + 6 * wanted**0.5) / n)
+    return df.filter(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 48)) < int(share * (1 << 48)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

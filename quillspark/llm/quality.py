@@ -7,7 +7,7 @@ unlabelled part is not over-fitted. The class prior is estimated from the same t
 score thresholds the least upper bound of (unlabelled share above) / (positive share above).
 
 Features are shape statistics of the whole text (bytes, words, lines, repeats); ids, labels, language and
-source are no inputs. Fitting reads at most ``fit_rows`` rows of each sample (smallest hash of the id first).
+source are no inputs. Fitting reads about ``fit_rows`` ids of each sample at most (smallest hash of the id).
 
 Cases: null texts count as empty and get the score of an empty text; each row is scored by itself, so
 repeated rows and null ids are fine; labels without id or class are ignored; with no positives at all every
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import bounded_batches, utf8_parts
+from .common import bounded_batches, thinned, utf8_parts
 
 FIT_ROWS = 16_000
 THRESHOLD = 0.3
@@ -196,14 +196,16 @@ def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     """Fit on bounded samples: trusted positives outside the held-out fifth, and unlabelled texts."""
     bounded_batches(docs.sparkSession)
     own = labels.select(labels["doc_id"].cast("long").alias("pid"), labels["quality"].alias("quality")).filter("pid is not null")
-    trusted = own.filter((F.col("quality") == 1) & ~held_out(F.col("pid"))).select("pid").orderBy(F.xxhash64("pid"), "pid").limit(fit_rows)
+    trusted = thinned(own.filter((F.col("quality") == 1) & ~held_out(F.col("pid"))).select("pid").distinct(), fit_rows, "pid")
     ids = docs.select(docs[id_col].cast("long").alias("pid")).filter("pid is not null")
-    web = ids.filter(~held_out(F.col("pid"))).orderBy(F.xxhash64("pid", F.lit(3)), "pid").limit(fit_rows)
+    web = thinned(ids.filter(~held_out(F.col("pid"))).distinct(), fit_rows, "pid", seed=3)
     wanted = trusted.withColumn("kind", F.lit(1)).unionByName(web.withColumn("kind", F.lit(0))).groupBy("pid").agg(F.max("kind").alias("positive"), F.min("kind").alias("least"))
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     chosen = texts.join(F.broadcast(wanted), F.col("doc_id") == F.col("pid"), "left_semi")
-    rows = feature_rows(chosen, "doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("pid")).select("doc_id", "x", "positive", "least").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    # Of several texts of one id the least features count, so that a hot id is one row.
+    made = feature_rows(chosen, "doc_id", "text").groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = made.join(F.broadcast(wanted), F.col("doc_id") == F.col("pid")).select("doc_id", "x", "positive", "least").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     pick = lambda test: np.array([r["x"] for r in rows if test(r)], float).reshape(-1, N_FEATURES)
     return fit(pick(lambda r: r["positive"] == 1), pick(lambda r: r["least"] == 0))
 

@@ -5,7 +5,7 @@ on statistics of labelled texts a conjunction of thresholds is grown by informat
 the rows, pruned on the other third, taken if it is precise enough there, and the rows that it covers
 leave before the next is grown. The rules come out as one ordered conditional expression (``when`` chain).
 
-Labelled rows are a sample of at most ``fit_rows`` (smallest hash of the id first; a documented bound);
+Labelled rows are a sample of about ``fit_rows`` ids at most (smallest hash of the id; a documented bound);
 the list is applied to every row.
 
 Cases: null texts count as empty (no words, all statistics 0, base_failed); ids may be null or repeated,
@@ -17,9 +17,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import thinned
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 FIT_ROWS = 20_000
@@ -36,23 +39,32 @@ RATIOS = {
     "line_words": "1000 * n_words div greatest(n_lines, 1)",
     "n_words": "n_words",
 }
+NAMES = list(RATIOS)
 
-# Three-word windows as (hash, position), sorted, so that windows found twice stand side by side; then the
-# words that their union covers. A one-element array binds a name to a value computed once.
+# Hashes of all three-word windows. Most texts hold no window twice: as many distinct hashes as windows. Else
+# (hash, position) is sorted, so that windows found twice stand side by side, and the words that their union
+# covers are counted. A one-element array binds a name to a value computed once.
 _REPEATS = """
-transform(array(array_sort(if(size(words) >= 3,
-        transform(sequence(0, greatest(size(words) - 3, 0)), i -> struct(xxhash64(words[i], words[i + 1], words[i + 2]) as h, i as p)),
-        array()))),
-    s -> aggregate(
-        array_sort(transform(filter(s, (x, i) -> (i > 0 and s[i - 1].h = x.h) or (i < size(s) - 1 and s[i + 1].h = x.h)), x -> x.p)),
-        struct(0L as covered, -9 as last),
-        (a, p) -> struct(a.covered + least(3, p - a.last) as covered, p as last),
-        a -> a.covered))[0]
+transform(
+    transform(array(words), w -> if(size(w) < 3, cast(array() as array<bigint>),
+        transform(sequence(0, greatest(size(w) - 3, 0)), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))))),
+    h -> if(size(array_distinct(h)) = size(h), 0L, transform(
+        array(sort_array(transform(h, (x, i) -> struct(x as h, i as p)))),
+        s -> aggregate(
+            sort_array(transform(filter(s, (x, i) -> get(s, i - 1).h <=> x.h or get(s, i + 1).h <=> x.h), x -> x.p)),
+            struct(0L as covered, -9 as last),
+            (a, p) -> struct(a.covered + least(3, p - a.last) as covered, p as last),
+            a -> a.covered))[0]))[0]
 """
 
+_UPPER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Each class of characters stands as one character in ``plain``, so that one pass serves all counts.
+_CLASSES = {"A": _UPPER, "0": _DIGITS, "#": SYMBOLS, " ": SPACES}
+
 
-def _without(text: str, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _times(text: str, char: str) -> Column:
+    """How often an ASCII character occurs."""
+    return (F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit(char), F.lit("")))).cast("long")
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,21 +73,21 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     split = texts.select(
         "doc_id",
         "text",
-        F.expr(r"filter(split(text, '[ \\t-\\r]+'), x -> x != '')").alias("words"),
-        F.expr(r"filter(split(text, '\n'), x -> x rlike '[^ \\t-\\r]')").alias("lines"),
-        F.length("text").alias("chars"),
+        F.expr(r"array_remove(split(text, '[ \t-\r]+'), '')").alias("words"),
+        F.expr(r"filter(split(text, '\n'), x -> x rlike '[^ \t-\r]')").alias("lines"),
+        F.translate("text", "".join(_CLASSES.values()), "".join(k * len(v) for k, v in _CLASSES.items())).alias("plain"),
     )
     return split.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        _without("text", SPACES).cast("long").alias("word_chars"),
-        (F.col("chars") - _without("text", SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.length("text") - _times("plain", " ")).cast("long").alias("word_chars"),
+        _times("plain", "#").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(_REPEATS).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        (F.col("chars") - _without("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
-        (F.col("chars") - _without("text", "0123456789")).cast("long").alias("n_digits"),
-        (F.col("chars") - _without("text", "!")).cast("long").alias("n_shouts"),
+        _times("plain", "A").alias("n_upper"),
+        _times("plain", "0").alias("n_digits"),
+        _times("text", "!").alias("n_shouts"),
     )
 
 
@@ -85,8 +97,9 @@ class Condition:
     above: bool
     threshold: int
 
-    def holds(self, row: dict[str, int]) -> bool:
-        return row[self.name] >= self.threshold if self.above else row[self.name] < self.threshold
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        value = x[:, NAMES.index(self.name)]
+        return value >= self.threshold if self.above else value < self.threshold
 
     def column(self) -> Column:
         value = F.expr(RATIOS[self.name])
@@ -96,47 +109,48 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def _count(rows: list[tuple[dict[str, int], bool]], rule: Rule) -> tuple[int, int]:
-    bad = good = 0
-    for row, is_bad in rows:
-        if all(c.holds(row) for c in rule):
-            bad, good = bad + is_bad, good + (not is_bad)
-    return bad, good
-
-
-def _candidates(rows: list[tuple[dict[str, int], bool]], steps: int) -> list[Condition]:
-    found = []
-    for name in RATIOS:
-        bad = sorted(row[name] for row, is_bad in rows if is_bad)
-        values = sorted({bad[i * (len(bad) - 1) // steps] for i in range(steps + 1)}) if bad else []
-        found += [Condition(name, True, v) for v in values] + [Condition(name, False, v + 1) for v in values]
-    return found
+def covered(rule: Rule, x: np.ndarray) -> np.ndarray:
+    out = np.ones(len(x), bool)
+    for c in rule:
+        out &= c.holds(x)
+    return out
+
+
+def _best_condition(x: np.ndarray, bad: np.ndarray, steps: int) -> Condition | None:
+    """The condition with the largest information gain; thresholds are quantiles of the bad rows, ties go to the first."""
+    total = int(bad.sum())
+    base, best, gain = math.log2(total / len(bad)), None, 1e-9
+    for k, name in enumerate(NAMES):
+        marked, others = np.sort(x[bad, k]), np.sort(x[~bad, k])
+        values = np.unique(marked[np.arange(steps + 1) * (total - 1) // steps])
+        for above, cuts in ((True, values), (False, values + 1)):
+            p, n = np.searchsorted(marked, cuts), np.searchsorted(others, cuts)
+            if above:
+                p, n = total - p, len(others) - n
+            gains = p * (np.log2(np.maximum(p, 1) / np.maximum(p + n, 1)) - base)
+            at = int(np.argmax(gains))
+            if gains[at] > gain:
+                best, gain = Condition(name, above, int(cuts[at])), float(gains[at])
+    return best
 
 
-def _grow(rows: list[tuple[dict[str, int], bool]], most: int, steps: int) -> Rule:
+def _grow(x: np.ndarray, bad: np.ndarray, most: int, steps: int) -> Rule:
     rule: Rule = ()
-    inside = rows
-    while len(rule) < most:
-        bad = sum(is_bad for _, is_bad in inside)
-        good = len(inside) - bad
-        if not good or not bad:
-            break
-        base, best, gain = math.log2(bad / (bad + good)), None, 1e-9
-        for c in _candidates(inside, steps):
-            p, n = _count(inside, (c,))
-            if p and (g := p * (math.log2(p / (p + n)) - base)) > gain:
-                best, gain = c, g
+    while len(rule) < most and bad.any() and not bad.all():
+        best = _best_condition(x, bad, steps)
         if best is None:
             break
         rule += (best,)
-        inside = [x for x in inside if best.holds(x[0])]
+        inside = best.holds(x)
+        x, bad = x[inside], bad[inside]
     return rule
 
 
-def _prune(rows: list[tuple[dict[str, int], bool]], rule: Rule) -> Rule:
+def _prune(x: np.ndarray, bad: np.ndarray, rule: Rule) -> Rule:
     def worth(r: Rule) -> float:
-        p, n = _count(rows, r)
-        return (p - n) / (p + n) if p + n else -1
+        inside = covered(r, x)
+        p, n = int(bad[inside].sum()), int(inside.sum())
+        return (2 * p - n) / n if n else -1
 
     best = rule
     for end in range(len(rule) - 1, 0, -1):
@@ -145,32 +159,36 @@ def _prune(rows: list[tuple[dict[str, int], bool]], rule: Rule) -> Rule:
     return best
 
 
-def learn(rows: list[tuple[dict[str, int], bool]], precision: float = 0.97, least: int = 3, most_rules: int = 16, most_conditions: int = 3, steps: int = 24) -> list[Rule]:
-    """Ordered rules that mark bad rows. rows: statistics and whether the label is bad."""
-    growing, pruning = [x for i, x in enumerate(rows) if i % 3], rows[::3]
+def learn(rows: tuple[np.ndarray, np.ndarray], precision: float = 0.97, least: int = 3, most_rules: int = 16, most_conditions: int = 3, steps: int = 24) -> list[Rule]:
+    """Ordered rules that mark bad rows. rows: a row of statistics (in the order of ``NAMES``) each, and whether its label is bad."""
+    x, bad = rows
+    pruning = np.arange(len(x)) % 3 == 0
     rules: list[Rule] = []
-    while len(rules) < most_rules and any(is_bad for _, is_bad in growing):
-        rule = _grow(growing, most_conditions, steps)
+    while len(rules) < most_rules and bad[~pruning].any():
+        rule = _grow(x[~pruning], bad[~pruning], most_conditions, steps)
         if not rule:
             break
-        rule = _prune(pruning, rule)
-        bad, good = (sum(x) for x in zip(_count(growing, rule), _count(pruning, rule), strict=True))
-        if bad < least or bad < precision * (bad + good):
+        rule = _prune(x[pruning], bad[pruning], rule)
+        inside = covered(rule, x)
+        hits = int(bad[inside].sum())
+        if hits < least or hits < precision * int(inside.sum()):
             break
         rules.append(rule)
-        growing, pruning = ([x for x in part if not all(c.holds(x[0]) for c in rule)] for part in (growing, pruning))
+        x, bad, pruning = x[~inside], bad[~inside], pruning[~inside]
     return rules
 
 
-def labelled_statistics(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[dict[str, int], bool]]:
-    """At most ``fit_rows`` labelled rows' statistics, on the driver; bad is label 0."""
+def labelled_statistics(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of about ``fit_rows`` labelled ids at most, on the driver, and whether each is bad (label 0)."""
     own = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels["quality"].alias("quality")).filter("label_id is not null and quality is not null")
-    own = own.orderBy(F.xxhash64("label_id"), "label_id", "quality").limit(fit_rows)
-    chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("label_id"))
+    # Of several labels, and of several texts, of one id the least counts.
+    own = thinned(own.groupBy("label_id").agg(F.min("quality").alias("quality")), fit_rows, "label_id")
+    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("label_id"))
     stats = statistics(chosen.select("doc_id", "text")).join(F.broadcast(own), F.col("doc_id") == F.col("label_id"))
-    got = stats.filter("n_words >= 50").select("doc_id", (F.col("quality") == 0).alias("bad"), *[F.expr(v).cast("long").alias(f"r_{k}") for k, v in RATIOS.items()]).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"] * 2654435761 % 2**32, tuple(r)))
-    return [({k: r[f"r_{k}"] for k in RATIOS}, r["bad"]) for r in got]
+    ratios = F.array(*[F.expr(v).cast("long") for v in RATIOS.values()])
+    got = stats.filter("n_words >= 50").groupBy("doc_id").agg(F.min(F.struct(ratios.alias("x"), (F.col("quality") == 0).alias("bad"))).alias("row")).collect()
+    got = sorted(got, key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
+    return np.array([r["row"]["x"] for r in got], np.int64).reshape(-1, len(RATIOS)), np.array([r["row"]["bad"] for r in got], bool)
 
 
 def verdict(rules: list[Rule]) -> Column:
