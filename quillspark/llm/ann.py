@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-Fitting: at most ``fit_rows`` vectors (smallest hash of the id first; a documented bound) are split by
+Fitting: at most ``fit_rows`` vectors (smallest hash of id and vector first; a documented bound) are split by
 k-means into ``branching`` children, these again, until a node has at most ``leaf_rows`` sampled rows. The
 tree (bounded by the sample, not by the data) goes to every task; every vector is indexed under its leaf.
 
@@ -10,8 +10,8 @@ sampled queries against the sample by brute force, visits widen until recall rea
 also goes on past that number until its leaves hold ``k`` sampled rows.
 
 Leaves meet queries in blocks: vectors and queries of a leaf are dealt into blocks of at most about
-``block_rows`` each, every pair of blocks is one small matrix, and only each query's k best leave it. So a
-leaf with a third of all rows (copies of one vector) is many tasks, and nothing is capped.
+``block_rows`` each, every pair of blocks is one small matrix, and only each query's k best leave it; small
+leaves share a task. So a leaf with a third of all rows (copies of one vector) is many tasks, and nothing is capped.
 
 Cases: vectors null, zero, or with null or non-finite components take no part, nor do rows with a null id or
 a length that differs from the most common one among the sampled; ties go to the smaller id; repeated rows
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, thinned
 
 FIT_ROWS = 16_384
 BRANCHING = 8
@@ -45,6 +45,7 @@ class Node:
     rows: int
     children: list[Node] = field(default_factory=list)
     leaf: int = -1
+    centres: np.ndarray | None = None  # of the children
 
 
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -80,6 +81,7 @@ def grow(x: np.ndarray, branching: int, leaf_rows: int, seed: int = 5) -> tuple[
             child = Node(part.mean(0), len(part))
             node.children.append(child)
             todo.append((child, part))
+        node.centres = np.stack([c.centre for c in node.children])
     return root, leaves
 
 
@@ -94,7 +96,7 @@ def leaf_of(root: Node, x: np.ndarray) -> np.ndarray:
         if node.leaf >= 0:
             out[rows] = node.leaf
             continue
-        centres = np.stack([c.centre for c in node.children])
+        centres = node.centres
         label = np.argmin((centres**2).sum(1) - 2 * x[rows] @ centres.T, axis=1)
         todo += [(c, rows[label == j]) for j, c in enumerate(node.children)]
     return out
@@ -107,12 +109,12 @@ def best_bins(root: Node, q: np.ndarray, visits: int, rows: int) -> list[int]:
     while queue and (len(found) < visits or held < rows):
         node = heapq.heappop(queue)[2]
         while node.leaf < 0:
-            distance = ((np.stack([c.centre for c in node.children]) - q) ** 2).sum(1)
-            nearest = int(np.argmin(distance))
-            for j, child in enumerate(node.children):
+            distance = ((node.centres - q) ** 2).sum(1)
+            nearest = int(distance.argmin())
+            for j, (d, child) in enumerate(zip(distance.tolist(), node.children, strict=True)):
                 if j != nearest:
                     order += 1
-                    heapq.heappush(queue, (float(distance[j]), order, child))
+                    heapq.heappush(queue, (d, order, child))
             node = node.children[nearest]
         found.append(node.leaf)
         held += node.rows
@@ -156,13 +158,14 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 
 def fit(rows: DataFrame, k: int = 10, fit_rows: int = FIT_ROWS, branching: int = BRANCHING, leaf_rows: int = LEAF_ROWS, target: float = TARGET) -> Index | None:
-    # Rows of one vector may be many; ordering by the id's hash keeps their share as it is.
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect()
-    if not sample:
+    # Equal rows count once in the sample; copies of one vector under other ids keep their share.
+    chosen = thinned(rows, fit_rows, "vec_id", "v").distinct()
+    sample = chosen.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(fit_rows).select("v").toArrow().column("v").combine_chunks()
+    if not len(sample):
         return None
-    widths = np.bincount([len(r["v"]) for r in sample])
-    width = int(widths.argmax())
-    x = np.array([r["v"] for r in sample if len(r["v"]) == width])
+    sizes = np.diff(sample.offsets.to_numpy())
+    width = int(np.bincount(sizes).argmax())
+    x = _matrix(sample.filter(pa.array(sizes == width)), width)
     root, leaves = grow(x, branching, leaf_rows)
     visits, recall = calibrate(root, leaves, x, k, target)
     return Index(root, leaves, visits, recall, width)
@@ -193,6 +196,14 @@ def _visits(queries: DataFrame, index: Index, k: int) -> DataFrame:
     return queries.mapInArrow(run, "query_id long, q array<double>, leaf long")
 
 
+def _first(k: int, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best, ties to the smaller id."""
+    order = np.lexsort((vec, score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], vec[keep], score[keep]
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame | None = None,
@@ -216,48 +227,45 @@ def nearest(
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
     indexed = stored(_indexed(rows, index), "vectors")
     visited = stored(_visits(asked.withColumnsRenamed({"vec_id": "query_id", "v": "q"}), index, k), "visits")
-    blocks = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).alias("vector_blocks"))
-    blocks = blocks.join(visited.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).alias("query_blocks")), "leaf")
-    blocks = stored(blocks, "blocks")
-    left = indexed.join(blocks, "leaf").select(
-        "leaf",
-        F.pmod(F.xxhash64("vec_id"), "vector_blocks").alias("vb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).alias("qb"),
-        "vec_id",
-        "v",
-    )
-    right = visited.join(blocks, "leaf").select(
-        "leaf",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("vector_blocks") - 1)).alias("vb"),
-        F.pmod(F.xxhash64("query_id"), "query_blocks").alias("qb"),
-        "query_id",
-        "q",
-    )
+    blocks = indexed.groupBy("leaf").agg(F.count("*").alias("vectors"), F.ceil(F.count("*") / block_rows).alias("vector_blocks"))
+    blocks = stored(blocks.join(visited.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).alias("query_blocks")), "leaf"), "blocks")
+    # Several small leaves share a task.
+    bins = max(1, -(-(blocks.agg(F.sum("vectors")).first()[0] or 0) // block_rows))
+    bin_ = F.pmod(F.xxhash64("leaf"), F.lit(bins)).alias("bin")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = indexed.join(blocks, "leaf").select(bin_, "leaf", F.pmod(F.xxhash64("vec_id"), "vector_blocks").alias("vb"), every("query_blocks").alias("qb"), "vec_id", "v")
+    right = visited.join(blocks, "leaf").select(bin_, "leaf", every("vector_blocks").alias("vb"), F.pmod(F.xxhash64("query_id"), "query_blocks").alias("qb"), "query_id", "q")
+
+    def best(ids: np.ndarray, v: np.ndarray, asked: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, id and distance of each query's k nearest among v, and of what ties with them by rounding."""
+        # The expanded form ranks roughly; what could be among the k best is measured exactly.
+        square = (q**2).sum(1)[:, None]
+        rough = (v**2).sum(1) - 2 * (q @ v.T) + square
+        rough[asked[:, None] == ids] = np.inf
+        near = np.isfinite(rough)
+        if len(ids) > k:
+            least = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
+            near &= rough <= np.where(np.isfinite(least), least + 1e-9 * (1 + np.abs(least) + square), np.inf)
+        i, j = np.nonzero(near)
+        exact = np.concatenate([np.sqrt(((v[j[s : s + 65536]] - q[i[s : s + 65536]]) ** 2).sum(1)) for s in range(0, len(i), 65536)] or [np.zeros(0)])
+        return asked[i], ids[j], exact
 
     def compare(one: pa.Table, two: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        empty = np.zeros(0, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(empty, empty, np.zeros(0))]
         if one.num_rows and two.num_rows:
+            one, two = one.sort_by("leaf"), two.sort_by("leaf")
             ids, v = one.column("vec_id").to_numpy(), _matrix(one.column("v").combine_chunks(), width)
-            order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], v[order]
-            norms = (v**2).sum(1)
-            for query, q in zip(two.column("query_id").to_pylist(), _matrix(two.column("q").combine_chunks(), width), strict=True):
-                # The expanded form ranks roughly; what could be among the k best is measured exactly.
-                rough = norms - 2 * (v @ q) + q @ q
-                rough[ids == query] = np.inf
-                near = np.arange(len(ids))
-                if len(ids) > k + 1:
-                    least = np.partition(rough, k - 1)[k - 1]
-                    near = np.flatnonzero(rough <= least + 1e-9 * (1 + abs(least) + q @ q))
-                near = near[ids[near] != query]
-                exact = np.sqrt(((v[near] - q) ** 2).sum(1))
-                best = np.lexsort((ids[near], exact))[:k]
-                out[0] += [query] * len(best)
-                out[1] += ids[near][best].tolist()
-                out[2] += exact[best].tolist()
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    key = ["leaf", "vb", "qb"]
+            asked, q = two.column("query_id").to_numpy(), _matrix(two.column("q").combine_chunks(), width)
+            leaf, own = one.column("leaf").to_numpy(), two.column("leaf").to_numpy()
+            for x in np.intersect1d(leaf, own):
+                (a, b), (c, d) = (np.searchsorted(p, [x, x + 1]) for p in (leaf, own))
+                for s in range(c, d, 64):
+                    found.append(_first(k, *best(ids[a:b], v[a:b], asked[s : min(d, s + 64)], q[s : min(d, s + 64)])))
+        query, vec, score = _first(k, *(np.concatenate(p) for p in zip(*found, strict=True)))
+        return pa.table({"query_id": query, "vec_id": vec, "score": score})
+
+    key = ["bin", "vb", "qb"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
