@@ -4,12 +4,13 @@ Each source's rows are shuffled by a hash and cut into blocks of about ``block_b
 output takes one block. A source with share n/N has for its block i (from 0) the release time floor(i*N/n)
 and the deadline ceil((i+1)*N/n); among released blocks the earliest deadline goes first (ties: source
 name). On one processor that meets every deadline, so after t slots each source has had t*n/N blocks, give
-or take less than one. With integer shares the schedule repeats after N slots, so one period of at most
-``period`` slots (more only for more sources) is folded once and serves any number of blocks.
+or take less than one. With integer shares the schedule repeats after N slots, so one period is folded once
+and serves any number of blocks.
 
-Shares: ``weights`` by source (others get the least weight given), or without them the square root of each
-source's bytes; every source gets one slot a period at least, the rest by largest remainder. A source that
-ends leaves its slots empty; the others keep their proportions, and no row is dropped or repeated.
+Target weights: ``weights`` by source, as given (others get the least weight given); the period is their sum
+without a common divisor. Sums beyond ``MOST_SLOTS`` are scaled to it and rounded. Without ``weights`` a
+source's target is the square root of its bytes, in ``period``-ths of the whole, rounded, one at least. A
+source that ends leaves its slots empty; the others keep their proportions, and no row is dropped or repeated.
 
 Order within a source: rows are dealt by hash into ranges small enough for one task, numbered there, and
 joined to the prefix sums of the ranges, so a source of any size is never sorted in one task.
@@ -20,25 +21,35 @@ read, others can be carried with ``carry``."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 65536
 PERIOD = 1000
-RANGE_ROWS = 2_000
+#: Given weights are exact as long as their sum, without a common divisor, is no more than this.
+MOST_SLOTS = 1 << 17
+RANGE_ROWS = 500
+RUN_RANGES = 1000
 BROADCAST_SOURCES = 4096
 _SPAN = 1 << 60
 
+# Blocks of slots are folded one after the other with the sources' states carried on, so that the picks are
+# not copied with every slot.
 _FOLD = """
-aggregate(sequence(0L, period - 1),
+aggregate(sequence(0L, (period - 1) div 256),
     named_struct('done', transform(sources, x -> 0L), 'picks', cast(array() as array<int>)),
-    (acc, t) -> transform(array(
-        array_min(filter(
-            transform(sources, (s, i) -> if((acc.done[i] * period) div s.n <= t and acc.done[i] < s.n,
-                named_struct('deadline', ((acc.done[i] + 1) * period + s.n - 1) div s.n, 'i', i), null)),
-            x -> x is not null)).i),
-        p -> named_struct('done', transform(acc.done, (c, i) -> if(i = p, c + 1, c)), 'picks', concat(acc.picks, array(p))))[0],
-    acc -> acc.picks)
+    (all, b) -> transform(array(aggregate(sequence(256 * b, least(256 * b + 255, period - 1)),
+            named_struct('done', all.done, 'picks', cast(array() as array<int>)),
+            (acc, t) -> transform(array(
+                array_min(filter(
+                    transform(sources, (s, i) -> if((acc.done[i] * period) div s.n <= t and acc.done[i] < s.n,
+                        named_struct('deadline', ((acc.done[i] + 1) * period + s.n - 1) div s.n, 'i', i), null)),
+                    x -> x is not null)).i),
+                p -> named_struct('done', transform(acc.done, (c, i) -> if(i = p, c + 1, c)), 'picks', concat(acc.picks, array(p))))[0])),
+        r -> named_struct('done', r.done, 'picks', concat(all.picks, r.picks)))[0],
+    all -> all.picks)
 """
 
 
@@ -49,21 +60,22 @@ def _place(seed: int, doc_id: Column, text: Column) -> Column:
 
 
 def shares(sources: DataFrame, weights: dict[str, int] | None, period: int) -> DataFrame:
-    """``skey, n, period`` for each source. sources: ``skey, bytes``."""
+    """``skey, n, period`` for each source: its slots of a period, and the period. sources: ``skey, bytes``."""
     if weights:
-        least = min(weights.values())
-        table = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (f"s:{k}", int(v))])
-        weight = F.greatest(F.coalesce(F.element_at(table, F.col("skey")), F.lit(int(least))), F.lit(1))
+        given = {k: max(1, int(v)) for k, v in weights.items()}
+        unit = math.gcd(*given.values())
+        table = F.create_map(*[F.lit(x) for k, v in given.items() for x in (f"s:{k}", v // unit)])
+        weight = F.coalesce(F.element_at(table, F.col("skey")), F.lit(min(given.values()) // unit))
+        most = MOST_SLOTS
     else:
         weight = F.greatest(F.floor(F.sqrt(F.col("bytes").cast("double"))), F.lit(1))
-    # One row a source: these windows see as many rows as there are sources.
+        most = int(period)
+    # One row a source: this window sees as many rows as there are sources.
     every = Window.partitionBy(F.lit(1))
-    w = sources.withColumn("w", weight.cast("long")).withColumn("all_w", F.sum("w").over(every)).withColumn("k", F.count("*").over(every))
-    w = w.withColumn("period", F.greatest(F.lit(int(period)), 4 * F.col("k")).cast("long"))
-    w = w.withColumn("q", F.expr("((period - k) * w) div all_w")).withColumn("r", F.expr("((period - k) * w) % all_w"))
-    w = w.withColumn("left", F.expr("period - k") - F.sum("q").over(every))
-    order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("r"), "skey"))
-    return w.withColumn("order", order).select("skey", (1 + F.col("q") + (F.col("order") <= F.col("left")).cast("long")).alias("n"), "period")
+    w = sources.withColumn("w", weight.cast("long")).withColumn("all_w", F.sum("w").over(every))
+    rounded = F.expr(f"greatest((2 * {most} * w + all_w) div (2 * all_w), 1)")
+    w = w.withColumn("n", F.when(F.col("all_w") <= most, F.col("w")).otherwise(rounded))
+    return w.select("skey", "n", F.sum("n").over(every).alias("period"))
 
 
 def schedule(share: DataFrame) -> DataFrame:
@@ -103,7 +115,12 @@ def mixed(
     ranges = max(1, -(-docs.count() // RANGE_ROWS))
     rows = rows.withColumn("range", F.expr(f"place div {-(-_SPAN // ranges)}"))
     sums = rows.groupBy("skey", "range").agg(F.sum("n_bytes").alias("bytes"))
-    before = sums.select("skey", "range", (F.sum("bytes").over(Window.partitionBy("skey").orderBy("range")) - F.col("bytes")).alias("before"))
+    # Prefix sums in two steps: within runs of ranges, and over the runs.
+    sums = sums.withColumn("run", F.expr(f"range div {RUN_RANGES}"))
+    inner = sums.withColumn("inner", F.sum("bytes").over(Window.partitionBy("skey", "run").orderBy("range")) - F.col("bytes"))
+    runs = sums.groupBy("skey", "run").agg(F.sum("bytes").alias("run_bytes"))
+    runs = runs.select("skey", "run", (F.sum("run_bytes").over(Window.partitionBy("skey").orderBy("run")) - F.col("run_bytes")).alias("outer"))
+    before = inner.join(runs, ["skey", "run"]).select("skey", "range", (F.col("inner") + F.col("outer")).alias("before"))
     within = F.sum("n_bytes").over(Window.partitionBy("skey", "range").orderBy("place", "doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_bytes")
     placed = rows.withColumn("within", within).join(before, ["skey", "range"]).withColumn("start", F.col("before") + F.col("within"))
     placed = placed.withColumn("block", F.expr(f"start div {int(block_bytes)}"))
@@ -129,12 +146,11 @@ numbered AS (
   SELECT *, sum(n_bytes) OVER (PARTITION BY skey ORDER BY place, doc_id NULLS FIRST, n_bytes ROWS UNBOUNDED PRECEDING) - n_bytes AS start FROM rows_),
 weighed AS (
   SELECT skey, greatest(floor(sqrt(sum(n_bytes)::DOUBLE))::BIGINT, 1) AS w FROM rows_ GROUP BY skey),
-periods AS (
-  SELECT *, sum(w) OVER () AS all_w, count(*) OVER () AS k, greatest({PERIOD}, 4 * count(*) OVER ()) AS period FROM weighed),
-parts AS (
-  SELECT *, ((period - k) * w) // all_w AS q, ((period - k) * w) % all_w AS r FROM periods),
+rounded AS (
+  SELECT skey, CASE WHEN all_w <= {PERIOD} THEN w ELSE greatest((2 * {PERIOD} * w + all_w) // (2 * all_w), 1) END AS n
+  FROM (SELECT skey, w, sum(w) OVER () AS all_w FROM weighed)),
 share AS (
-  SELECT skey, period, 1 + q + (row_number() OVER (ORDER BY r DESC, skey) <= period - k - sum(q) OVER ())::BIGINT AS n FROM parts),
+  SELECT skey, n, sum(n) OVER () AS period FROM rounded),
 sources AS (
   SELECT list(skey ORDER BY skey) AS names, list(n::BIGINT ORDER BY skey) AS ns, max(period)::BIGINT AS period FROM share),
 fold(t, done, pick) AS (

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -47,3 +48,35 @@ def test_native_and_edges(spark):
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert mixing.mixed(df.filter("false")).count() == 0
+
+
+def test_given_weights_are_exact(spark):
+    """Measured against the weights as given, not against the shares that come out."""
+    rows = [(i, "x" * 99, "a" if i % 2 else "b") for i in range(40)] + [(100 + i, "x" * 99, "c") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {"a": 7, "b": 700, "c": 3003}
+    got = mixing.mixed(df, weights, block_bytes=100).collect()
+    total = sum(weights.values())
+    place = {(r["source"], r["block"]): r["slot"] for r in got}
+    for (source, block), slot in place.items():
+        # In its slot a block is released, and not past its deadline.
+        assert block * total // weights[source] <= slot < -(-(block + 1) * total // weights[source])
+    assert {r["source"]: r["share"] for r in got} == {"a": 1, "b": 100, "c": 429}
+    one = spark.createDataFrame([(1, "x", "a"), (2, "y", "b")], "doc_id long, text string, source string")
+    assert {r["source"]: r["share"] for r in mixing.mixed(one, {"a": 1, "b": 9999}).collect()} == {"a": 1, "b": 9999}
+
+
+def test_many_sources_keep_their_targets(spark):
+    rows = [(i, "x" * 40_000, "big") for i in range(20)] + [(100 + i, "x" * 500, f"s{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    share = {r["source"]: r["share"] for r in mixing.mixed(df).collect()}
+    roots = {"big": math.isqrt(20 * 40_001)} | {f"s{i}": math.isqrt(501) for i in range(300)}
+    total, period = sum(roots.values()), sum(share.values())
+    assert all(abs(share[s] - max(1, r / total * mixing.PERIOD)) <= 1 for s, r in roots.items())
+    assert abs(share["big"] / period - roots["big"] / total) < 0.01
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "x" * 3_000_000, "a"), (2, "y", "a"), (3, "z", "b")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["block"], r["block_offset"], r["n_bytes"]) for r in mixing.mixed(df).collect()}
+    assert got[1][2] == 3_000_001 and sorted(got) == [1, 2, 3]
