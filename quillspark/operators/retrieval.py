@@ -62,13 +62,31 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "df", "stats")))
 
 
-def build_index(units: DataFrame, key: str = "ord", text: str = "text") -> Index:
+# Counted within the row: of the sorted tokens the places where a run of equal ones begins, and each run's length.
+_COUNTED = """
+transform(array(sort_array(v)), s -> transform(
+    array(filter(sequence(0, size(s) - 1), i -> i = 0 or get(s, i) != get(s, i - 1))),
+    heads -> transform(heads, (p, k) -> struct(get(s, p) as term, cast(coalesce(get(heads, k + 1), size(s)) - p as bigint) as tf)))[0])[0]
+"""
+
+
+def build_index(units: DataFrame, key: str = "ord", text: str = "text", folder: str | None = None) -> Index:
+    """The index of ``units``. Terms are counted within each row, so only distinct ones are dealt out, by term.
+
+    With ``folder`` it is stored there on the way: texts are read once, and the parts come from the files."""
     own = units.select(F.col(key).alias("ord"), tokens(F.col(text)).alias("v"))
-    sized = own.select("ord", F.size("v").cast("long").alias("len"), "v")
-    postings = sized.select("ord", "len", F.explode("v").alias("term")).groupBy("term", "ord", "len").agg(F.count("*").alias("tf"))
+    counted = own.select("ord", F.size("v").cast("long").alias("len"), F.when(F.size("v") > 0, F.expr(_COUNTED)).alias("c"))
+    if folder is not None:
+        counted.write.mode("overwrite").parquet(f"{folder}/counted")
+        counted = units.sparkSession.read.schema(counted.schema).parquet(f"{folder}/counted")
+    postings = counted.select("ord", "len", F.explode("c").alias("c")).select("c.term", "ord", "c.tf", "len")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0))).alias("avg_len"))
-    return Index(postings.select("term", "ord", "tf", "len"), df, stats)
+    stats = counted.agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0))).alias("avg_len"))
+    index = Index(postings, df, stats)
+    if folder is not None:
+        index.write(folder)
+        index = Index.read(units.sparkSession, folder)
+    return index
 
 
 def idf(n: Column, df: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -24,6 +26,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def dealt_documents(self) -> DataFrame:
+        """The documents, over all cores: for queries that work on every text."""
+        return spread(self.documents)
+
     @property
     def units(self) -> DataFrame:
         """Retrieval units: one a document."""
