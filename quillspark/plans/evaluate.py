@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..operators import evaluate as E
 from ..operators import retrieval as R
 from ..operators.contain import contained_in
 from .core import Tables, query
 from .retrieval import CTE, hits_of, index_of
-from .scalars import STOPWORDS, TOKENS
+from .scalars import TOKENS
 
 GOLD = """gold0 AS (SELECT b.item_id AS qid, d.doc_id AS ord, d.lang, d.source FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 gold AS (SELECT qid, ord, source, CASE WHEN lang = 'en' THEN 2 WHEN max((lang = 'en')::INT) OVER (PARTITION BY qid) = 0 AND row_number() OVER (PARTITION BY qid ORDER BY ord) <= 3 THEN 2 ELSE 1 END AS grade FROM gold0),
@@ -24,7 +25,7 @@ ALL = f"{CTE}, {GOLD}, {SCORES}"
 
 
 def gold_of(t: Tables) -> DataFrame:
-    held = contained_in(t.benchmark, "item_id", "text", t.documents, "doc_id", "text").toDF("qid", "ord")
+    held = contained_in(t.benchmark, "item_id", "text", t.dealt_documents, "doc_id", "text").toDF("qid", "ord")
     named = held.join(t.documents.select(F.col("doc_id").alias("ord"), "lang", "source"), "ord")
     return E.graded(named, F.col("lang") == "en").select("qid", "ord", "source", "grade")
 
@@ -83,7 +84,7 @@ def e06(t: Tables) -> DataFrame:
 
 @query("e07_stratum", "SELECT item_id AS qid, CASE WHEN EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) THEN 'verbatim' ELSE 'paraphrase' END AS stratum FROM benchmark b")
 def e07(t: Tables) -> DataFrame:
-    held = contained_in(t.benchmark, "item_id", "text", t.documents, "doc_id", "text").select("item_id").distinct().withColumn("in", F.lit(1))
+    held = contained_in(t.benchmark, "item_id", "text", t.dealt_documents, "doc_id", "text").select("item_id").distinct().withColumn("in", F.lit(1))
     return t.benchmark.join(held, "item_id", "left").select(F.col("item_id").alias("qid"), F.when(F.col("in") == 1, "verbatim").otherwise("paraphrase").alias("stratum"))
 
 
@@ -114,17 +115,49 @@ def e12(t: Tables) -> DataFrame:
     return macro_average(scores_of(t), "family", "ndcg")
 
 
-def _two_runs(t: Tables) -> DataFrame:
-    plain = scores_of(t).select("qid", "family", F.col("ndcg").alias("before"))
-    other = R.top_hits(R.bm25(index_of(t), R.query_terms(t.benchmark, "item_id", "text", STOPWORDS)), 10)
-    return plain.join(scores_of(t, other).select("qid", F.col("ndcg").alias("after")), "qid")
+#: What the alias stage may do to a query: nothing, put the resolved target behind it, or also keep the person's units only.
+ALIAS_MODES = ["off", "expand", "expand and filter"]
+
+_WORDS = f"SELECT item_id AS qid, {TOKENS} AS w, item_id % (SELECT count(*) FROM persons) AS person FROM benchmark"
+_MODES = f"""asks AS (SELECT qid, array_to_string(w[1:2], ' ') AS text, w[3] AS target, person FROM ({_WORDS})),
+aliases AS (SELECT text AS alias, min(target) AS target FROM asks WHERE target IS NOT NULL GROUP BY 1 HAVING count(DISTINCT target) = 1),
+modes AS (SELECT qid, person, mode, CASE WHEN mode > 0 AND a.target IS NOT NULL THEN text || ' ' || a.target ELSE text END AS text, mode = 2 AND a.target IS NOT NULL AS strict FROM asks LEFT JOIN aliases a ON a.alias = asks.text, (SELECT unnest([0, 1, 2]) AS mode)),
+mterm AS (SELECT qid, mode, unnest(regexp_split_to_array(text, ' ')) AS term FROM modes WHERE text <> ''),
+mscored AS (SELECT qid, mode, ord, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM mterm JOIN postings USING (term) JOIN df USING (term) JOIN doclen USING (ord), stats GROUP BY ALL),
+mhits AS (SELECT qid, mode, ord, row_number() OVER (PARTITION BY qid, mode ORDER BY score DESC, ord) AS rank FROM mscored JOIN modes m USING (qid, mode) WHERE NOT strict OR EXISTS (SELECT 1 FROM attribution o WHERE o.unit = ord AND o.person = m.person)),
+mper AS (SELECT qid, mode, sum(CASE WHEN g.grade IS NOT NULL THEN (pow(2, g.grade) - 1) / log2(h.rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN g.grade IS NOT NULL THEN h.rank END) AS first_gold FROM mhits h LEFT JOIN gold g USING (qid, ord) WHERE h.rank <= 10 GROUP BY 1, 2),
+mscores AS (SELECT qid, mode, round(coalesce(dcg, 0) / idcg, 6)::DOUBLE AS ndcg, round(coalesce(1.0 / mper.first_gold, 0), 6)::DOUBLE AS rr FROM ideal CROSS JOIN (SELECT unnest([0, 1, 2]) AS mode) LEFT JOIN mper USING (qid, mode))"""
+
+
+def _mode_scores(t: Tables) -> DataFrame:
+    """``qid, mode, ndcg, rr`` of the same queries under each alias mode, all in one plan (a mode is a query of its own)."""
+    n = t.persons.count()
+    w = tokens(F.col("text"))
+    asks = t.benchmark.select(F.col("item_id").alias("qid"), F.array_join(F.slice(w, 1, 2), " ").alias("text"), F.get(w, F.lit(2)).alias("target"), (F.col("item_id") % n).alias("person"))
+    aliases = asks.filter("target is not null").select(F.col("text").alias("alias"), "target").distinct()
+    found = R.resolve_whole(asks.select("qid", "text"), aliases).filter("state = 'resolved'").select("qid", F.col("targets")[0].alias("target"))
+    modes = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("mode")
+    own = R.expanded(asks.drop("target"), found).join(asks.select("qid", F.col("text").alias("plain")), "qid").select("qid", "person", "plain", "text", "target", modes)
+    own = own.select((F.col("qid") * 3 + F.col("mode")).alias("qid"), "person", F.when(F.col("mode") == 0, F.col("plain")).otherwise(F.col("text")).alias("text"), ((F.col("mode") == 2) & F.col("target").isNotNull()).alias("only"))
+    scored = R.bm25(index_of(t), R.query_terms(own, "qid", "text"))
+    mine = t.attribution.select(F.col("unit").alias("ord"), "person", F.lit(True).alias("mine"))
+    kept = scored.join(own.select("qid", "person", "only"), "qid").join(mine, ["ord", "person"], "left").filter("not only or mine").select("qid", "ord", "score")
+    gold = gold_of(t)
+    for_modes = gold.select("qid", modes, "ord", "grade").select((F.col("qid") * 3 + F.col("mode")).alias("qid"), "ord", "grade")
+    made = E.scores(R.top_hits(kept, 10), for_modes, for_modes.limit(0).select("qid", "ord"), 10)
+    return made.select(F.expr("qid div 3").alias("qid"), (F.col("qid") % 3).cast("int").alias("mode"), "ndcg", "rr")
 
 
-@query("e13_bootstrap")
+@query(
+    "e13_bootstrap",
+    f"""WITH {ALL}, {_MODES}, d AS (SELECT a.qid, b.ndcg - a.ndcg AS d, row_number() OVER (ORDER BY a.qid) - 1 AS place, count(*) OVER () AS n, avg(b.ndcg - a.ndcg) OVER () AS mean FROM mscores a JOIN mscores b USING (qid) WHERE a.mode = 0 AND b.mode = 2),
+    draws AS (SELECT r, ('0x' || substr(md5('1.' || r || '.' || j), 1, 15))::BIGINT % n AS place FROM range(500) x(r), (SELECT unnest(range(n)) AS j, n FROM (SELECT DISTINCT n FROM d))),
+    m AS (SELECT r, sum(d) / any_value(n) - any_value(mean) AS m, any_value(mean) AS mean FROM draws JOIN d USING (place) GROUP BY r)
+    SELECT (SELECT count(*) FROM d) AS queries, round((sum((abs(round(m, 9)) >= abs(round(mean, 9)))::INT) + 1) / 501.0, 6)::DOUBLE AS p FROM m""",
+)
 def e13(t: Tables) -> DataFrame:
-    rows = sorted(map(tuple, _two_runs(t).select("qid", "before", "after").collect()))
-    p = E.paired_bootstrap([r[1] for r in rows], [r[2] for r in rows], 500)
-    return t.spark.createDataFrame([(len(rows), p)], "queries long, p double")
+    scored = _mode_scores(t).filter("mode <> 1").groupBy("qid").agg(F.max(F.when(F.col("mode") == 0, F.col("ndcg"))).alias("before"), F.max(F.when(F.col("mode") == 2, F.col("ndcg"))).alias("after"))
+    return E.paired_bootstrap(scored, 500)
 
 
 def _samples(t: Tables) -> DataFrame:
@@ -158,19 +191,14 @@ def e16(t: Tables) -> DataFrame:
     return E.failures(scores_of(t, hits), hits, 20)
 
 
-_STOPPED = f"list_filter({TOKENS}, lambda x: NOT list_contains({STOPWORDS}, x))"
-
-
 @query(
     "e17_ablation",
-    f"""WITH {ALL}, qterm2 AS (SELECT item_id AS qid, unnest(CASE WHEN len({_STOPPED}) = 0 THEN {TOKENS} ELSE {_STOPPED} END) AS term FROM benchmark),
-    scored2 AS (SELECT qid, ord, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM qterm2 JOIN postings USING (term) JOIN df USING (term) JOIN doclen USING (ord), stats GROUP BY 1, 2),
-    hits2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS rank FROM scored2) WHERE rank <= 10),
-    after_ AS (SELECT qid, sum((pow(2, g.grade) - 1) / log2(h.rank + 1)) AS dcg FROM hits2 h JOIN gold g USING (qid, ord) GROUP BY 1)
-    SELECT family, count(*) AS n, round(avg(ndcg), 6)::DOUBLE AS before, round(avg(round(coalesce(dcg, 0) / idcg, 6)), 6)::DOUBLE AS after FROM scores JOIN ideal USING (qid) LEFT JOIN after_ USING (qid) GROUP BY family""",
+    f"WITH {ALL}, {_MODES} SELECT CASE mode WHEN 0 THEN 'off' WHEN 1 THEN 'expand' ELSE 'expand and filter' END AS alias_mode, 'f' || qid % 3 AS family, count(*) AS n, round(avg(ndcg), 6)::DOUBLE AS ndcg, round(avg(rr), 6)::DOUBLE AS mrr FROM mscores GROUP BY 1, 2",
 )
 def e17(t: Tables) -> DataFrame:
-    return _two_runs(t).groupBy("family").agg(F.count("*").alias("n"), F.round(F.avg("before"), 6).alias("before"), F.round(F.avg("after"), 6).alias("after"))
+    named = F.element_at(F.array(*[F.lit(m) for m in ALIAS_MODES]), F.col("mode") + 1).alias("alias_mode")
+    per = _mode_scores(t).groupBy(named, F.concat(F.lit("f"), F.col("qid") % 3).alias("family"))
+    return per.agg(F.count("*").alias("n"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
 @query(
