@@ -6,7 +6,7 @@ order (splitting, turn-aligned cuts) runs as Arrow-batched Python per page or pe
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +17,7 @@ from . import relational as R
 
 # Limits of the corpus rules.
 MIN_VISIBLE, ALIAS_MAX_CHARS, WHOLE_WORD_MAX = 200, 25, 4
+MIN_SECTION, LEAD = 30, "lead"
 
 _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
@@ -99,50 +100,87 @@ def table_grid(text: str) -> list[list[str]]:
     return [[grid.get((r, c), "") for c in range(1 + max((k for q, k in grid if q == r), default=-1))] for r in range(rows)]
 
 
-def split_sections(text: str, drop: tuple[str, ...] = (), least: int = 1) -> list[tuple[list[str], str]]:
-    """(heading path, body) of each section; a heading closes those of its level and below."""
-    out: list[tuple[list[str], str]] = []
-    stack: list[tuple[int, str]] = []
-    at = 0
-
-    def close(end: int) -> None:
-        body = re.sub(r"<[^>]*>", " ", text[at:end])
-        body = re.sub(r"\s+", " ", body).strip()
-        path = [t for _, t in stack]
-        if len(body) >= least and not any(p in drop for p in path):
-            out.append((path, body))
-
-    for m in re.finditer(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>", text):
-        close(m.start())
-        level = int(m[1])
-        while stack and stack[-1][0] >= level:
-            stack.pop()
-        stack.append((level, re.sub(r"<[^>]*>", "", m[2]).strip()))
-        at = m.end()
-    close(len(text))
-    return out
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_HEADING = re.compile(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>")
 
 
-def split_text(text: str, limit: int, breaks: tuple[str, ...] = ("\n", ". ", " ")) -> list[str]:
-    """Pieces of at most ``limit`` characters, cut after the last natural break inside, else hard."""
+def _plain(markup: str) -> str:
+    return " ".join(re.sub(r"<[^>]*>", " ", markup).split())
+
+
+def split_sections(text: str, drop: tuple[str, ...] = (), least: int = MIN_SECTION, lead: str = LEAD) -> list[tuple[list[str], str, int]]:
+    """(heading path, body, offset) of each section whose body has ``least`` characters.
+
+    Comments go first, so a heading in one is none; offsets count in the text without them. What stands before
+    the first heading is the section ``lead`` (without any heading: one section with an empty path). A
+    heading of level n stands below the n - 1 outermost headings before it. Sections under a dropped heading go."""
+    text = _COMMENT.sub("", text)
+    marks = list(_HEADING.finditer(text))
+    bounds = [0, *(m.end() for m in marks)]
+    ends = [*(m.start() for m in marks), len(text)]
+    path: list[str] = []
     out = []
-    while len(text) > limit:
-        at = next((p + len(b) for b in breaks if (p := text.rfind(b, 0, limit - len(b) + 1)) > 0), limit)
-        out.append(text[:at].strip())
-        text = text[at:]
-    out.append(text.strip())
-    return [x for x in out if x]
+    for n, (start, end) in enumerate(zip(bounds, ends, strict=True)):
+        if n:
+            del path[int(marks[n - 1][1]) - 1 :]
+            path.append(_plain(marks[n - 1][2]))
+        body = _plain(text[start:end])
+        if len(body) >= least and not set(path) & set(drop):
+            out.append((list(path) if n or not marks else [lead], body, marks[n - 1].start() if n else 0))
+    return out
 
 
-def page_sections(pages: DataFrame, key: str, text: str, drop: tuple[str, ...] = (), least: int = 1) -> DataFrame:
-    """``key, seq, path, body``: records of each page, by an Arrow-batched parser."""
+def split_text(text: str, limit: int, breaks: tuple[str, ...] = ("\n", ". ", " ")) -> list[str]:
+    """Pieces of at most ``limit`` characters: cut after the last break of the first kind that lies past a third of
+    the limit, else hard. Pieces have no outer white space; a text within the limit stays as it is."""
+    if len(text) <= limit:
+        return [text] if text else []
+    out, start = [], 0
+    while len(text) - start > limit:
+        found = ((text.rfind(x, start, start + limit), x) for x in breaks)
+        end = next((p + len(x) for p, x in found if p - start > limit // 3), start + limit)
+        out.append(text[start:end].strip())
+        start = end + len(text[end:]) - len(text[end:].lstrip()) if text[end : end + 1].isspace() else end
+    return [x for x in [*out, text[start:]] if x]
+
+
+def page_sections(pages: DataFrame, key: str, text: str, drop: tuple[str, ...] = (), least: int = MIN_SECTION) -> DataFrame:
+    """``key, seq, path, body, at``: records of each page, by an Arrow-batched parser."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, n, path, body) for k, t in zip(frame[key], frame[text], strict=True) for n, (path, body) in enumerate(split_sections(strip_tables(t or ""), drop, least))]
-            yield pd.DataFrame(rows, columns=[key, "seq", "path", "body"])
+            rows = [(k, n, *x) for k, t in zip(frame[key], frame[text], strict=True) for n, x in enumerate(split_sections(strip_tables(_COMMENT.sub("", t or "")), drop, least))]
+            yield pd.DataFrame(rows, columns=[key, "seq", "path", "body", "at"])
+
+    return pages.select(key, text).mapInPandas(parse, f"{key} {pages.schema[key].dataType.simpleString()}, seq int, path array<string>, body string, at int")
+
+
+def page_records(pages: DataFrame, rules: DataFrame, title: str, text: str, parsers: dict[str, Callable[[str], tuple[list[tuple[str, str]], list[str]]]], bare: tuple[str, ...] = ()) -> DataFrame:
+    """Records of each page by the parser of its route: the page's key columns, ``route, kind, seq, value``.
 
-    return pages.select(key, text).mapInPandas(parse, f"{key} {pages.schema[key].dataType.simpleString()}, seq int, path array<string>, body string")
+    A parser gives (kind, value) records and warnings. Warnings are rows of kind ``warning``; a page without
+    records is a row of kind ``empty``, or ``expected empty`` on a route in ``bare``; one without a route or a
+    parser is ``unrouted``. rules: ``route, pattern``."""
+    keys = [c for c in pages.columns if c != text]
+    own = pages.select(*keys, F.coalesce(text, F.lit("")).alias("_text"))
+    found = routed(own, rules, title)
+    names = [c for c in keys]
+    unrouted = own.join(found.select(*names), names, "left_anti").withColumn("route", F.lit(None).cast("string"))
+    every = found.select(*names, "route", "_text").unionByName(unrouted.select(*names, "route", "_text"))
+
+    @F.pandas_udf("array<struct<kind:string,value:string>>")
+    def parse(routes: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for route, x in zip(routes, texts, strict=True):
+            if route not in parsers:
+                out.append([("unrouted", None)])
+                continue
+            records, warnings = parsers[route](x)
+            empty = [] if records else [("expected empty" if route in bare else "empty", None)]
+            out.append([*records, *empty, *(("warning", w) for w in warnings)])
+        return pd.Series([[{"kind": k, "value": v} for k, v in rows] for rows in out])
+
+    return every.select(*names, "route", F.posexplode(parse("route", "_text")).alias("seq", "x")).select(*names, "route", "x.kind", "seq", "x.value")
 
 
 def pieces(units: DataFrame, key: str, text: str, limit: int) -> DataFrame:
@@ -181,7 +219,7 @@ def dialogue_units(lines: DataFrame, target: int = 600, most: int = 4) -> DataFr
 # ---- identity and aliases ------------------------------------------------------------------------------
 
 
-def followed(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def followed(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``node, target``: each node's end along edges ``node, next`` (one next a node); cycles end at their least node.
 
     Pointers double every round, so a chain of 2**rounds links ends; lineage is cut by checkpoint where the
@@ -199,6 +237,8 @@ def followed(edges: DataFrame, rounds: int = 20) -> DataFrame:
         now = step
         if not moved:
             break
+    else:
+        raise RuntimeError(f"pointers did not settle in {rounds} rounds")
     on_cycle = now.join(now.select(F.col("node").alias("target")).distinct(), "target", "left_semi").select("node", F.lit(True).alias("cyclic"))
     return now.join(on_cycle, "node", "left").select("node", F.when(F.col("cyclic"), F.col("least")).otherwise(F.col("target")).alias("target"))
 
@@ -261,19 +301,23 @@ def owner_ladder(labels: DataFrame, label: str, *ladders: DataFrame) -> DataFram
 
 def roster_confidence(material: DataFrame, value: str) -> DataFrame:
     """confidence = m / (m + median) to four digits; the median is the upper one of all values."""
-    median = material.agg(R.upper_median(F.collect_list(value)).alias("_median"))
+    median = R.values_at(material, [], value, {"_median": R.upper_place}).select("_median")
     return material.crossJoin(F.broadcast(median)).withColumn("confidence", F.round(F.col(value) / (F.col(value) + F.col("_median")), 4)).drop("_median")
 
 
 def template_stats(units: DataFrame, template: str, chars: str) -> DataFrame:
-    v = F.collect_list(chars)
-    return units.groupBy(template).agg(F.count("*").alias("n"), R.floor_percentile(v, 0.5).alias("p50"), R.floor_percentile(v, 0.95).alias("p95"), F.max(chars).alias("max"))
+    top = units.groupBy(template).agg(F.max(chars).alias("max"))
+    return R.values_at(units, [template], chars, {"p50": R.floor_place(0.5), "p95": R.floor_place(0.95)}).join(top, template).select(template, "n", "p50", "p95", "max")
+
 
+def fingerprint(units: DataFrame, key: str) -> DataFrame:
+    """One digest of all ids, whatever their order: their number, and sums and exclusive ors of two hashes of each.
 
-def fingerprint(units: DataFrame, key: str, buckets: int = 256) -> DataFrame:
-    """One digest of all ids, whatever their order in files: per hash bucket an ordered digest, then one over the buckets."""
-    parts = units.groupBy(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "\n"), 256).alias("fingerprint"))
+    Sums and ors don't depend on order, so parts combine before the shuffle and nothing is sorted or listed."""
+    digest = F.md5(F.col(key).cast("string"))
+    halves = [F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 16)]
+    sums = units.select(halves[0].alias("a"), halves[1].alias("b")).agg(F.count("*").alias("n"), *[f(x).alias(f"{x}{i}") for i, f in enumerate((lambda x: F.sum(F.col(x).cast("decimal(38,0)")), F.bit_xor)) for x in "ab"])
+    return sums.select(F.sha2(F.concat_ws(" ", "n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("a0", "b0", "a1", "b1")]), 256).alias("fingerprint"))
 
 
 def facet_cards(forms: DataFrame, person: str, page: str, facets: str) -> DataFrame:

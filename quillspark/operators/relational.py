@@ -6,6 +6,8 @@ otherwise; empty frames give empty results."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +149,40 @@ def counts_for_all(df: DataFrame, by: str, every: DataFrame) -> DataFrame:
     return every.select(by).distinct().join(grouped_counts(df, by), by, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def values_at(df: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each group the sorted values at given places (from 0; functions of the group's size), and ``n``.
+
+    Equal values are counted first, so a group is as many rows as it has distinct values, and no list is built."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*(by or [F.lit(1)]))
+    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(w))
+    at = {k: F.max(F.when((f(F.col("_n")) < F.col("_upto")) & (f(F.col("_n")) >= F.col("_upto") - F.col("_c")), F.col(value))).alias(k) for k, f in places.items()}
+    return placed.groupBy(*by).agg(F.max("_n").alias("n"), *at.values())
+
+
+def floor_place(q: float) -> Callable[[Column], Column]:
+    return lambda n: F.floor(F.lit(q) * (n - 1))
+
+
+def upper_place(n: Column) -> Column:
+    return F.floor(n / 2)
+
+
+def nearest_place(p: float) -> Callable[[Column], Column]:
+    return lambda n: F.floor((n - 1) * F.lit(p) + 0.5)
+
+
+def evenly_spaced(df: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
+    """``by, i, cut``: n of the sorted distinct values, evenly spaced by integer division; groups with fewer have none."""
+    own = df.filter(F.col(value).isNotNull()).select(*by, value).distinct()
+    w = Window.partitionBy(*by)
+    placed = own.withColumn("_p", F.row_number().over(w.orderBy(value)) - 1).withColumn("_k", F.count("*").over(w)).filter(F.col("_k") > n)
+    # The only i whose place can be p.
+    i = F.expr(f"(_p * {n - 1} + _k - 2) div (_k - 1)")
+    return placed.withColumn("i", i).filter(F.expr(f"(i * (_k - 1)) div {n - 1} = _p and i < {n}")).select(*by, F.col("i").cast("long").alias("i"), F.col(value).alias("cut"))
+
+
 def floor_percentile(values: Column, q: float) -> Column:
     """Of an array: the sorted element at floor(q * (n - 1))."""
     return F.get(F.array_sort(values), F.floor(F.lit(q) * (F.size(values) - 1)).cast("int"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +21,19 @@ def c01(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(C.without_comments(F.col("html"))).alias("h"))
 
 
-@query("c02_strip_tables", "SELECT page_id, length(html)::BIGINT AS chars FROM pages WHERE NOT regexp_matches(html, '(?i)<table')")
+# Columns of a part in nested tables; every fifth part's outer table isn't closed. The pages themselves come too.
+@query("c02_strip_tables", "SELECT 'part' AS kind, p_partkey AS id, md5(p_brand || '<b>' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_size || p_brand END) AS h FROM part UNION ALL SELECT 'page', page_id, md5(regexp_replace(html, '(?is)<table\\b.*', '', 'g')) FROM pages")
 def c02(t: Tables) -> DataFrame:
     @F.pandas_udf("string")
     def strip(html):
         return html.map(lambda x: None if x is None else C.strip_tables(x))
 
-    made = t.pages.select("page_id", "html", strip("html").alias("s"))
-    return made.filter(~F.col("html").rlike("(?i)<table")).select("page_id", F.length("s").cast("long").alias("chars"))
+    inner = F.concat(F.lit('<TABLE class="a"><tr><td>'), "p_name", F.lit("</td></tr></TABLE >"))
+    close = F.when(F.col("p_partkey") % 5 == 0, "").otherwise("</table>")
+    html = F.concat("p_brand", F.lit("<b><table><tr><td>"), "p_type", inner, "p_type", inner, F.lit("</td></tr>"), close, "p_size", inner, "p_brand")
+    parts = t.part.select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), html.alias("html"))
+    every = parts.unionByName(t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "html"))
+    return every.select("kind", "id", F.md5(strip("html")).alias("h"))
 
 
 @query("c05_flatten", r"SELECT page_id, length(" + _VISIBLE.replace("html,", r"regexp_replace(regexp_replace(regexp_replace(html, '(?si)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?si)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?si)<nav\b[^>]*>.*?</nav\s*>', '', 'g'),", 1) + r")::BIGINT AS letters FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '('), '&gt;', ')'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '+') AS html FROM pages)")
@@ -37,7 +44,25 @@ def c05(t: Tables) -> DataFrame:
 @query("c07_sections")
 def c07(t: Tables) -> DataFrame:
     made = C.page_sections(t.pages, "page_id", "html")
-    return made.select("page_id", "seq", F.array_join("path", " > ").alias("path"), F.length("body").alias("chars"))
+    return made.select("page_id", "seq", F.array_join("path", " > ").alias("path"), F.length("body").alias("chars"), "at")
+
+
+# A commented-out heading, a short section, a lead, a skipped level and a dropped section round columns of a part.
+@query(
+    "c07_part_sections",
+    """SELECT p_partkey AS id, 0 AS seq, 'lead' AS path, 'of the make ' || p_brand || ' and of ' || p_type AS body, 0 AS at FROM part
+    UNION ALL SELECT p_partkey, 1, p_name, 'body of some length about ' || p_type, length(p_brand) + length(p_type) + 23 FROM part
+    UNION ALL SELECT p_partkey, 2, p_name || ' > ' || p_size, 'deeper text about the size of ' || p_brand, length(p_brand) + 2 * length(p_type) + length(p_name) + 58 FROM part""",
+)
+def c07_parts(t: Tables) -> DataFrame:
+    html = F.concat(
+        F.lit("<p>of the make "), "p_brand", F.lit(" and of "), "p_type", F.lit("<!-- <h2>gone</h2> -->"),
+        F.lit("<h2>"), "p_name", F.lit("</h2>body of some length about "), "p_type",
+        F.lit("<h4><i>"), "p_size", F.lit("</i></h4>deeper text about the size of "), "p_brand",
+        F.lit("<h3>short</h3>few words<h2>Notes</h2>what is long enough but stands under a dropped heading"),
+    )
+    made = C.page_sections(t.part.select("p_partkey", html.alias("html")), "p_partkey", "html", drop=("Notes",))
+    return made.select(F.col("p_partkey").alias("id"), "seq", F.array_join("path", " > ").alias("path"), "body", "at")
 
 
 @query("c04_headings", r"SELECT page_id, len(regexp_extract_all(html, '(?si)<h[1-6][^>]*>(.*?)</h[1-6]>'))::BIGINT AS n FROM pages")
@@ -57,9 +82,28 @@ def c09(t: Tables) -> DataFrame:
     return C.routed(t.pages.select("page_id", "url"), rules, "url").select("page_id", "route")
 
 
-@query("c10_page_records", "SELECT page_id, CASE WHEN contains(html, '<table') THEN 1 ELSE 0 END AS tables FROM pages")
+def _paragraphs(html: str) -> tuple[list[tuple[str, str]], list[str]]:
+    return [("line", x) for x in re.findall(r"<p>([^<]*)", html)], (["entities"] if "&amp;&amp;" in html else [])
+
+
+def _links(html: str) -> tuple[list[tuple[str, str]], list[str]]:
+    return [("ref", x) for x in re.findall(r'href="/([^"]*)"', html)], []
+
+
+@query(
+    "c10_page_records",
+    """WITH r AS (SELECT page_id, html, CASE WHEN contains(url, '/fr/') THEN 'french' WHEN contains(url, '/en/') THEN 'english' WHEN contains(url, '/de') THEN 'bare' END AS route FROM pages),
+    x AS (SELECT page_id, route, CASE route WHEN 'english' THEN 'line' ELSE 'ref' END AS kind, CASE route WHEN 'english' THEN regexp_extract_all(html, '<p>([^<]*)', 1) WHEN 'french' THEN regexp_extract_all(html, 'href="/([^"]*)"', 1) ELSE [] END AS v, html FROM r WHERE route IS NOT NULL)
+    SELECT page_id, route, kind, (unnest(range(len(v))))::INT AS seq, md5(unnest(v)) AS h FROM x WHERE len(v) > 0
+    UNION ALL SELECT page_id, route, CASE route WHEN 'bare' THEN 'expected empty' ELSE 'empty' END, 0, NULL FROM x WHERE len(v) = 0
+    UNION ALL SELECT page_id, route, 'warning', greatest(len(v), 1)::INT, md5('entities') FROM x WHERE route = 'english' AND contains(html, '&amp;&amp;')
+    UNION ALL SELECT page_id, route, 'unrouted', 0, NULL FROM r WHERE route IS NULL""",
+)
 def c10(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.contains("html", F.lit("<table")).cast("int").alias("tables"))
+    rules = t.spark.createDataFrame([("bare", "/de"), ("french", "/fr/"), ("english", "/en/")], "route string, pattern string")
+    parsers = {"english": _paragraphs, "french": _links, "bare": lambda html: ([], [])}
+    made = C.page_records(t.pages.select("page_id", "url", "html"), rules, "url", "html", parsers, bare=("bare",))
+    return made.select("page_id", "route", "kind", F.col("seq").cast("int").alias("seq"), F.md5("value").alias("h"))
 
 
 _DECLARED = "declared AS (SELECT p_partkey AS page, p_partkey - p_partkey % 5 AS canonical FROM part WHERE p_partkey % 5 IN (1, 2)), pages_ AS (SELECT p_partkey AS page FROM part)"
@@ -134,24 +178,44 @@ def c21(t: Tables) -> DataFrame:
     return made.filter("n >= 3 and other = n").select("scene", "speaker")
 
 
-@query("c22_split_text")
+# The cut as a recursion over what is left of each text; pieces lose outer white space, the last one only in front.
+_CUT = r"""RECURSIVE cut(ord, n, piece, rest) AS (SELECT ord, -1, '', text FROM units WHERE text <> ''
+  UNION ALL SELECT ord, n + 1, CASE WHEN length(rest) <= 600 THEN rest ELSE regexp_replace(substr(rest, 1, upto), '^\s+|\s+$', '', 'g') END, CASE WHEN length(rest) <= 600 THEN '' ELSE regexp_replace(substr(rest, upto + 1), '^\s+', '') END
+  FROM (SELECT *, CASE WHEN p1 > 200 THEN p1 + 1 WHEN p2 > 200 THEN p2 + 2 WHEN p3 > 200 THEN p3 + 1 ELSE 600 END AS upto FROM (
+    SELECT *, length(regexp_extract(substr(rest, 1, 600), '(?s)^(.*)\n', 1)) AS p1, length(regexp_extract(substr(rest, 1, 600), '(?s)^(.*)\. ', 1)) AS p2, length(regexp_extract(substr(rest, 1, 600), '(?s)^(.*) ', 1)) AS p3 FROM cut WHERE rest <> ''))),
+pieces AS (SELECT ord, (row_number() OVER (PARTITION BY ord ORDER BY n) - 1)::INT AS piece, piece AS text FROM cut WHERE n >= 0 AND piece <> '')"""
+
+
+@query("c22_split_text", f"WITH {_CUT} SELECT ord, piece, md5(text) AS h FROM pieces")
 def c22(t: Tables) -> DataFrame:
-    return C.pieces(t.units, "ord", "text", 600).select("ord", "piece", F.length("text").alias("chars"))
+    return C.pieces(t.units, "ord", "text", 600).select("ord", "piece", F.md5("text").alias("h"))
 
 
-@query("c23_lore_units")
+@query("c23_lore_units", f"WITH {_CUT} SELECT page || '#' || (row_number() OVER (PARTITION BY page ORDER BY ord, piece) - 1) AS id, page || ' > ' || template AS header, length(pieces.text) AS chars FROM pieces JOIN units USING (ord)")
 def c23(t: Tables) -> DataFrame:
     made = C.pieces(t.units, "ord", "text", 600).join(t.units.select("ord", "page", "template"), "ord")
     place = F.row_number().over(Window.partitionBy("page").orderBy("ord", "piece")) - 1
     return made.select(F.concat_ws("#", "page", place.cast("string")).alias("id"), F.concat_ws(" > ", "page", "template").alias("header"), F.length("text").alias("chars"))
 
 
-@query("c24_dialogue_units")
+def _folded(target: int, most: int) -> str:
+    return f"""RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY seq) AS rn, lead(speaker) OVER (PARTITION BY scene ORDER BY seq) IS DISTINCT FROM speaker AS turn FROM lines),
+f(scene, rn, unit, held, chars) AS (SELECT scene, 1::BIGINT, 0::BIGINT, 1, length(coalesce(text, '')) FROM l WHERE rn = 1
+  UNION ALL SELECT l.scene, l.rn, f.unit + closed::INT, CASE WHEN closed THEN 1 ELSE f.held + 1 END, CASE WHEN closed THEN 0 ELSE f.chars END + length(coalesce(l.text, ''))
+  FROM (SELECT f.*, held >= {most} OR (turn AND chars >= {target}) AS closed FROM f JOIN l USING (scene, rn)) f JOIN l ON l.scene = f.scene AND l.rn = f.rn + 1),
+said AS (SELECT * FROM f JOIN l USING (scene, rn)), bounds AS (SELECT scene, unit, min(seq) AS lo, max(seq) AS hi FROM said GROUP BY 1, 2)"""
+
+
+@query(
+    "c24_dialogue_units",
+    f"""WITH {_folded(600, 4)}, who AS (SELECT scene, unit, string_agg(speaker, ',' ORDER BY first) AS speakers FROM (SELECT scene, unit, speaker, min(rn) AS first FROM said GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    body AS (SELECT scene, unit, md5(string_agg(speaker || ': ' || coalesce(text, ''), chr(10) ORDER BY rn)) AS h FROM said GROUP BY 1, 2) SELECT scene, unit, lo, hi, speakers, h FROM bounds JOIN who USING (scene, unit) JOIN body USING (scene, unit)""",
+)
 def c24(t: Tables) -> DataFrame:
     return C.dialogue_units(t.lines).select("scene", "unit", "lo", "hi", "speakers", F.md5("text").alias("h"))
 
 
-@query("w09_turn_cuts")
+@query("w09_turn_cuts", f"WITH {_folded(300, 3)} SELECT scene, unit, lo, hi FROM bounds")
 def w09(t: Tables) -> DataFrame:
     return C.dialogue_units(t.lines, 300, 3).select("scene", "unit", "lo", "hi")
 
@@ -164,10 +228,20 @@ def c25(t: Tables) -> DataFrame:
     return t.lines.withColumn("reply", reply).filter("speaker = 'user' and reply is not null").select("scene", "seq", "reply")
 
 
-@query("c26_voice_units", "SELECT person, unit, row_number() OVER (PARTITION BY person ORDER BY unit) - 1 AS seq FROM attribution WHERE person < 20")
+# A person's units in order: those on the skip list go, of one form (customer) the first stays, and variants are told.
+@query(
+    "c26_voice_units",
+    """WITH v AS (SELECT a.person, a.unit, o.o_custkey AS form, o.o_orderpriority AS variant FROM attribution a JOIN orders o ON o.o_orderkey = a.unit WHERE a.unit NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')),
+    first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person, form ORDER BY unit) AS rn FROM v) WHERE rn = 1)
+    SELECT person, unit, row_number() OVER (PARTITION BY person ORDER BY unit) - 1 AS seq, 'person ' || person || ' > ' || variant AS header FROM first""",
+)
 def c26(t: Tables) -> DataFrame:
+    skipped = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("unit"))
+    forms = t.orders.select(F.col("o_orderkey").alias("unit"), F.col("o_custkey").alias("form"), F.col("o_orderpriority").alias("variant"))
+    own = R.drop_matching(t.attribution, skipped, "unit").join(forms, "unit")
+    first = R.first_per_group(own, ["person", "form"], ["unit"])
     seq = F.row_number().over(Window.partitionBy("person").orderBy("unit")) - 1
-    return t.attribution.filter("person < 20").select("person", "unit", seq.cast("long").alias("seq"))
+    return first.select("person", "unit", seq.cast("long").alias("seq"), F.concat(F.lit("person "), "person", F.lit(" > "), "variant").alias("header"))
 
 
 @query("c27_facet_cards", "WITH f AS (SELECT p_brand AS person, p_partkey AS page, p_type, p_size FROM part), b AS (SELECT person, arg_min(page, page) AS page0, arg_min(p_type, page) AS t0, arg_min(p_size, page) AS s0 FROM f GROUP BY 1) SELECT person, page, concat_ws(',', CASE WHEN p_size <> s0 THEN 'size' END, CASE WHEN p_type <> t0 THEN 'type' END) AS fields FROM f JOIN b USING (person) WHERE page <> page0")
@@ -213,7 +287,7 @@ def c34(t: Tables) -> DataFrame:
     return C.template_stats(t.units, "template", "chars")
 
 
-@query("c35_fingerprint")
+@query("c35_fingerprint", "SELECT sha256(concat_ws(' ', count(*), sum(a)::HUGEINT, sum(b)::HUGEINT, bit_xor(a), bit_xor(b))) AS fingerprint FROM (SELECT ('0x' || substr(md5(id), 1, 15))::BIGINT AS a, ('0x' || substr(md5(id), 16, 15))::BIGINT AS b FROM units)")
 def c35(t: Tables) -> DataFrame:
     return C.fingerprint(t.units, "id")
 
@@ -337,7 +411,8 @@ def g15(t: Tables) -> DataFrame:
 def g16(t: Tables) -> DataFrame:
     from ..functions.text import token_estimate
 
-    return t.units.groupBy("template").agg(R.upper_median(F.collect_list(token_estimate(F.col("text")).cast("long"))).alias("median"))
+    sized = t.units.select("template", token_estimate(F.col("text")).cast("long").alias("tokens"))
+    return R.values_at(sized, ["template"], "tokens", {"median": R.upper_place}).drop("n")
 
 
 @query("g17_dangling_links", "SELECT DISTINCT link FROM (SELECT unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS link FROM pages) WHERE link NOT IN (SELECT lower(link) FROM (SELECT unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS link FROM pages))")

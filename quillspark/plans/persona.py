@@ -111,14 +111,25 @@ def r26(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "mode string, refused boolean")
 
 
-@query("c03_table_grid", "SELECT page_id, 0::BIGINT AS rows FROM pages WHERE NOT regexp_matches(html, '(?i)<table')")
+# Two rows under a head; the brand spans both rows, the type two columns.
+@query(
+    "c03_table_grid",
+    """WITH g AS (SELECT p_partkey AS id, [['make', 'kind', 'kind'], [p_brand, p_type, p_type], [p_brand, p_name, p_size::VARCHAR]] AS g FROM part)
+    SELECT id, r, c, g[r + 1][c + 1] AS cell FROM g, (SELECT unnest([0, 1, 2]) AS r), (SELECT unnest([0, 1, 2]) AS c) UNION ALL SELECT -page_id, 0, 0, 'no table' FROM pages""",
+)
 def c03(t: Tables) -> DataFrame:
     from ..operators import corpus as C
 
     def parse(row: dict) -> list[dict]:
-        return [{"page_id": row["page_id"], "rows": len(C.table_grid(row["html"]))}]
-
-    return H.parsed(t.pages.filter(~F.col("html").rlike("(?i)<table")).select("page_id", "html"), parse, "page_id long, rows long")
+        grid = C.table_grid(row["html"]) or [["no table"]]
+        return [{"id": row["id"], "r": r, "c": c, "cell": cell} for r, cells in enumerate(grid) for c, cell in enumerate(cells)]
+
+    html = F.concat(
+        F.lit("<p>before</p><table><tr><th>make</th><th colspan=2>kind</th></tr><tr><td rowspan='2'>"), "p_brand", F.lit('</td><td colspan="2"><b>'), "p_type",
+        F.lit("</b></td></tr><TR><td>"), "p_name", F.lit("</td><td> "), "p_size", F.lit(" </td></TR></table><p>after</p>"),
+    )
+    every = t.part.select(F.col("p_partkey").alias("id"), html.alias("html")).unionByName(t.pages.select((-F.col("page_id")).alias("id"), "html"))
+    return H.parsed(every, parse, "id long, r int, c int, cell string")
 
 
 @query("c06_definition_lists", "SELECT p_partkey, p_brand || ': ' || p_type || ', ' || p_name AS text FROM part")

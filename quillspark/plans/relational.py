@@ -57,11 +57,12 @@ def p09(t: Tables) -> DataFrame:
     return t.units.filter(~F.col("page").endswith("1")).select("ord")
 
 
-@query("p10_null_safe", "SELECT a.person, b.person AS twin FROM (SELECT person, nullif(region, 2) AS r FROM persons) a JOIN (SELECT person, nullif(region, 2) AS r FROM persons) b ON a.r IS NOT DISTINCT FROM b.r AND a.person < b.person AND a.person <= 20")
+@query("p10_null_safe", "SELECT a.person, count(b.person) AS twins, min(b.person) AS first FROM (SELECT person, nullif(region, 2) AS r FROM persons) a JOIN (SELECT person, nullif(region, 2) AS r FROM persons) b ON a.r IS NOT DISTINCT FROM b.r GROUP BY 1")
 def p10(t: Tables) -> DataFrame:
+    # One row a person: what shares its region, null with null, is counted before the join.
     a = t.persons.select("person", F.nullif("region", F.lit(2)).alias("r"))
-    b = a.select(F.col("person").alias("twin"), F.col("r").alias("r2"))
-    return a.filter("person <= 20").join(b, F.col("r").eqNullSafe(F.col("r2")) & (F.col("person") < F.col("twin"))).select("person", "twin")
+    sizes = a.groupBy(F.col("r").alias("r2")).agg(F.count("*").alias("twins"), F.min("person").alias("first"))
+    return a.join(sizes, F.col("r").eqNullSafe(F.col("r2"))).select("person", "twins", "first")
 
 
 @query("p11_length_between", "SELECT p_partkey, p_name FROM part WHERE length(p_name) BETWEEN 4 AND 24")
@@ -208,7 +209,7 @@ def j20(t: Tables) -> DataFrame:
     # Containment of whole passages: both sides are keyed by a rare window of the passage first.
     from ..operators.contain import contained_in
 
-    return contained_in(t.benchmark, "item_id", "text", t.documents, "doc_id", "text")
+    return contained_in(t.benchmark, "item_id", "text", t.dealt_documents, "doc_id", "text")
 
 
 # ---- A: aggregates ---------------------------------------------------------------------------------
@@ -261,24 +262,22 @@ _SORTED = "SELECT template, list_sort(list(chars)) AS v FROM units GROUP BY temp
 
 @query("a09_floor_percentile", f"SELECT template, v[floor(0.5 * (len(v) - 1))::INT + 1] AS p50, v[floor(0.95 * (len(v) - 1))::INT + 1] AS p95 FROM ({_SORTED})")
 def a09(t: Tables) -> DataFrame:
-    v = F.collect_list("chars")
-    return t.units.groupBy("template").agg(R.floor_percentile(v, 0.5).alias("p50"), R.floor_percentile(v, 0.95).alias("p95"))
+    return R.values_at(t.units, ["template"], "chars", {"p50": R.floor_place(0.5), "p95": R.floor_place(0.95)}).drop("n")
 
 
 @query("a10_upper_median", f"SELECT template, v[len(v) // 2 + 1] AS median FROM ({_SORTED})")
 def a10(t: Tables) -> DataFrame:
-    return t.units.groupBy("template").agg(R.upper_median(F.collect_list("chars")).alias("median"))
+    return R.values_at(t.units, ["template"], "chars", {"median": R.upper_place}).drop("n")
 
 
 @query("a11_nearest_rank", f"SELECT template, v[floor((len(v) - 1) * 0.9 + 0.5)::INT + 1] AS p90 FROM ({_SORTED})")
 def a11(t: Tables) -> DataFrame:
-    return t.units.groupBy("template").agg(R.nearest_rank(F.collect_list("chars"), 0.9).alias("p90"))
+    return R.values_at(t.units, ["template"], "chars", {"p90": R.nearest_place(0.9)}).drop("n")
 
 
 @query("a12_even_quantiles", "SELECT template, i::BIGINT AS i, v[(i * (len(v) - 1)) // 7 + 1] AS cut FROM (SELECT template, list_sort(list(DISTINCT chars)) AS v FROM units GROUP BY template), range(8) r(i) WHERE len(v) > 8")
 def a12(t: Tables) -> DataFrame:
-    cuts = t.units.groupBy("template").agg(R.even_quantiles(F.collect_set("chars"), 8).alias("cuts"), F.countDistinct("chars").alias("k")).filter("k > 8")
-    return cuts.select("template", F.posexplode("cuts").alias("i", "cut")).withColumn("i", F.col("i").cast("long"))
+    return R.evenly_spaced(t.units, ["template"], "chars", 8)
 
 
 @query("a13_sorted_list", "SELECT unit, array_to_string(list_sort(list(person)), ',') AS persons FROM attribution GROUP BY unit")

@@ -56,11 +56,9 @@ def session_gaps(stream: DataFrame, by: str, idle: str = "30 minutes", late: str
     return own.select(by, F.col("w.start").alias("opened"), "last", "n")
 
 
-def announced_once(stream: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
-    """The first row of each key; with ``late`` the memory of a key ends that long after it."""
-    if late:
-        return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
-    return stream.dropDuplicates(keys)
+def announced_once(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
+    """The first row of each key; the memory of a key ends ``late`` after it, so that the state is bounded."""
+    return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
 
 
 def openings(stream: DataFrame, person: str, gap_ms: int, daily: int) -> DataFrame:

@@ -129,12 +129,17 @@ def test_metrics(spark):
     assert got[2]["negative_won"] and got[2]["rr"] == 0.5 and got[3]["empty"] and got[3]["ndcg"] == 0.0
 
 
-def test_bootstrap():
-    assert E.paired_bootstrap([], [], 10) is None and E.paired_bootstrap([1.0], [1.0, 2.0], 10) is None
-    same = E.paired_bootstrap([0.5] * 20, [0.5] * 20, 50)
-    better = E.paired_bootstrap([0.1] * 30 + [0.2], [0.5] * 30 + [0.9], 200)
-    assert same == 1.0 and better < 0.05
-    assert E.paired_bootstrap([0.1, 0.4, 0.3], [0.3, 0.2, 0.5], 300) == E.paired_bootstrap([0.1, 0.4, 0.3], [0.3, 0.2, 0.5], 300)
+def test_bootstrap(spark):
+    def p(before, after, iterations=200):
+        rows = [(i * 7, b, a) for i, (b, a) in enumerate(zip(before, after, strict=True))]
+        return tuple(E.paired_bootstrap(spark.createDataFrame(rows, "qid long, before double, after double"), iterations).first())
+
+    assert p([], []) == (0, None)
+    assert p([0.5] * 20, [0.5] * 20)[1] == 1.0
+    base = [0.30 + (i % 5) * 0.01 for i in range(60)]
+    assert p(base, [b + 0.25 for b in base])[1] < 0.05
+    noise = [0.1, 0.4, 0.3, 0.7, 0.2]
+    assert p(noise, noise[::-1]) == p(noise, noise[::-1]) and p(noise, noise[::-1])[1] > 0.5
 
 
 def test_calibration_against_a_grid_search(spark):
@@ -165,9 +170,18 @@ def test_tables_and_sections():
     assert C.strip_tables(nested) == "ab"
     grid = C.table_grid('<table><tr><th rowspan="2">A</th><th colspan=2>B</th></tr><tr><td>1</td><td>2</td></tr></table>')
     assert grid == [["A", "B", "B"], ["A", "1", "2"]]
-    parts = C.split_sections("intro<h1>One</h1>a<h2>Two</h2>b<h1>Three</h1>c")
-    assert parts == [([], "intro"), (["One"], "a"), (["One", "Two"], "b"), (["Three"], "c")]
+    parts = C.split_sections("intro<h1>One</h1>a<h2>Two</h2>b<h1>Three</h1>c", least=1)
+    assert parts == [(["lead"], "intro", 0), (["One"], "a", 5), (["One", "Two"], "b", 18), (["Three"], "c", 31)]
+    assert C.split_sections("only text", least=1) == [([], "only text", 0)] and C.split_sections("only text") == []
+    # A heading in a comment is none, and offsets count without comments; dropped sections go with what lies below.
+    commented = "<!-- <h2>gone</h2> --><p>body text</p><h2>Kept</h2>x<h2>Notes</h2>y<h3>Below</h3>z<h2>End"
+    assert C.split_sections(commented, ("Notes",), 1) == [(["lead"], "body text", 0), (["Kept"], "x", 16)]
+    assert C.split_sections("<h3>Deep</h3>a<h2>Up</h2>b", least=1) == [(["Deep"], "a", 0), (["Deep", "Up"], "b", 14)]
     assert C.split_text("aaa bbb. ccc ddd", 9) == ["aaa bbb.", "ccc ddd"] and C.split_text("x" * 7, 3) == ["xxx", "xxx", "x"]
+    # A break counts only past a third of the limit; the kinds of breaks go in order.
+    assert C.split_text("ab " + "c" * 40, 30) == ["ab " + "c" * 27, "c" * 13]
+    assert C.split_text("one two\nthree four five", 12) == ["one two", "three four", "five"]
+    assert C.split_text("", 5) == [] and C.split_text(" ab ", 5) == [" ab "]
     assert C.merged_order([["a", "c"], ["a", "b", "c"], ["d"]]) == ["d", "a", "b", "c"]
 
 
@@ -246,4 +260,52 @@ def test_fingerprint_ignores_order(spark):
 def test_pieces_and_sections_of_frames(spark):
     df = spark.createDataFrame([(1, "aaa bbb. ccc ddd", "x<h1>T</h1>y<table><tr><td>z</td></tr></table>"), (2, None, None)], "k long, t string, h string")
     assert [tuple(r) for r in C.pieces(df, "k", "t", 9).orderBy("k", "piece").collect()] == [(1, 0, "aaa bbb."), (1, 1, "ccc ddd")]
-    assert [(r["k"], r["path"], r["body"]) for r in C.page_sections(df, "k", "h").orderBy("k", "seq").collect()] == [(1, [], "x"), (1, ["T"], "y")]
+    assert [(r["k"], r["path"], r["body"]) for r in C.page_sections(df, "k", "h", least=1).orderBy("k", "seq").collect()] == [(1, ["lead"], "x"), (1, ["T"], "y")]
+
+
+def test_tables_nested_unclosed_and_spanning():
+    """Against a slow reading, character by character."""
+    import random
+    import re
+
+    def slow(text):
+        out, depth, i = "", 0, 0
+        while i < len(text):
+            mark = re.match(r"(?i)<table>|</table>", text[i:])
+            if mark:
+                depth = depth + 1 if mark[0][1] != "/" else max(0, depth - 1)
+                i += len(mark[0])
+                continue
+            out += "" if depth else text[i]
+            i += 1
+        return out
+
+    rng = random.Random(1)
+    for _ in range(500):
+        text = "".join(rng.choice(["<table>", "</table>", "a", "<b>", "</TABLE>", "<TABLE>"]) for _ in range(rng.randint(0, 12)))
+        assert C.strip_tables(text) == slow(text)
+    assert C.table_grid("<table><tr><td rowspan=3>a<td>b<tr><td colspan=2>c<tr><td>d</table>") == [["a", "b"], ["a", "c", "c"], ["a", "d"]]
+    assert C.table_grid("no table") == []
+
+
+def test_page_records(spark):
+    rules = spark.createDataFrame([("a", "^a"), ("ab", "^ab"), ("bare", "^z")], "route string, pattern string")
+    pages = spark.createDataFrame([(1, "ab", "x y"), (2, "a", None), (3, "z", "t"), (4, "q", "t"), (5, "a", "!")], "k int, title string, body string")
+    words = lambda x: ([("word", w) for w in x.split() if w != "!"], ["odd"] if "!" in x else [])
+    got = C.page_records(pages, rules, "title", "body", {"a": words, "ab": words, "bare": lambda x: ([], [])}, ("bare",))
+    assert sorted((r["k"], r["route"], r["kind"], r["seq"], r["value"]) for r in got.fillna("-").collect()) == [
+        (1, "ab", "word", 0, "x"), (1, "ab", "word", 1, "y"), (2, "a", "empty", 0, "-"), (3, "bare", "expected empty", 0, "-"), (4, "-", "unrouted", 0, "-"), (5, "a", "empty", 0, "-"), (5, "a", "warning", 1, "odd"),
+    ]
+
+
+def test_values_at_places(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, rng.randint(0, 9) if rng.random() < 0.9 else None) for g in "abc" for _ in range(rng.randint(1, 60))]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = {r["g"]: (r["n"], r["a"], r["b"], r["c"]) for r in R.values_at(df, ["g"], "v", {"a": R.floor_place(0.95), "b": R.upper_place, "c": R.nearest_place(0.9)}).collect()}
+    for g in "abc":
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == (len(v), v[int(0.95 * (len(v) - 1))], v[len(v) // 2], v[int((len(v) - 1) * 0.9 + 0.5)])
+    assert R.values_at(df.filter("false"), [], "v", {"a": R.upper_place}).first()["a"] is None
