@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import id_back, keyed, stored, utf8_parts
+from .common import id_back, keyed, released, stored, utf8_parts
 
 WINDOW = 50
 MINIMISER = 10
@@ -143,7 +143,9 @@ def repeated_word_spans(docs: DataFrame, window: int = WINDOW, k: int = MINIMISE
         .select("node", "low", (F.col("path_low") != F.col("path_high")).alias("branches"))
     )
     # Written first: the join then stands on two plain exchanges, whose hot partitions Spark splits.
-    shared = stored(paths.join(stored(nodes, "nodes"), "node"), "shared-paths")
+    nodes = stored(nodes, "nodes")
+    shared = stored(paths.join(nodes, "node"), "shared-paths")
+    released(paths, nodes)
     plain = shared.filter("not branches and did > low").select("did", "th", "start", "n")
     branching = shared.filter("branches")
     sources = branching.groupBy("node", "path").agg(F.min(F.struct("did", "th", "start", "n")).alias("at"))

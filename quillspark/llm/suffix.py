@@ -9,7 +9,8 @@ Equal strings of ``window`` bytes must meet in one shard, and shards should hold
    core: unique ones leave, equal ones are settled.
 3. What remains, distinct steps that share a core, is dealt to shards by that key, written end to end, and
    suffix-sorted by external induced sorting (``induced``). Suffixes next to each other whose common
-   prefix reaches the window are repeats.
+   prefix reaches the window are repeats. A key whose steps take more than ``KEY_BYTES`` is split further: its
+   windows are rows of their own, and equal ones are counted, so no shard is bound to one hot core.
 
 All counts are of occurrences, within a document too. Spans go back to source coordinates; a text's kept
 bytes are cut from its UTF-8 form and need not be valid UTF-8.
@@ -29,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import id_back, keyed, stored, utf8_parts
+from .common import id_back, keyed, released, stored, utf8_parts
 from .induced import repeated_starts
 
 WINDOW = 200
 MINIMISER = 32
 STEP = 24
 SHARD_BYTES = 3 << 20
+KEY_BYTES = 1 << 18
 
 U = np.uint64
 _PATHS = "did long, th long, start int, n int, node long, path long"
@@ -146,7 +148,18 @@ def _sorted_shards(pieces: DataFrame, window: int, shards: int) -> DataFrame:
     return pieces.select("key", "sub", "piece").repartition(shards, "key").mapInArrow(sort, _FOUND)
 
 
-def repeated_byte_spans(texts: DataFrame, window: int = WINDOW, k: int = MINIMISER) -> DataFrame:
+def _counted_windows(pieces: DataFrame, window: int) -> DataFrame:
+    """``key, sub, more``: windows of distinct pieces that another piece of their key holds too.
+
+    For keys with too many pieces for one shard: each window is a row of its own, and equal ones are counted."""
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("piece") - window)).alias("more")
+    cut = pieces.select("key", "sub", "piece", at).select("key", "sub", "more", F.md5(F.expr(f"substring(piece, more + 1, {window})")).alias("h"))
+    cut = stored(cut, "hot-windows")
+    again = cut.groupBy("key", "h").agg(F.count("*").alias("times")).filter("times > 1").select("key", "h")
+    return cut.join(stored(again, "hot-repeats"), ["key", "h"]).select("key", "sub", "more")
+
+
+def repeated_byte_spans(texts: DataFrame, window: int = WINDOW, k: int = MINIMISER, key_bytes: int = KEY_BYTES) -> DataFrame:
     """Runs of windows (did, th, start, n), each of which also starts elsewhere."""
     paths = stored(byte_paths(texts, window, k), "paths")
     nodes = (
@@ -156,7 +169,9 @@ def repeated_byte_spans(texts: DataFrame, window: int = WINDOW, k: int = MINIMIS
         .select("node", (F.col("low") != F.col("high")).alias("branches"))
     )
     # Written first: the join then stands on two plain exchanges, whose hot partitions Spark splits.
-    shared = stored(paths.join(stored(nodes, "nodes"), "node"), "shared-paths")
+    nodes = stored(nodes, "nodes")
+    shared = stored(paths.join(nodes, "node"), "shared-paths")
+    released(paths, nodes)
     plain = shared.filter("not branches").select("did", "th", "start", "n")
     branching = shared.filter("branches")
     sources = branching.groupBy("node", "path").agg(F.count("*").alias("times"), F.min(F.struct("did", "th", "start", "n")).alias("at"))
@@ -166,20 +181,25 @@ def repeated_byte_spans(texts: DataFrame, window: int = WINDOW, k: int = MINIMIS
     steps = stored(_steps(contents, window, k), "steps")
     keys = (
         steps.groupBy("key")
-        .agg(F.sum("times").alias("total"), F.min("sub").alias("low"), F.max("sub").alias("high"))
+        .agg(F.sum("times").alias("total"), F.min("sub").alias("low"), F.max("sub").alias("high"), F.sum(F.col("n") + window).alias("bytes"))
         .filter("total > 1")
-        .select("key", (F.col("low") != F.col("high")).alias("differ"))
+        .select("key", (F.col("low") != F.col("high")).alias("differ"), (F.col("bytes") > key_bytes).alias("hot"))
     )
-    repeated = stored(steps.join(stored(keys, "repeated-keys"), "key"), "repeated-steps")
-    distinct = repeated.filter("differ").groupBy("key", "sub").agg(F.sum("times").alias("total"), F.min(F.struct("node", "path", "off", "n")).alias("at"))
-    distinct = stored(distinct.select("key", "sub", "total", "at.*"), "distinct-steps")
-    pieces = contents.select("node", "path", "content").join(distinct, ["node", "path"]).select("key", "sub", F.expr(f"substring(content, off + 1, n + {window - 1})").alias("piece"))
-    volume = distinct.agg(F.sum(F.col("n") + window)).first()[0] or 0
-    found = _sorted_shards(pieces, window, max(1, -(-volume // SHARD_BYTES)))
+    keys = stored(keys, "repeated-keys")
+    any_hot = not keys.filter("hot and differ").isEmpty()
+    repeated = stored(steps.join(keys, "key"), "repeated-steps")
+    released(steps, keys)
+    distinct = repeated.filter("differ").groupBy("key", "sub").agg(F.sum("times").alias("total"), F.max("hot").alias("hot"), F.min(F.struct("node", "path", "off", "n")).alias("at"))
+    distinct = stored(distinct.select("key", "sub", "total", "hot", "at.*"), "distinct-steps")
+    pieces = contents.select("node", "path", "content").join(distinct, ["node", "path"]).select("key", "sub", "hot", F.expr(f"substring(content, off + 1, n + {window - 1})").alias("piece"))
+    volume = distinct.filter("not hot").agg(F.sum(F.col("n") + window)).first()[0] or 0
+    found = _sorted_shards(pieces.filter("not hot"), window, max(1, -(-volume // SHARD_BYTES))).select("key", "sub", F.explode("offs").alias("more"))
+    if any_hot:
+        found = found.unionByName(_counted_windows(pieces.filter("hot"), window))
     single = repeated.filter("times = 1")
     settled = single.filter("not differ").select("node", "path", "off", "n")
     many = single.filter("differ").join(distinct.filter("total > 1").select("key", "sub"), ["key", "sub"]).select("node", "path", "off", "n")
-    some = single.filter("differ").join(found, ["key", "sub"]).select("node", "path", "off", F.explode("offs").alias("more")).select("node", "path", (F.col("off") + F.col("more")).alias("off"), F.lit(1).alias("n"))
+    some = single.filter("differ").join(found, ["key", "sub"]).select("node", "path", (F.col("off") + F.col("more")).alias("off"), F.lit(1).alias("n"))
     offsets = settled.unionByName(many).unionByName(some)
     copied = branching.join(sources.filter("times > 1").select("node", "path"), ["node", "path"]).select("did", "th", "start", "n")
     once = sources.filter("times = 1").select("node", "path", "did", "th", "start")

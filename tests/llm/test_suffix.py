@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quillspark.llm import suffix
 from quillspark.llm.suffix import remove_repeated_bytes
 
 from . import brute
@@ -32,6 +33,22 @@ def test_against_brute_force(spark):
     assert _result(spark, rows, window=70, k=16) == sorted(brute.byte_repeats(rows, 70), key=repr)
 
 
+def test_hot_cores(spark, monkeypatch):
+    """One core before many ends and after many heads: its key is split into windows."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core, tails = word(185), [word(60) for _ in range(12)]
+    rows = [(i, word(30) + core + rng.choice(tails)[: rng.randint(5, 60)] + word(40)) for i in range(80)]
+    want = sorted(brute.byte_repeats(rows), key=repr)
+    assert sum(r[2] for r in want) > 0
+    asked = []
+    counted = suffix._counted_windows
+    monkeypatch.setattr(suffix, "_counted_windows", lambda *a: (asked.append(1), counted(*a))[1])
+    assert _result(spark, rows) == want and not asked
+    monkeypatch.setattr(suffix.repeated_byte_spans, "__defaults__", (suffix.WINDOW, suffix.MINIMISER, 2000))
+    assert _result(spark, rows) == want and asked
+
+
 def test_edges(spark):
     assert _result(spark, []) == []
     rng = random.Random(1)
