@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
 from . import chat, mixing
 from .ann import nearest
 from .common import table
@@ -21,8 +22,13 @@ from .suffix import remove_repeated_bytes
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table; a small one in few files over all cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"))
+    return mixing.mixed(documents(spark, sf_dir))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,33 +36,33 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeated_spans(table(spark, sf_dir, "documents"))
+    kept = remove_repeated_spans(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_shared_blocks(table(spark, sf_dir, "documents"))
+    kept = remove_shared_blocks(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_removed", "n_blocks", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     judged = apply_rules(docs, learn(labelled_statistics(docs, table(spark, sf_dir, "labels"))))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    kept = remove_repeated_bytes(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["length"])
     return kept.select("doc_id", "n_bytes", F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(documents(spark, sf_dir))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +70,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classified(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
