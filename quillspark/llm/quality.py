@@ -122,6 +122,18 @@ class Model:
         return _sigmoid(self.raw(x))
 
 
+def risk_parts(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two terms of the risk: of positives, and of negatives as unlabelled less positives."""
+    return prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+
+
+def risk_gradients(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What to descend along by outputs: the risk's gradient, or where the second term is below zero, the turned one of that term."""
+    if risk_parts(fp, fu, prior)[1] < 0:
+        return prior * _sigmoid(fp) / len(fp), -_sigmoid(fu) / len(fu)
+    return prior * ((_sigmoid(fp) - 1) - _sigmoid(fp)) / len(fp), _sigmoid(fu) / len(fu)
+
+
 def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int, epochs: int, seed: int, plain: bool = False) -> Model:
     """Minimise the risk with Adam. plain: tell positives from unlabelled instead (for the prior)."""
     rng = np.random.default_rng(seed)
@@ -145,11 +157,7 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: i
             if plain:
                 gp, gu = (_sigmoid(fp) - 1) / batch, _sigmoid(fu) / batch
             else:
-                rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-                if rest < 0:
-                    gp, gu = prior * _sigmoid(fp) / batch, -_sigmoid(fu) / batch
-                else:
-                    gp, gu = prior * ((_sigmoid(fp) - 1) - _sigmoid(fp)) / batch, _sigmoid(fu) / batch
+                gp, gu = risk_gradients(fp, fu, prior)
             grads = [a + b + 1e-4 * t for a, b, t in zip(gradients(xp, gp), gradients(xu, gu), theta, strict=True)]
             step += 1
             for i, g in enumerate(grads):

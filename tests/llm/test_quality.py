@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -42,3 +43,40 @@ def test_features_do_not_depend_on_neighbours():
     assert together.shape[1] == quality.N_FEATURES
     for i, t in enumerate(texts):
         assert np.allclose(quality.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], together[i])
+
+
+def _slow_risk(fp, fu, prior):
+    """Both terms in plain loops."""
+    loss = lambda f: math.log(1 + math.exp(-f))
+    positive = sum(prior * loss(f) for f in fp) / len(fp)
+    negative = sum(loss(-f) for f in fu) / len(fu) - sum(prior * loss(-f) for f in fp) / len(fp)
+    return positive, negative
+
+
+def test_risk_against_plain_loops():
+    rng = np.random.default_rng(2)
+    turned = set()
+    for _ in range(40):
+        prior = float(rng.uniform(0.1, 0.9))
+        fp, fu = rng.normal(rng.uniform(-2, 2), 1, 7), rng.normal(rng.uniform(-2, 2), 1, 9)
+        want = _slow_risk(fp.tolist(), fu.tolist(), prior)
+        assert np.allclose(quality.risk_parts(fp, fu, prior), want)
+        turned.add(want[1] < 0)
+        # The whole risk falls along the gradient, or, below zero, the second term rises.
+        value = (lambda p, u: -_slow_risk(p, u, prior)[1]) if want[1] < 0 else (lambda p, u: sum(_slow_risk(p, u, prior)))
+        gp, gu = quality.risk_gradients(fp, fu, prior)
+        for k in range(7):
+            step = 1e-6 * (np.arange(7) == k)
+            assert abs((value((fp + step).tolist(), fu.tolist()) - value((fp - step).tolist(), fu.tolist())) / 2e-6 - gp[k]) < 1e-5
+        for k in range(9):
+            step = 1e-6 * (np.arange(9) == k)
+            assert abs((value(fp.tolist(), (fu + step).tolist()) - value(fp.tolist(), (fu - step).tolist())) / 2e-6 - gu[k]) < 1e-5
+    assert turned == {True, False}
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "a b c")] * 3 + [(2, "A!! B!!"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as pid", "2 as x", "3 as score", "4 as kind")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0)], "doc_id long, quality int")
+    got = quality.classified(docs, labels).collect()
+    assert sorted((r["doc_id"] or 0 for r in got)) == [0, 1, 1, 1, 2] and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
