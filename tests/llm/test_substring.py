@@ -1,6 +1,7 @@
 import random
 
-from quillspark.llm.substring import remove_repeated_spans
+from quillspark.llm.substring import remove_repeated_spans, unitigs, word_paths
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import brute
@@ -43,3 +44,27 @@ def test_edges(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", 5, "z", None)], "doc_id long, text string, did long, th string, start int")
     assert remove_repeated_spans(df).count() == 1
+
+
+def test_unitigs(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    text = " ".join(words)
+
+    def chains(rows):
+        paths = word_paths(spark.createDataFrame(rows, "did long, th long, text string"), 50, 10).cache()
+        low = F.min("did").over(Window.partitionBy("node"))
+        times = F.count("*").over(Window.partitionBy("node"))
+        same = (F.count("before").over(Window.partitionBy("node")) == times) & (F.min("before").over(Window.partitionBy("node")) == F.max("before").over(Window.partitionBy("node")))
+        plain = paths.select("did", "th", "start", "n", "node", "path", low.alias("low"), times.alias("times"), F.when(same, F.col("before")).alias("before"))
+        return paths.count(), sorted(r["n"] for r in unitigs(plain).collect())
+
+    # Two equal documents are one nonbranching chain; a third that begins with another chain splits it.
+    assert chains([(1, 1, text), (2, 1, text)])[1] == [2951]
+    n, found = chains([(1, 1, text), (2, 1, text), (3, 2, " ".join(words[1000:2000]))])
+    assert sum(found) >= 2951 and len(found) <= 5 < n
+    # Equal counts alone are no degree: one ends a text, the other begins one.
+    halves = [(1, 1, text), (2, 2, " ".join(words[:1500])), (3, 3, " ".join(words[1500:]))]
+    assert len(chains(halves)[1]) > 1
+    rows = [(1, text), (2, text), (3, " ".join(words[1000:2000])), (4, " ".join(words[:1500])), (5, " ".join(words[1500:]) + " x " + text)]
+    assert _result(spark, rows) == sorted(brute.substring(rows), key=repr)
