@@ -85,7 +85,9 @@ def unitigs(plain: DataFrame) -> DataFrame:
     first = plain.filter("did = low").groupBy("node", "did").agg(F.min(F.struct("th", "start", "n", "path", "before", "times")).alias("at"))
     first = stored(first.select("node", "did", "at.*"), "first-paths")
     ends = first.select(F.col("path").alias("before"), "times").distinct().withColumn("follows", F.lit(True))
-    linked = first.join(ends, ["before", "times"], "left")
+    # Paths without a path before are heads already; as nulls of the join they would meet in one task.
+    linked = first.filter("before is not null").join(ends, ["before", "times"], "left")
+    linked = linked.unionByName(first.filter("before is null").withColumn("follows", F.lit(None).cast("boolean")))
     order = Window.partitionBy("did", "th").orderBy("start")
     adjacent = F.lag(F.col("start") + F.col("n")).over(order) == F.col("start")
     heads = linked.withColumn("head", ~F.coalesce(F.col("follows") & adjacent, F.lit(False)))
