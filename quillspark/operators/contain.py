@@ -1,9 +1,10 @@
 """Containment joins: which texts hold which passages, without comparing every pair.
 
 The inner words of a contained passage (all but its first and last, which may be cut) stand whole in the
-text. Each passage is keyed by the three-word run among them that hashes least; the texts' runs are joined on
-that key, and what meets is checked in full. Passages with too few words are checked against all texts,
-behind a broadcast whose size is checked, or by a plain join beyond it."""
+text. Each passage is keyed by the three-word run among them that hashes least, or by all of them if there are
+only one or two; the texts' runs of the same lengths are joined on that key, and what meets is checked in full.
+Passages of fewer than three words have no inner word and are checked against all texts, behind a broadcast
+whose size is checked, or by a plain join beyond it."""
 
 from __future__ import annotations
 
@@ -14,8 +15,8 @@ RUN = 3
 SHORT_LIMIT = 1000
 
 
-def _runs(words: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - RUN, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(RUN)]))
+def _runs(words: Column, length: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - length, F.lit(0))), lambda i: F.xxhash64(F.lit(length), *[F.get(words, i + j) for j in range(length)]))
 
 
 def contained_in(passages: DataFrame, pid: str, ptext: str, texts: DataFrame, tid: str, ttext: str) -> DataFrame:
@@ -24,14 +25,17 @@ def contained_in(passages: DataFrame, pid: str, ptext: str, texts: DataFrame, ti
     Null passages and texts hold nothing."""
     p = passages.select(F.col(pid), F.col(ptext).alias("_p")).filter("_p is not null").withColumn("_w", F.split("_p", r"\s+"))
     t = texts.select(F.col(tid), F.col(ttext).alias("_t")).filter("_t is not null")
-    long = p.filter(F.size("_w") >= RUN + 2).withColumn("_w", F.expr("slice(_w, 2, size(_w) - 2)"))
-    keys = long.select(pid, F.array_min(_runs(F.col("_w"))).alias("_g"))
-    words = t.withColumn("_w", F.split("_t", r"\s+")).filter(F.size("_w") >= RUN)
-    runs = words.select(tid, F.explode(F.array_distinct(_runs(F.col("_w")))).alias("_g"))
+    inner = p.withColumn("_w", F.expr("slice(_w, 2, greatest(size(_w) - 2, 0))")).withColumn("_r", F.least(F.size("_w"), F.lit(RUN)))
+    counts = dict(map(tuple, inner.groupBy("_r").count().collect()))  # one row a length, RUN + 1 at most
+    lengths = [r for r in range(1, RUN + 1) if r in counts] or [RUN]
+    least = F.coalesce(*[F.when(F.col("_r") == r, F.array_min(_runs(F.col("_w"), r))) for r in lengths])
+    keys = inner.filter("_r > 0").select(pid, least.alias("_g"))
+    words = t.withColumn("_w", F.split("_t", r"\s+")).filter(F.size("_w") >= lengths[0])
+    runs = words.select(tid, F.explode(F.array_distinct(F.concat(*[_runs(F.col("_w"), r) for r in lengths]))).alias("_g"))
     met = keys.join(runs, "_g").select(pid, tid).distinct()
     full = met.join(p.select(pid, "_p"), pid).join(t, tid).filter(F.contains("_t", "_p")).select(pid, tid)
-    short = p.filter(F.size("_w") < RUN + 2).select(pid, "_p")
-    few = short.limit(SHORT_LIMIT + 1).count()
+    short = inner.filter("_r = 0").select(pid, "_p")
+    few = counts.get(0, 0)
     if not few:
         return full
     if few <= SHORT_LIMIT:

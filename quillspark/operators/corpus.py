@@ -271,7 +271,7 @@ def resolved_identity(pages: DataFrame, declared: DataFrame, roster: DataFrame)
 
 def routed(pages: DataFrame, rules: DataFrame, title: str) -> DataFrame:
     """The most specific rule whose pattern matches the title: longest pattern, then its name. rules: ``route, pattern``."""
-    hits = pages.join(F.broadcast(rules), F.expr(f"{title} rlike pattern"))
+    hits = pages.join(R.small(rules), F.expr(f"{title} rlike pattern"))
     return R.first_per_group(hits, [c for c in pages.columns], [F.desc(F.length("pattern")), "route"]).drop("pattern")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import relational as R
+
 
 def drift(counts: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
     """``key, severity``: fell is high, grew is low, equal is silent; a key without baseline is low, without any all are one low."""
@@ -42,8 +44,8 @@ def empty_pages(pages: DataFrame, records: DataFrame, key: str, reason: Column)
 
 
 def unexplained(findings: DataFrame, notes: DataFrame, detail: str) -> DataFrame:
-    """Low findings that no note's pattern explains. notes: ``pattern``, a bounded list kept by hand."""
-    return findings.filter("severity = 'low'").join(F.broadcast(notes), F.expr(f"{detail} rlike pattern"), "left_anti")
+    """Low findings that no note's pattern explains. notes: ``pattern``, a list kept by hand, broadcast behind a count."""
+    return findings.filter("severity = 'low'").join(R.small(notes), F.expr(f"{detail} rlike pattern"), "left_anti")
 
 
 def unread_kinds(kinds: DataFrame, readers: DataFrame) -> DataFrame:

@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 # ---- filters -------------------------------------------------------------------------------------
 
 
+#: Rows of a rule table that a join may broadcast.
+SMALL_ROWS = 10_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The frame, with a broadcast hint only if it is counted to hold at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def in_filters(df: DataFrame, **lists: list) -> DataFrame:
     """Keep rows whose columns are in their lists; an empty or missing list restricts nothing."""
     for name, values in lists.items():

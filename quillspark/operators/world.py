@@ -43,11 +43,14 @@ def shared_visible(facts: DataFrame, members: DataFrame, channel: int) -> DataFr
 
 
 def quota_status(calls: DataFrame, now: Column | int, limit: float, quiet_at: float = 0.8, by: list[str] | None = None) -> DataFrame:
-    """Use of the hour before ``now``: band and the earliest release. calls: ``ms, cost``."""
+    """Use of the hour before ``now``: band and the earliest release. calls: ``ms, cost``.
+
+    Costs add up within each millisecond first, so without ``by`` a window holds an hour of them at most."""
     by = by or []
     at = F.lit(now) if isinstance(now, int) else now
     held = calls.filter((F.col("ms") > at - HOUR_MS) & (F.col("ms") <= at))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    held = held.groupBy(*by, "ms").agg(F.sum("cost").alias("cost"))
+    w = Window.partitionBy(*by)
     used = held.withColumn("_all", F.sum("cost").over(w)).withColumn("_run", F.sum("cost").over(w.orderBy("ms").rangeBetween(Window.unboundedPreceding, 0)))
     band = F.when(F.col("_all") >= limit, "exhausted").when(F.col("_all") >= limit * quiet_at, "quiet").otherwise("open")
     target = F.when(F.col("_all") >= limit, F.lit(float(limit))).when(F.col("_all") >= limit * quiet_at, F.lit(float(limit * quiet_at)))

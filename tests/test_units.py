@@ -223,8 +223,28 @@ def test_persona(spark):
 
 def test_containment(spark):
     texts = spark.createDataFrame([(1, "xx one two three four five yy"), (2, None), (3, "")], "tid long, t string")
-    passages = spark.createDataFrame([(1, "x one two three four five y"), (2, "three four"), (3, ""), (4, "one two four three five six"), (5, None)], "pid long, p string")
-    assert sorted(map(tuple, contained_in(passages, "pid", "p", texts, "tid", "t").collect())) == [(1, 1), (2, 1), (3, 1), (3, 3)]
+    passages = spark.createDataFrame([(1, "x one two three four five y"), (2, "three four"), (3, ""), (4, "one two four three five six"), (5, None), (6, "wo three fo"), (7, "e two three f"), (8, "e three four"), (9, "two  three four"), (10, " two three ")], "pid long, p string")
+    held = sorted(map(tuple, contained_in(passages, "pid", "p", texts, "tid", "t").collect()))
+    assert held == [(1, 1), (2, 1), (3, 1), (3, 3), (6, 1), (7, 1), (10, 1)]
+
+
+def test_small_tables(spark):
+    two = spark.range(2)
+    assert "broadcast" in R.small(two)._jdf.queryExecution().logical().toString().lower()
+    assert R.small(two, rows=1) is two
+
+
+def test_even_cuts(spark):
+    values = [x * x / 7 for x in range(500)]
+    df = spark.createDataFrame([(v,) for v in [*values, *values[:50], None]], "v double")
+    assert [r[0] for r in E._cuts(df, "v", 20)] == [values[i * 499 // 19] for i in range(20)]
+    assert [r[0] for r in E._cuts(df.filter("v < 1"), "v", 20)] == [v for v in values if v < 1]
+
+
+def test_quota_without_groups(spark):
+    calls = spark.createDataFrame([(ms, 1.0) for ms in (1000, 1000, 2000, 3_700_000)], "ms long, cost double")
+    assert [tuple(r) for r in W.quota_status(calls, 3_600_999, 3.0).collect()] == [("exhausted", 3.0, 3_601_000)]
+    assert [tuple(r) for r in W.quota_status(calls, 3_600_999, 3.5).collect()] == [("quiet", 3.0, 3_601_000)]
 
 
 def test_store(spark, tmp_path):
