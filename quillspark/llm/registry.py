@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import spread
-from . import chat, mixing
+from . import chat, mixing, trie
 from .ann import nearest
 from .common import table
 from .lines import remove_shared_blocks
@@ -73,6 +73,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -85,10 +89,12 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_source_mixing": mixing.ORACLE,
+        "op11_prefix_trie": trie.ORACLE,
     }
