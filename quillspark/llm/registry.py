@@ -14,6 +14,8 @@ from .common import table
 from .lines import remove_shared_blocks
 from .minhash import near_duplicates
 from .packing import packed
+from .pivots import ORACLE as TOP_SCORES
+from .pivots import top_scores
 from .quality import classified
 from .rules import apply_rules, labelled_statistics, learn
 from .substring import remove_repeated_spans
@@ -77,6 +79,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_scores(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": op1_source_mixing,
@@ -90,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op9_chat_formatting": op9_chat_formatting,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_prefix_trie": op11_prefix_trie,
+        "op13_exact_top_k": op13_exact_top_k,
     }
 
 
@@ -97,4 +104,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_source_mixing": mixing.ORACLE,
         "op11_prefix_trie": trie.ORACLE,
+        "op13_exact_top_k": TOP_SCORES,
     }
