@@ -11,6 +11,7 @@ from ..sources.scratch import spread
 from . import chat, mixing, trie
 from .ann import nearest
 from .common import table
+from .crossing import align_tokenizers
 from .lines import remove_shared_blocks
 from .minhash import near_duplicates
 from .packing import packed
@@ -79,6 +80,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(documents(spark, sf_dir))
+
+
 def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_scores(table(spark, sf_dir, "embeddings"))
 
@@ -96,6 +101,7 @@ def queries() -> dict[str, Query]:
         "op9_chat_formatting": op9_chat_formatting,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_token_alignment": op12_token_alignment,
         "op13_exact_top_k": op13_exact_top_k,
     }
 
