@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus as C
 from ..operators import guards as G
 from ..operators import relational as R
+from ..operators.names import leak_share, name_leaks
 from .core import Tables, query
 from .scalars import TOKENS
 
@@ -379,9 +380,24 @@ def g11(t: Tables) -> DataFrame:
     return G.unexplained(findings, notes, "props").select("id")
 
 
-@query("g12_name_leak", "SELECT speaker, count(*) FILTER (regexp_matches(lower(text), '\\bthe\\b')) AS leaks, count(*) AS n FROM lines GROUP BY speaker")
+# A conversation stands for a person; the words that its first turn opens with and ends on are its aliases.
+_LEAKS = r"""names AS (SELECT scene, name FROM (SELECT scene, unnest([scene::VARCHAR, regexp_extract(text, '^[A-Za-z]+'), regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1)]) AS name FROM lines WHERE seq = 0) WHERE length(name) >= 2),
+leaks AS (SELECT l.scene, count(*) FILTER (EXISTS (SELECT 1 FROM names n WHERE n.scene = l.scene AND contains(l.text, n.name))) AS leaks, count(*) AS n FROM lines l WHERE text IS NOT NULL GROUP BY l.scene HAVING count(*) >= 2)"""
+
+
+def _leaks(t: Tables) -> DataFrame:
+    own = t.lines.filter("seq = 0").select("scene", F.explode(F.array(F.col("scene").cast("string"), F.regexp_extract("text", r"^[A-Za-z]+", 0), F.regexp_extract("text", r"([A-Za-z]+)[^A-Za-z]*$", 1))).alias("name"))
+    return name_leaks(t.lines, own, "scene", "name", "seq", "text", min_lines=2)
+
+
+@query("g12_name_leak", f"WITH {_LEAKS} SELECT scene, leaks, n FROM leaks")
 def g12(t: Tables) -> DataFrame:
-    return t.lines.groupBy("speaker").agg(F.sum(F.lower("text").rlike(r"\bthe\b").cast("long")).alias("leaks"), F.count("*").alias("n"))
+    return _leaks(t)
+
+
+@query("g12_leak_share", f"WITH {_LEAKS} SELECT round(sum(leaks) / sum(n)::DOUBLE, 6)::DOUBLE AS share FROM leaks")
+def g12_share(t: Tables) -> DataFrame:
+    return leak_share(_leaks(t))
 
 
 @query("g13_stopword_df", f"SELECT term, round(count(DISTINCT ord) / (SELECT count(*) FROM units)::DOUBLE, 6)::DOUBLE AS share FROM (SELECT ord, unnest({TOKENS}) AS term FROM units) WHERE term IN ('the', 'and', 'of', 'de') GROUP BY term")

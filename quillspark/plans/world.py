@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import relational as R
 from ..operators import world as W
+from ..operators.wrapup import wrap_up
 from .core import Tables, query
 
 NOW = 1_705_622_400_000  # an instant within the driver's month of events
@@ -57,14 +58,44 @@ def v03(t: Tables) -> DataFrame:
     return W.visibility(facts_of(t), members_of(t)).groupBy("person").agg(F.count("*").alias("facts"))
 
 
-@query(
-    "v06_wrap_up",
-    "SELECT author, id FROM (SELECT author, id, row_number() OVER (PARTITION BY author, ms // 86400000 ORDER BY ms, id) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY author, kind, ms // 86400000 ORDER BY ms, id) AS dup FROM message) WHERE dup = 1) WHERE rn <= 2",
-)
+# Memories stand for sentences: a turn is a wrap-up of its conversation, each fourth sentence a commitment (due unless
+# its length is a multiple of three); those of system turns are held already, every other one retracted.
+HELD_IDS = -(1 << 62)
+
+_SENTENCES = r"""sentences AS (SELECT conv_id AS world, turn AS ms, role AS author, role = 'system' AS held, i - 1 AS i, part AS text, (conv_id * 10000 + turn) * 100000 + i - 1 AS place
+  FROM (SELECT conv_id, turn, role, unnest(string_split_regex(text, '[.\n]+')) AS part, generate_subscripts(string_split_regex(text, '[.\n]+'), 1) AS i FROM conversations)),
+memories AS (SELECT world, ms, author, held, held AND i % 2 = 1 AS retracted, CASE WHEN held THEN place - 4611686018427387904 ELSE place END AS id, CASE WHEN i % 4 = 3 THEN 'commitment' ELSE 'fact' END AS kind,
+  i % 4 = 3 AND length(text) % 3 <> 0 AS has_due, lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS plain FROM sentences),
+sets AS (SELECT *, list_distinct(list_transform(range(1, length(plain)), lambda j: substr(plain, j, 2))) AS pairs FROM memories),
+near AS (SELECT b.id, list(a.id ORDER BY a.id) AS near FROM sets a JOIN sets b ON a.world = b.world AND a.author = b.author AND a.id < b.id
+  WHERE a.kind = 'fact' AND b.kind = 'fact' AND NOT a.retracted AND len(list_intersect(a.pairs, b.pairs)) * 100 >= 45 * (len(a.pairs) + len(b.pairs) - len(list_intersect(a.pairs, b.pairs))) AND len(a.pairs) > 0 GROUP BY b.id),
+same AS (SELECT b.id, list(a.id ORDER BY a.id) AS same FROM memories a JOIN memories b ON a.world = b.world AND a.kind = b.kind AND a.plain = b.plain AND a.id < b.id WHERE a.plain <> '' GROUP BY b.id),
+steps AS (SELECT m.*, coalesce(near, []::BIGINT[]) AS near, coalesce(same, []::BIGINT[]) AS same, row_number() OVER (PARTITION BY world ORDER BY m.id) AS rn FROM memories m LEFT JOIN near USING (id) LEFT JOIN same USING (id) WHERE NOT held),
+fold AS (SELECT w.world, 0::BIGINT AS rn, coalesce(h.ids, []::BIGINT[]) AS there, -1::BIGINT AS wrap, 0 AS n, NULL::BIGINT AS id, NULL::VARCHAR AS outcome, NULL::BIGINT AS existing
+    FROM (SELECT DISTINCT world FROM steps) w LEFT JOIN (SELECT world, list(id) AS ids FROM memories WHERE held GROUP BY world) h USING (world)
+  UNION ALL SELECT world, rn, CASE WHEN outcome = 'written' THEN list_append(there, id) ELSE there END, ms, n + (outcome = 'written')::INT, id, outcome,
+    CASE outcome WHEN 'similar' THEN close WHEN 'duplicate' THEN equal END
+  FROM (SELECT *, CASE WHEN plain = '' THEN 'empty' WHEN n >= 2 THEN 'over_limit' WHEN kind = 'commitment' AND NOT has_due THEN 'no_due' WHEN kind = 'fact' AND close IS NOT NULL THEN 'similar' WHEN equal IS NOT NULL THEN 'duplicate' ELSE 'written' END AS outcome
+    FROM (SELECT s.world, s.rn, s.ms, s.id, s.plain, s.kind, s.has_due, f.there, CASE WHEN f.wrap = s.ms THEN f.n ELSE 0 END AS n,
+        list_min(list_intersect(s.near, f.there)) AS close, list_min(list_intersect(s.same, f.there)) AS equal FROM fold f JOIN steps s ON s.world = f.world AND s.rn = f.rn + 1)))"""
+
+
+def memories_of(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(held, proposed): the sentences of all turns, as memories."""
+    parts = t.conversations.select("conv_id", "turn", "role", F.posexplode(F.split("text", r"[.\n]+")).alias("i", "text"))
+    kind = F.when(F.col("i") % 4 == 3, "commitment").otherwise("fact")
+    due = F.when((F.col("i") % 4 == 3) & (F.length("text") % 3 != 0), F.col("turn") + 86_400_000)
+    place = (F.col("conv_id") * 10_000 + F.col("turn")) * 100_000 + F.col("i")
+    rows = parts.select(
+        F.col("conv_id").alias("world"), F.col("turn").alias("ms"), F.when(F.col("role") == "system", place + HELD_IDS).otherwise(place).alias("id"), F.col("role").alias("author"),
+        kind.alias("kind"), F.lit("participants").alias("audience"), F.when(kind == "fact", "user").alias("about"), due.alias("due"), "text", "i", F.col("turn").alias("wrap"),
+    )
+    return rows.filter("author = 'system'").withColumn("retracted", F.col("i") % 2 == 1).drop("i", "wrap"), rows.filter("author <> 'system'").drop("i")
+
+
+@query("v06_wrap_up", f"WITH RECURSIVE {_SENTENCES} SELECT world, id, outcome, existing FROM fold WHERE rn > 0")
 def v06(t: Tables) -> DataFrame:
-    day = F.expr("ms div 86400000").alias("day")
-    fresh = R.first_per_group(t.message.select("*", day), ["author", "kind", "day"], ["ms", "id"])
-    return R.top_per_group(fresh, ["author", "day"], ["ms", "id"], 2).select("author", "id")
+    return wrap_up(*memories_of(t))
 
 
 @query(
