@@ -58,6 +58,26 @@ def quota_status(calls: DataFrame, now: Column | int, limit: float, quiet_at: fl
     return marked.groupBy(*by, "band").agg(F.round(F.max("_all"), 6).alias("calls"), F.min("_free").alias("release"))
 
 
+def quota_history(spends: DataFrame, by: list[str], limit: int, quiet: int) -> DataFrame:
+    """``by, ms, used, band, release`` at every instant with spends, over the hour up to it. spends: ``by, ms, cost``.
+
+    Costs, ``limit`` and ``quiet`` (where the quiet band begins) are whole numbers of one unit; rows without a cost don't
+    count. Release is when the hour's sum falls below the band's mark again; null in the open band. An hour's rows are
+    read with the hour before it, so no window holds more than two hours of a key."""
+    if not 0 < quiet <= limit:
+        raise ValueError("the marks must be above zero, and the quiet one not above the limit")
+    at = spends.filter(F.col("cost") > 0).groupBy(*by, "ms").agg(F.sum("cost").cast("long").alias("cost"))
+    cell = F.expr(f"ms div {HOUR_MS}")
+    both = at.select("*", F.explode(F.array(cell, cell + 1)).alias("_cell"))
+    own = Window.partitionBy(*by, "_cell")
+    run = both.withColumn("_run", F.sum("cost").over(own.orderBy("ms"))).withColumn("used", F.sum("cost").over(own.orderBy("ms").rangeBetween(1 - HOUR_MS, 0)))
+    # The sum falls below a mark once it has lost the first row whose running sum is less than the mark behind.
+    first = {mark: F.min("ms").over(own.orderBy("_run").rangeBetween(1 - mark, 0)) + HOUR_MS for mark in (limit, quiet)}
+    band = F.when(F.col("used") >= limit, "exhausted").when(F.col("used") >= quiet, "quiet").otherwise("open")
+    release = F.when(F.col("used") >= limit, first[limit]).when(F.col("used") >= quiet, first[quiet])
+    return run.withColumn("band", band).withColumn("release", release).filter(F.col("_cell") == cell).select(*by, "ms", "used", "band", "release")
+
+
 def decide(band: Column, user_initiated: Column) -> Column:
     return F.when(band == "exhausted", "exhausted").when((band == "quiet") & ~user_initiated, "quiet").otherwise("allow")
 

@@ -32,6 +32,27 @@ def t05s(t: Tables) -> DataFrame:
     return made.select(F.unix_micros("start").alias("start"), "kind", "total", "n")
 
 
+# Limits of 3 and 1.5 calls an hour, at 3,000 points a call; a purchase is billed by request and counts as one call.
+_SPENDS = """spends AS (SELECT shape, ms, sum(CASE WHEN requests > 0 THEN 3000 ELSE points END)::BIGINT AS cost FROM meter GROUP BY 1, 2 HAVING sum(CASE WHEN requests > 0 THEN 3000 ELSE points END) > 0),
+run AS (SELECT *, sum(cost) OVER (PARTITION BY shape ORDER BY ms) AS run, sum(cost) OVER (PARTITION BY shape ORDER BY ms RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW)::BIGINT AS used FROM spends),
+told AS (SELECT a.shape, a.ms, a.used, CASE WHEN used >= 9000 THEN 'exhausted' WHEN used >= 4500 THEN 'quiet' ELSE 'open' END AS band,
+  (SELECT min(b.ms) + 3600000 FROM run b WHERE b.shape = a.shape AND b.ms > a.ms - 3600000 AND b.ms <= a.ms AND a.run - b.run < CASE WHEN a.used >= 9000 THEN 9000 ELSE 4500 END AND a.used >= 4500) AS release FROM run a)"""
+
+
+@query("t05_quota_history", f"WITH {_SPENDS} SELECT shape, ms, used, band, release FROM told")
+def t05h(t: Tables) -> DataFrame:
+    cost = F.when(F.col("requests") > 0, 3000).otherwise(F.col("points"))
+    return W.quota_history(t.meter.select("shape", "ms", cost.alias("cost")), ["shape"], 9000, 4500)
+
+
+# The watermark ends ten minutes behind the newest event; instants beyond it still wait.
+@query("t05_stream_quota", f"WITH {_SPENDS} SELECT shape, ms, used, band, release FROM told WHERE ms <= (SELECT max(ms) - 600000 FROM message)")
+def t05q(t: Tables) -> DataFrame:
+    cost = F.when(F.col("kind") == "purchase", 3000).otherwise(F.col("points"))
+    stream = _stream(t).select("at", F.col("kind").alias("shape"), "ms", cost.alias("cost"))
+    return S.drained(S.quota_history(stream, ["shape"], 9000, 4500), "quota")
+
+
 @query(
     "t06_stream_sessions",
     """WITH s AS (SELECT author, session, min(us) AS opened, max(us) AS last, count(*) AS n FROM (SELECT *, sum(gap) OVER (PARTITION BY author ORDER BY us, id) AS session FROM (SELECT *, coalesce((us - lag(us) OVER (PARTITION BY author ORDER BY us, id) >= 1800000000)::INT, 0) AS gap FROM (SELECT event_id AS id, user_id AS author, epoch_us(ts) AS us FROM events))) GROUP BY 1, 2)

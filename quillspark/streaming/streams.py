@@ -5,13 +5,20 @@ Rows carry ``at`` (timestamp) and ``id``. Batch forms are in ``operators.world``
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.world import HOUR_MS
 from ..sources.scratch import scratch
 
+#: Keeps state in files beside the checkpoint, with only a cache in memory; state with timers needs it.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def tail(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     """New rows of a folder as they come; the checkpoint is the cursor. A single file is a folder of one."""
@@ -34,11 +41,24 @@ def drained(stream: DataFrame, name: str, mode: str = "append", each: Callable[[
         if each:
             each(batch, epoch)
 
-    running = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", cursor).trigger(availableNow=True).start()
-    running.awaitTermination()
+    with _file_state(spark):
+        running = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", cursor).trigger(availableNow=True).start()
+        running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns) if _any(spark, out) else spark.createDataFrame([], stream.schema)
 
 
+@contextmanager
+def _file_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in files."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _any(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
@@ -79,3 +99,76 @@ def openings(stream: DataFrame, person: str, gap_ms: int, daily: int) -> DataFra
 
     kind = stream.schema[person].dataType.simpleString()
     return stream.groupBy(person).applyInPandasWithState(step, f"{person} {kind}, id long, ms long", "last long, day long, count long", "append", "NoTimeout")
+
+
+class _QuotaHistory(StatefulProcessor):
+    """Spends of one key in the order of their instants: what has come waits until no earlier row can, then each
+    instant's use of the hour is told. Kept: rows that wait, and those of the last hour before what was told."""
+
+    def __init__(self, by: list[str], limit: int, quiet: int):
+        self.by, self.limit, self.quiet = by, limit, quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spends = handle.getListState("spends", "ms long, cost long")
+        self.told = handle.getValueState("told", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        told = self.told.get()[0] if self.told.exists() else -(1 << 62)
+        for frame in rows:
+            fresh = frame[(frame["cost"] > 0) & (frame["ms"] > told)]
+            if len(fresh):
+                self.spends.appendList([(int(a), int(b)) for a, b in zip(fresh["ms"], fresh["cost"], strict=True)])
+                # One timer an instant, told once it fires; the watermark is then at or past it.
+                for ms in set(fresh["ms"].tolist()):
+                    self.handle.registerTimer(int(ms))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        # All that the watermark has passed is told at the first timer; those that follow find nothing left.
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        told = self.told.get()[0] if self.told.exists() else -(1 << 62)
+        if until <= told:
+            return
+        spends = sorted(tuple(x) for x in self.spends.get())
+        found, low = [], 0
+        for high, (ms, _) in enumerate(spends):
+            if told < ms <= until and (high + 1 == len(spends) or spends[high + 1][0] > ms):
+                while spends[low][0] <= ms - HOUR_MS:
+                    low += 1
+                found.append((*key, ms, *_use(spends[low : high + 1], self.limit, self.quiet)))
+        self.told.update((until,))
+        if kept := [x for x in spends if x[0] > until - HOUR_MS]:
+            self.spends.put(kept)
+        else:  # an empty list is no state
+            self.spends.clear()
+        if found:
+            yield pd.DataFrame(found, columns=[*self.by, "ms", "used", "band", "release"]).astype({"release": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def _use(hour: list[tuple[int, int]], limit: int, quiet: int) -> tuple[int, str, int | None]:
+    """Sum, band and release of an hour's spends in order."""
+    used = left = sum(cost for _, cost in hour)
+    if used < quiet:
+        return used, "open", None
+    mark = limit if used >= limit else quiet
+    for ms, cost in hour:
+        left -= cost
+        if left < mark:
+            return used, "exhausted" if used >= limit else "quiet", ms + HOUR_MS
+    raise ValueError("a mark must be above zero")
+
+
+def quota_history(stream: DataFrame, by: list[str], limit: int, quiet: int, late: str = "10 minutes") -> DataFrame:
+    """``operators.world.quota_history`` as a stream: ``by, ms, used, band, release`` for every instant with spends.
+
+    An instant is told once the watermark, ``late`` behind the newest row, has passed it, so rows that come out of order
+    within that time count as if they had come in order; those whose instant has been told are left out. The state of a key is what waits and
+    the last hour before it."""
+    kinds = [T.StructField(c, stream.schema[c].dataType) for c in by]
+    out = T.StructType([*kinds, T.StructField("ms", T.LongType()), T.StructField("used", T.LongType()), T.StructField("band", T.StringType()), T.StructField("release", T.LongType())])
+    rows = stream.withWatermark("at", late).select(*by, "at", "ms", F.col("cost").cast("long").alias("cost"))
+    return rows.groupBy(*by).transformWithStateInPandas(_QuotaHistory(by, limit, quiet), outputStructType=out, outputMode="Append", timeMode="EventTime")
