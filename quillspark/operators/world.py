@@ -96,27 +96,6 @@ def unread(messages: DataFrame, channels: DataFrame, user: int) -> DataFrame:
     return R.counts_for_all(late, "channel", channels).withColumnRenamed("n", "unread")
 
 
-def trust_fold(steps: DataFrame, key: str, g: float = 0.5, h: float = 15.0) -> DataFrame:
-    """Trust after a person's steps in order: ``grow`` adds g * f(trust), ``hurt`` takes h * (0.5 + trust / 200); within 0..200.
-
-    The order matters, so each key's steps are folded in one expression; steps of one person are a bounded history."""
-    ordered = steps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ms", "id", "step"))).alias("_s"))
-
-    def apply(trust: Column, s: Column) -> Column:
-        u = (trust - 100.0) / 100.0
-        rate = F.when(trust <= 100.0, F.lit(1.0)).otherwise(F.greatest(1.0 - u * u, F.lit(0.0)))
-        grown = F.least(F.greatest(trust + g * rate, F.lit(0.0)), F.lit(200.0))
-        hurt = F.greatest(trust - h * (0.5 + trust / 200.0), F.lit(0.0))
-        return F.when(s["step"] == "grow", grown).when(s["step"] == "hurt", hurt).otherwise(trust)
-
-    return ordered.select(key, F.round(F.aggregate("_s", F.lit(50.0), apply), 6).alias("trust"))
-
-
-def rewound(messages: DataFrame, channel: int, ms: int) -> DataFrame:
-    """What is left when a channel is wound back to an instant."""
-    return messages.filter(~((F.col("channel") == channel) & (F.col("ms") >= ms)))
-
-
 def swept(facts: DataFrame, now: int, grace_ms: int) -> DataFrame:
     """``outcome`` of each fact: expired, lapsed (due too long ago), due, or live."""
     expired = F.col("expires").isNotNull() & (F.col("expires") <= now)

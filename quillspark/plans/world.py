@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import relational as R
+from ..operators import rewind
 from ..operators import world as W
+from ..operators.trust import trust_ledger, trust_now
 from ..operators.wrapup import wrap_up
+from ..sources.scratch import scratch
+from ..sources.store import read_corpus
 from .core import Tables, query
 
 NOW = 1_705_622_400_000  # an instant within the driver's month of events
@@ -275,21 +279,110 @@ def t18(t: Tables) -> DataFrame:
     return R.drop_matching(items, told, ["author", "kind"]).groupBy("author", "kind").agg(F.min("id").alias("id"))
 
 
-@query("t19_rewind", "SELECT channel, count(*) AS n FROM message WHERE NOT (channel = 4 AND ms >= 1704900000000) GROUP BY channel")
+# A world from the driver's tables: channels are those of the messages, the user writes the clicks; purchases and errors
+# are memories (errors hurt their channel's person), views queue seeds, signups open segments and sessions.
+_WORLD = """w_message AS (SELECT id, channel, CASE kind WHEN 'click' THEN 'user' ELSE author::VARCHAR END AS author, ms, CASE WHEN id % 11 = 0 THEN id % 40 END AS picture FROM message),
+w_fact AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'user' ELSE author::VARCHAR END AS author, CASE WHEN kind = 'error' THEN 'hurt' WHEN id % 2 = 0 THEN 'commitment' ELSE 'fact' END AS kind, channel, ms AS created, id % 3 = 0 AS delivered,
+  id % 5 = 0 AS retracted, channel AS person, -(id % 7)::DOUBLE AS trust_delta FROM message WHERE kind IN ('purchase', 'error')),
+w_seed AS (SELECT id, CASE id % 3 WHEN 0 THEN 'commitment' WHEN 1 THEN 'words' ELSE 'memory' END AS kind, (id - 1 - id % 3)::VARCHAR AS ref, channel, CASE WHEN id % 4 = 0 THEN id - 2 END AS message, CASE WHEN id % 2 = 0 THEN ms END AS delivered_at FROM message WHERE kind = 'view'),
+w_segment AS (SELECT id, channel, ms AS opened, row_number() OVER (PARTITION BY channel ORDER BY id) AS seq FROM message WHERE kind = 'signup'),
+w_entry AS (SELECT id, (SELECT max(s.id) FROM w_segment s WHERE s.channel = m.channel AND s.id <= m.id) AS segment, ms FROM message m),
+asked AS (SELECT DISTINCT channel, max(id) OVER (PARTITION BY channel) - 400 AS after FROM message WHERE channel % 2 = 0),
+cut AS (SELECT a.channel, min(m.id) AS first, min(m.ms) AS at_ FROM asked a JOIN w_message m ON m.channel = a.channel AND m.author = 'user' AND m.id >= a.after GROUP BY a.channel),
+gone AS (SELECT m.* FROM w_message m JOIN cut USING (channel) WHERE m.id >= first),
+kept AS (SELECT * FROM w_message WHERE id NOT IN (SELECT id FROM gone)),
+gone_fact AS (SELECT f.* FROM w_fact f JOIN cut USING (channel) WHERE created >= at_ AND (author <> 'user' OR kind = 'hurt')),
+left_seed AS (SELECT * FROM w_seed WHERE NOT (kind IN ('commitment', 'memory') AND ref IN (SELECT id::VARCHAR FROM gone_fact)) AND NOT (kind = 'words' AND ref IN (SELECT id::VARCHAR FROM gone)) AND coalesce(message NOT IN (SELECT id FROM gone), true)),
+late_seed AS (SELECT s.* FROM left_seed s JOIN cut USING (channel) WHERE delivered_at >= at_),
+left_segment AS (SELECT s.* FROM w_segment s LEFT JOIN cut USING (channel) WHERE at_ IS NULL OR opened < at_),
+w_person AS (SELECT DISTINCT channel AS person FROM message)"""
+
+_REWOUND = """SELECT 'message' AS part, channel AS key, count(*)::DOUBLE AS n, sum(id)::DOUBLE AS total FROM kept GROUP BY channel
+UNION ALL SELECT 'fact', channel, count(*), sum(CASE WHEN delivered AND NOT (kind = 'commitment' AND id::VARCHAR IN (SELECT ref FROM late_seed WHERE kind = 'commitment')) THEN id ELSE 0 END) FROM w_fact WHERE id NOT IN (SELECT id FROM gone_fact) GROUP BY channel
+UNION ALL SELECT 'seed', channel, count(*), sum(id) FROM left_seed WHERE id NOT IN (SELECT id FROM late_seed) GROUP BY channel
+UNION ALL SELECT 'segment', channel, count(*), sum(id) FROM left_segment GROUP BY channel
+UNION ALL SELECT 'entry', e.segment, count(*), sum(e.id) FROM w_entry e LEFT JOIN w_segment s ON s.id = e.segment LEFT JOIN cut c ON c.channel = s.channel WHERE at_ IS NULL OR (e.ms < at_ AND s.opened < at_) GROUP BY e.segment
+UNION ALL SELECT 'session', s.channel, count(*), sum(s.id) FROM w_segment s LEFT JOIN cut USING (channel) WHERE at_ IS NULL OR opened < at_ GROUP BY s.channel
+UNION ALL SELECT 'bond', person, 1, least(100 - coalesce((SELECT sum(trust_delta) FROM gone_fact g WHERE g.person = w_person.person AND g.kind = 'hurt' AND NOT retracted), 0), 200) FROM w_person
+UNION ALL SELECT 'channel', m.channel, max(CASE WHEN c.first IS NOT NULL AND m.read >= c.first THEN (SELECT max(id) FROM kept k WHERE k.channel = m.channel) ELSE m.read END),
+  max(CASE WHEN c.first IS NOT NULL THEN (SELECT max_by(id, seq) FROM left_segment s WHERE s.channel = m.channel) ELSE -1 END) FROM (SELECT channel, max(id) AS read FROM message GROUP BY channel) m LEFT JOIN cut c USING (channel) GROUP BY m.channel
+UNION ALL SELECT 'picture', picture, 1, picture FROM (SELECT DISTINCT picture FROM kept WHERE picture IS NOT NULL)"""
+
+
+def world_of(t: Tables) -> dict[str, DataFrame]:
+    m = t.message
+    segment = m.filter("kind = 'signup'").select("id", "channel", F.col("ms").alias("opened"))
+    seq = F.row_number().over(Window.partitionBy("channel").orderBy("id"))
+    at = Window.partitionBy("channel").orderBy("id")
+    return {
+        "message": m.select("id", "channel", F.when(F.col("kind") == "click", "user").otherwise(F.col("author").cast("string")).alias("author"), "ms", F.when(F.col("id") % 11 == 0, F.col("id") % 40).alias("picture")),
+        "fact": m.filter("kind in ('purchase', 'error')").select(
+            "id", F.when(F.col("id") % 4 == 0, "user").otherwise(F.col("author").cast("string")).alias("author"),
+            F.when(F.col("kind") == "error", "hurt").when(F.col("id") % 2 == 0, "commitment").otherwise("fact").alias("kind"), "channel", F.col("ms").alias("created"),
+            (F.col("id") % 3 == 0).alias("delivered"), (F.col("id") % 5 == 0).alias("retracted"), F.col("channel").alias("person"), (-(F.col("id") % 7)).cast("double").alias("trust_delta"),
+        ),
+        "seed": m.filter("kind = 'view'").select(
+            "id", F.when(F.col("id") % 3 == 0, "commitment").when(F.col("id") % 3 == 1, "words").otherwise("memory").alias("kind"), (F.col("id") - 1 - F.col("id") % 3).cast("string").alias("ref"),
+            "channel", F.when(F.col("id") % 4 == 0, F.col("id") - 2).alias("message"), F.when(F.col("id") % 2 == 0, F.col("ms")).alias("delivered_at"),
+        ),
+        "session": segment,
+        "segment": segment.withColumn("seq", seq),
+        "entry": m.select("id", F.max(F.when(F.col("kind") == "signup", F.col("id"))).over(at).alias("segment"), "ms"),
+        "channel": m.groupBy(F.col("channel").alias("id")).agg(F.max("id").alias("read_up_to"), F.lit(-1).cast("long").alias("segment"), F.lit(None).cast("long").alias("deleted_at")),
+        "picture": m.filter("id % 11 = 0").select((F.col("id") % 40).alias("hash")).distinct(),
+        "bond": m.select(F.col("channel").alias("person")).distinct().withColumn("trust", F.lit(100.0)),
+    }
+
+
+@query("t19_rewind", f"WITH {_WORLD} {_REWOUND}")
 def t19(t: Tables) -> DataFrame:
-    return W.rewound(t.message, 4, 1_704_900_000_000).groupBy("channel").agg(F.count("*").alias("n"))
+    # Each even channel goes back to its first message of the user's among its last ids; odd channels and refused rows stay.
+    world = world_of(t)
+    path = scratch(t.spark, "world")
+    rewind.commit_world(world, path)
+    newest = t.message.filter("channel % 2 = 0").groupBy("channel").agg((F.max("id") - 400).alias("after"))
+    own = world["message"].filter("author = 'user'").join(newest, "channel").filter("id >= after")
+    asked = own.groupBy("channel").agg(F.min("id").alias("message"))
+    wrong = world["message"].filter("author <> 'user' and channel % 2 = 0").groupBy("channel").agg(F.min("id").alias("message"))
+    rewind.rewind(t.spark, path, asked.unionByName(wrong))
+    _, version = read_corpus(t.spark, path)
+    left = {name: t.spark.read.parquet(f"{version}/{name}") for name in world}
+    tally = lambda part, key, n, total: left[part].groupBy(F.col(key).cast("long").alias("key")).agg(n.cast("double").alias("n"), total.cast("double").alias("total")).select(F.lit(part).alias("part"), "key", "n", "total")
+    rows, ids = F.count("*"), F.sum("id")
+    told = F.sum(F.when(F.col("delivered"), F.col("id")).otherwise(0))
+    made = [tally("message", "channel", rows, ids), tally("fact", "channel", rows, told), tally("seed", "channel", rows, ids), tally("segment", "channel", rows, ids), tally("entry", "segment", rows, ids), tally("session", "channel", rows, ids)]
+    made += [tally("bond", "person", rows, F.max("trust")), tally("channel", "id", F.max("read_up_to"), F.max("segment")), tally("picture", "hash", F.lit(1), F.max("hash"))]
+    out = made[0]
+    for df in made[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+# Errors hurt, purchases take the last hurt back, every tenth view puts it again; all other messages grow trust.
+_LEDGER = """s AS (SELECT author, id, kind, CASE WHEN kind = 'error' THEN 'hurt' WHEN kind = 'purchase' THEN 'undo' WHEN kind = 'view' AND id % 10 = 0 THEN 'redo' ELSE 'grow' END AS step, row_number() OVER (PARTITION BY author ORDER BY ms, id) AS rn FROM message),
+f AS (SELECT DISTINCT author, 0::BIGINT AS rn, 50e0 AS trust, NULL::DOUBLE AS delta, false AS undone, NULL::BIGINT AS id, NULL::VARCHAR AS step, NULL::DOUBLE AS before FROM s
+  UNION ALL SELECT author, rn, after, CASE WHEN step = 'hurt' OR (step = 'redo' AND undone) THEN after - trust ELSE delta END, CASE step WHEN 'hurt' THEN false WHEN 'undo' THEN undone OR delta IS NOT NULL WHEN 'redo' THEN false ELSE undone END, id, step, trust
+  FROM (SELECT f.author, s.rn, s.id, s.step, f.trust, f.delta, f.undone, CASE s.step WHEN 'hurt' THEN greatest(f.trust - 15e0 * (0.5e0 + f.trust / 200e0), 0e0)
+      WHEN 'undo' THEN CASE WHEN f.delta IS NOT NULL AND NOT f.undone THEN least(f.trust - f.delta, 200e0) ELSE f.trust END
+      WHEN 'redo' THEN CASE WHEN f.undone THEN greatest(f.trust + f.delta, 0e0) ELSE f.trust END
+      ELSE least(greatest(f.trust + 0.5e0 * CASE WHEN f.trust <= 100 THEN 1e0 ELSE greatest(1 - ((f.trust - 100) / 100) * ((f.trust - 100) / 100), 0e0) END, 0e0), 200e0) END AS after
+    FROM f JOIN s ON s.author = f.author AND s.rn = f.rn + 1))"""
+
+
+def _ledger(t: Tables) -> DataFrame:
+    step = F.when(F.col("kind") == "error", "hurt").when(F.col("kind") == "purchase", "undo").when((F.col("kind") == "view") & (F.col("id") % 10 == 0), "redo").otherwise("grow")
+    last = F.last(F.when(F.col("kind") == "error", F.col("id")), ignorenulls=True).over(Window.partitionBy("author").orderBy("ms", "id"))
+    return trust_ledger(t.message.select("author", "ms", "id", step.alias("step"), last.alias("ref")), "author")
+
+
+@query("t20_trust", f"WITH RECURSIVE {_LEDGER} SELECT author, round(trust, 6)::DOUBLE AS trust FROM f WHERE rn = (SELECT max(rn) FROM s WHERE s.author = f.author)")
+def t20(t: Tables) -> DataFrame:
+    return trust_now(_ledger(t), "author")
 
 
-@query(
-    "t20_trust",
-    """WITH RECURSIVE s AS (SELECT author, kind, row_number() OVER (PARTITION BY author ORDER BY ms, id) AS rn FROM message),
-    f AS (SELECT DISTINCT author, 0::BIGINT AS rn, 50e0 AS trust FROM s UNION ALL SELECT f.author, f.rn + 1, CASE WHEN s.kind = 'error' THEN greatest(f.trust - 15e0 * (0.5e0 + f.trust / 200e0), 0e0)
-      ELSE least(greatest(f.trust + 0.5e0 * CASE WHEN f.trust <= 100 THEN 1e0 ELSE greatest(1 - ((f.trust - 100) / 100) * ((f.trust - 100) / 100), 0e0) END, 0e0), 200e0) END FROM f JOIN s ON s.author = f.author AND s.rn = f.rn + 1)
-    SELECT author, round(trust, 6)::DOUBLE AS trust FROM f WHERE rn = (SELECT max(rn) FROM s WHERE s.author = f.author)""",
-)
-def t20(t: Tables) -> DataFrame:
-    steps = t.message.select("author", "ms", "id", F.when(F.col("kind") == "error", "hurt").otherwise("grow").alias("step"))
-    return W.trust_fold(steps, "author")
+@query("t20_trust_ledger", f"WITH RECURSIVE {_LEDGER} SELECT author, id, step, round(before, 6)::DOUBLE AS before, round(trust, 6)::DOUBLE AS trust FROM f WHERE rn > 0")
+def t20_ledger(t: Tables) -> DataFrame:
+    return _ledger(t).select("author", "id", "step", F.round("before", 6).alias("before"), F.round("trust", 6).alias("trust"))
 
 
 @query("t21_away", f"SELECT author, ({NOW} - max(ms)) // 14400000 AS spent FROM message WHERE ms <= {NOW} GROUP BY author")
