@@ -21,10 +21,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from .common import bounded_batches, released, stored
 VOCABULARY_A = "byte_bpe_50k"
 VOCABULARY_B = "piece_bpe_32k"
 BATCH_BYTES = 8 << 20
-STRETCH = 1 << 16
+STRETCH = 1 << 13
 
 _BATCHES = """batch string, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>,
     pairs array<int>, index array<int>, times array<int>, a array<int>, b array<int>, docs array<int>"""
@@ -43,32 +44,18 @@ _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 
 @dataclass
 class Tokens:
-    """A tokenizer: ``encode`` gives ids of a text behind a space; the bytes of all its tokens end to end, and where each ends."""
+    """A tokenizer: ``encode`` gives the ids of a text behind a space and the bytes of its tokens, joined (none: not the text's); each id's size."""
 
-    encode: object
-    data: np.ndarray
-    ends: np.ndarray
+    encode: Callable[[str], tuple[np.ndarray, bytes | None]]
+    sizes: np.ndarray
     digits: np.ndarray = field(init=False)
     width: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        names = [str(i).encode() for i in range(len(self.ends) - 1)]
-        self.width = np.array([len(x) for x in names])
-        # Decimal ids in a row each, with room for what follows.
-        self.digits = np.frombuffer(b"".join(x.ljust(self.width[-1] + 1) for x in names), np.uint8).reshape(len(names), -1).copy()
-
-    def sizes(self, ids: np.ndarray) -> np.ndarray:
-        return self.ends[ids + 1] - self.ends[ids]
-
-    def joined(self, ids: np.ndarray) -> bytes:
-        size = self.sizes(ids)
-        first = np.repeat(self.ends[ids] - np.append(0, np.cumsum(size)[:-1]), size)
-        return self.data[first + np.arange(len(first))].tobytes()
-
-
-def _tokens(encode: object, pieces: list[bytes]) -> Tokens:
-    ends = np.append(0, np.cumsum([len(x) for x in pieces]))
-    return Tokens(encode, np.frombuffer(b"".join(pieces), np.uint8), ends)
+        names = [str(i).encode() for i in range(len(self.sizes))]
+        self.width = np.array([len(x) for x in names], np.uint64)
+        # Decimal ids as eight bytes each, with room for what follows.
+        self.digits = np.frombuffer(b"".join(x.ljust(8, b"\0") for x in names), "<u8")
 
 
 _LOADED: dict[str, Tokens] = {}
@@ -83,10 +70,17 @@ def byte_level(vocabulary: str = VOCABULARY_A) -> Tokens:
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         merges = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        pieces = [b""] * (max(ranks.values()) + 1)
+        sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for x, i in ranks.items():
-            pieces[i] = x
-        _LOADED[vocabulary] = _tokens(lambda text: merges.encode_ordinary(" " + text), pieces)
+            sizes[i] = len(x)
+
+        def encode(text: str) -> tuple[np.ndarray, bytes | None]:
+            # These tokens are cuts of the text's own bytes, so their sizes say all.
+            ids = merges.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
+            whole = b" " + text.encode()
+            return ids, whole if sizes[ids].sum() == len(whole) else None
+
+        _LOADED[vocabulary] = Tokens(encode, sizes)
     return _LOADED[vocabulary]
 
 
@@ -99,56 +93,61 @@ def pieces_of(vocabulary: str = VOCABULARY_B) -> Tokens:
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{vocabulary}.model"))
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         pieces = [bytes([int(x[3:5], 16)]) if model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        _LOADED[vocabulary] = _tokens(model.encode, pieces)
+
+        def encode(text: str) -> tuple[np.ndarray, bytes | None]:
+            ids = model.encode(text)
+            return np.fromiter(ids, np.int64, len(ids)), b"".join(map(pieces.__getitem__, ids))
+
+        _LOADED[vocabulary] = Tokens(encode, np.array([len(x) for x in pieces]))
     return _LOADED[vocabulary]
 
 
 def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of either list end at or before each common end, in order."""
-    to_a: list[int] = []
-    to_b: list[int] = []
+    to_a, to_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for low in range(0, int(ends_a[-1]) if len(ends_a) else 0, stretch):
-        (a0, a1), (b0, b1) = (np.searchsorted(x, [low, low + stretch], "right") for x in (ends_a, ends_b))
-        at_a = dict(zip(ends_a[a0:a1].tolist(), range(a0 + 1, a1 + 1), strict=True))
-        at_b = dict(zip(ends_b[b0:b1].tolist(), range(b0 + 1, b1 + 1), strict=True))
-        keys = sorted(at_a.keys() & at_b.keys())
-        to_a += [at_a[x] for x in keys]
-        to_b += [at_b[x] for x in keys]
-    return np.array(to_a, np.int64), np.array(to_b, np.int64)
+        (a0, a1), (b0, b1) = (np.searchsorted(x, [low, low + stretch], "right").tolist() for x in (ends_a, ends_b))
+        at_a = dict(zip((ends_a[a0:a1] - low).tolist(), range(a0 + 1, a1 + 1)))  # noqa: B905
+        at_b = dict(zip((ends_b[b0:b1] - low).tolist(), range(b0 + 1, b1 + 1)))  # noqa: B905
+        keys = list(filter(at_b.__contains__, at_a))  # in order, as the first dictionary is
+        to_a.append(np.fromiter(map(at_a.__getitem__, keys), np.int64, len(keys)))
+        to_b.append(np.fromiter(map(at_b.__getitem__, keys), np.int64, len(keys)))
+    return np.concatenate(to_a), np.concatenate(to_b)
 
 
 def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the overlapping tokens, a stretch between neighbouring ends for each pair."""
-    ends = np.union1d(ends_a, ends_b)
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    at_a, at_b = (np.zeros(int(ends_a[-1]) + 1, bool) for _ in range(2))
+    at_a[ends_a] = at_b[ends_b] = True
+    ends = np.flatnonzero(at_a | at_b)
+    # Ends before this one: that many tokens are over.
+    return tuple(np.cumsum(x) - x for x in (at_a[ends].astype(np.int64), at_b[ends].astype(np.int64)))
 
 
 def groups_text(a: Tokens, b: Tokens, ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
     # A group's A ids stand after the B ids of all groups before it, its B ids after its A ids.
-    of_a, of_b = (np.repeat(np.arange(len(c)), np.diff(c, prepend=0)) for c in (cut_a, cut_b))
-    place_a = np.arange(len(ids_a)) + np.append(0, cut_b)[of_a]
-    place_b = np.arange(len(ids_b)) + cut_a[of_b]
-    room = max(a.digits.shape[1], b.digits.shape[1])
-    rows = np.zeros((len(ids_a) + len(ids_b), room), np.uint8)
-    width = np.zeros(len(rows), np.int64)
-    after = np.full(len(rows), ord(","), np.uint8)
-    rows[place_a, : a.digits.shape[1]], rows[place_b, : b.digits.shape[1]] = a.digits[ids_a], b.digits[ids_b]
+    size_a, size_b = (np.concatenate([c[:1], c[1:] - c[:-1]]) for c in (cut_a, cut_b))
+    place_a = np.arange(len(ids_a)) + np.repeat(np.concatenate([[0], cut_b[:-1]]), size_a)
+    place_b = np.arange(len(ids_b)) + np.repeat(cut_a, size_b)
+    n = len(ids_a) + len(ids_b)
+    rows, width, after = np.empty(n, "<u8"), np.empty(n, np.uint64), np.full(n, ord(","), np.uint64)
+    rows[place_a], rows[place_b] = a.digits[ids_a], b.digits[ids_b]
     width[place_a], width[place_b] = a.width[ids_a], b.width[ids_b]
     after[place_a[cut_a - 1]], after[place_b[cut_b - 1]] = ord("|"), ord(";")
-    rows[np.arange(len(rows)), width] = after
-    return rows[np.arange(room) <= width[:, None]].tobytes()[:-1]
+    rows |= after << (width * np.uint64(8))
+    return rows.tobytes().translate(None, b"\0")[:-1]
 
 
 def aligned(text: str | None, a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Both id lists, the cuts of both, and the indices of all links; nothing where the tokens don't give the text back."""
     if not text:
         return None
-    ids_a, ids_b = np.array(a.encode(text), np.int64), np.array(b.encode(text), np.int64)
     want = b" " + text.encode()
-    if a.joined(ids_a) != want or b.joined(ids_b) != want:
+    (ids_a, whole_a), (ids_b, whole_b) = a.encode(text), b.encode(text)
+    if whole_a != want or whole_b != want:
         return None
-    ends_a, ends_b = np.cumsum(a.sizes(ids_a)), np.cumsum(b.sizes(ids_b))
+    ends_a, ends_b = np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b])
     return ids_a, ids_b, *common_ends(ends_a, ends_b), *links(ends_a, ends_b)
 
 
@@ -157,7 +156,7 @@ def _batched(docs: DataFrame, vocabulary_a: str, vocabulary_b: str, batch_bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_level(vocabulary_a), pieces_of(vocabulary_b)
-        base = len(b.ends)
+        base = len(b.sizes)
         rows: list[tuple] = []
         keys: list[np.ndarray] = []
         times: list[np.ndarray] = []
@@ -165,7 +164,11 @@ def _batched(docs: DataFrame, vocabulary_a: str, vocabulary_b: str, batch_bytes:
 
         def batch() -> pa.RecordBatch:
             every = np.concatenate(keys)
-            pairs, index = np.unique(every, return_inverse=True)
+            code, pairs = pd.factorize(every)
+            order = np.argsort(pairs)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            pairs, index = pairs[order], place[code]
             held = [*zip(*rows, strict=True)]
             columns = [uuid.uuid4().hex, *held, [len(k) for k in keys], index.astype(np.int32), np.concatenate(times), (pairs // base).astype(np.int32), (pairs % base).astype(np.int32), np.bincount(index, minlength=len(pairs)).astype(np.int32)]
             kinds = [pa.string(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), *[pa.list_(pa.int32())] * 6]
