@@ -107,6 +107,17 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     )
 
 
+def once(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Each (``did, th``) with one of its rows, and the ``did, th`` of those that had several (none: no such).
+
+    Only keys are shuffled where no row is repeated; else the texts of repeated rows are, as many rows as they have."""
+    many = texts.groupBy("did", "th").agg(F.count("*").alias("rows")).filter("rows > 1").select("did", "th")
+    many = stored(many, "repeated-rows")
+    if many.isEmpty():
+        return texts, None
+    return texts.join(many, ["did", "th"], "left_anti").unionByName(texts.join(many, ["did", "th"], "left_semi").dropDuplicates(["did", "th"])), many
+
+
 def id_back(did: Column) -> Column:
     """The id as it was: the stand-in becomes null again."""
     return F.when(did != LAST_ID, did)

@@ -5,16 +5,17 @@ adjacent lines that an earlier document (smaller id) holds as adjacent lines too
 lines or ``min_bytes`` bytes go from the later document.
 
 Pairs: a block holds a window of lines that is just long enough, and each window proposes one partner for
-every later holder: its first holder. So there are no more pairs than windows, however often a window occurs.
+every later holder: its first holder. So there are no more pairs than windows, however often a window occurs. Lines
+that no other document has propose nothing, and lines that are common by themselves only as part of a window.
 
 Alignment: of a pair all lines are aligned that either shares with any other document in a window. Lines that
 are rare, once in each of the two, are the anchors; the longest run of anchors rising in both is kept
 (patience), and each anchor grows over equal neighbours. What is left between two anchors is aligned in the
-same way, with rarity counted within; where no line is rare, a longest common subsequence is taken. A passage
-that was moved crosses that order: a window that both hold, with a line that isn't aligned yet, is an anchor
-of its own and grows likewise. So every window that a pair shares is aligned, and the first holder of a window
-takes from a later document what any other earlier holder of it would: the result is that of aligning each
-document with all earlier ones.
+same way, with rarity counted within; where no line is rare, a longest common subsequence is taken. Blocks found
+leave the later document, and what is left of it is aligned again until there is no further block: so passages that
+were moved, or stand there twice, are aligned too. A block grows over equal neighbours that are gone already. Nothing goes that this diff does not align.
+
+Lines are told apart by digests (BLAKE2b, 128 bits); the 64-bit keys of windows only propose pairs.
 
 Cases: null or empty texts have no lines; rows that share an id are one age, neither is later; null ids
 are later than all others; repeated rows get equal results; empty tables give empty results; only the two
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import id_back, keyed, released, stored, utf8_parts
+from .common import id_back, keyed, once, released, stored, utf8_parts
 
 MIN_LINES = 2
 MIN_BYTES = 32
@@ -44,7 +46,7 @@ _KEPT = "did long, n_lines long, n_removed long, n_blocks long, n_bytes long, ke
 
 
 def _full_lines(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of texts: (first row, end row, text of each non-blank line, its place in the text, two hashes, bytes)."""
+    """Runs of texts: (first row, end row, text of each non-blank line, its place in the text, its digest in halves, bytes)."""
     for low, high, data, offsets in utf8_parts(column):
         starts, ends, bounds = K.word_bounds(data, offsets)
         if not len(starts):
@@ -59,7 +61,9 @@ def _full_lines(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         last = np.append(first[1:], len(starts)) - 1
         a, b, of = starts[first], ends[last], text[first]
         place = np.arange(len(first)) - np.searchsorted(of, of)
-        h, g = (x.ranges(x.bytes_prefix(data), a, b) for x in (K.FIRST, K.SECOND))
+        raw = data.tobytes()
+        digests = b"".join([blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        h, g = np.frombuffer(digests, np.uint64).reshape(-1, 2).T.copy()
         yield low, high, of, place, h, g, b - a
 
 
@@ -159,54 +163,44 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(aligned: list[tuple[int, int]], size: dict[int, int], min_lines: int, min_bytes: int) -> list[tuple[int, int, int]]:
-    """Runs (first place, first place in the earlier, number of lines) that are long enough. size: bytes of the later one's lines."""
+def blocks(aligned: list[tuple[int, int]], later: dict[int, object], earlier: dict[int, object], size: dict[int, int], min_lines: int, min_bytes: int) -> list[tuple[int, int, int]]:
+    """Runs (first place, first place in the earlier, number of lines) that are long enough. size: bytes of the later one's lines.
+
+    A run grows over equal neighbours, which may have been aligned elsewhere."""
     out, i = [], 0
     while i < len(aligned):
         j = i + 1
         while j < len(aligned) and aligned[j][0] == aligned[j - 1][0] + 1 and aligned[j][1] == aligned[j - 1][1] + 1:
             j += 1
-        if j - i >= min_lines or sum(size[d] for d, _ in aligned[i:j]) >= min_bytes:
-            out.append((*aligned[i], j - i))
+        (p, q), n = aligned[i], j - i
+        while p - 1 in later and later[p - 1] == earlier.get(q - 1):
+            p, q, n = p - 1, q - 1, n + 1
+        while p + n in later and later[p + n] == earlier.get(q + n):
+            n += 1
+        if n >= min_lines or sum(size[p + k] for k in range(n)) >= min_bytes:
+            out.append((p, q, n))
         i = j
     return out
 
 
 def shared_blocks(later: dict[int, object], earlier: dict[int, object], size: dict[int, int], min_lines: int, min_bytes: int) -> list[tuple[int, int, int]]:
     """Blocks (first place in the later, in the earlier, number of lines). later, earlier: lines by place, in order."""
-    at, other = list(later), list(earlier)
-    found = blocks([(at[i], other[j]) for i, j in align(list(later.values()), list(earlier.values()))], size, min_lines, min_bytes)
-    covered = {p + k for p, _, n in found for k in range(n)}
-    held = set(earlier.values())
-    if all(p in covered or x not in held for p, x in later.items()):
-        return found
-    # Moved passages: windows that both hold, though the order of the others crosses them.
-    places: dict = {}
-    for q, x in earlier.items():
-        places.setdefault(x, []).append(q)
-    for p in at:
-        weight = 0
-        for n in range(1, min_lines + 1):
-            if p + n - 1 not in later:
-                break
-            weight += size[p + n - 1]
-            if (n < min_lines and weight < min_bytes) or all(p + k in covered for k in range(n)):
-                continue
-            q = next((q for q in places.get(later[p], ()) if all(earlier.get(q + k) == later[p + k] for k in range(1, n))), None)
-            if q is None:
-                break
-            low, high = 0, n
-            while p + low - 1 in later and later[p + low - 1] == earlier.get(q + low - 1):
-                low -= 1
-            while p + high in later and later[p + high] == earlier.get(q + high):
-                high += 1
-            found.append((p + low, q + low, high - low))
-            covered.update(range(p + low, p + high))
+    left, found = dict(later), []
+    other, values = list(earlier), list(earlier.values())
+    while left:
+        at = list(left)
+        now = blocks([(at[i], other[j]) for i, j in align(list(left.values()), values)], later, earlier, size, min_lines, min_bytes)
+        if not now:
+            break
+        found += now
+        for p, _, n in now:
+            for k in range(n):
+                left.pop(p + k, None)
     return found
 
 
 def sequences(texts: DataFrame) -> DataFrame:
-    """``did, th, h, g, size``: the non-blank lines of each text in order, two hashes and the bytes of each."""
+    """``did, th, h, g, size``: the non-blank lines of each text in order, the halves of the digest and the bytes of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,8 +308,7 @@ def aligned_blocks(texts: DataFrame, min_lines: int = MIN_LINES, min_bytes: int
     shared = windows.join(first, "key").select("did", "th", F.struct("n", "at").alias("mark"), partner.alias("partner"))
     marked = stored(shared.groupBy("did", "th").agg(F.collect_list("mark").alias("marks"), F.collect_set("partner").alias("partners")), "marks")
     released(windows, first)
-    # Repeated rows are one text.
-    joined = marked.join(seqs, ["did", "th"]).dropDuplicates(["did", "th"])
+    joined = marked.join(seqs, ["did", "th"])
     passages = stored(_passages(joined), "passages")
     released(marked, seqs)
     pairs = passages.select("did", "th", "at", "h", "g", "size", F.explode("partners").alias("e")).select("e.edid", "e.eth", "did", "th", "at", "h", "g", "size")
@@ -379,6 +372,7 @@ def remove_shared_blocks(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes:
 
     ``n_bytes`` is the size before the cut; ``carry`` adds the columns of docs other than the text, in a struct ``row``."""
     texts = keyed(docs, id_col, text_col, carry)
-    found = aligned_blocks(texts.select("did", "th", "text"), min_lines, min_bytes)
+    # Repeated rows are one text.
+    found = aligned_blocks(once(texts)[0].select("did", "th", "text"), min_lines, min_bytes)
     spans = found.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     return _cut(texts, spans, carry).select(id_back(F.col("did")).alias("doc_id"), "n_lines", "n_removed", "n_blocks", "n_bytes", "kept_text", *["row"] * carry)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import id_back, keyed, released, stored, utf8_parts
+from .common import id_back, keyed, once, released, stored, utf8_parts
 from .induced import repeated_starts
 
 WINDOW = 200
@@ -160,7 +160,7 @@ def _counted_windows(pieces: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_byte_spans(texts: DataFrame, window: int = WINDOW, k: int = MINIMISER, key_bytes: int = KEY_BYTES) -> DataFrame:
-    """Runs of windows (did, th, start, n), each of which also starts elsewhere."""
+    """Runs of windows (did, th, start, n), each of which also starts elsewhere. texts: one row for each (did, th)."""
     paths = stored(byte_paths(texts, window, k), "paths")
     nodes = (
         paths.groupBy("node")
@@ -176,8 +176,7 @@ def repeated_byte_spans(texts: DataFrame, window: int = WINDOW, k: int = MINIMIS
     branching = shared.filter("branches")
     sources = branching.groupBy("node", "path").agg(F.count("*").alias("times"), F.min(F.struct("did", "th", "start", "n")).alias("at"))
     sources = stored(sources.select("node", "path", "times", "at.*"), "path-sources")
-    one_text = texts.dropDuplicates(["did", "th"])
-    contents = stored(_contents(one_text, sources, window), "contents")
+    contents = stored(_contents(texts, sources, window), "contents")
     steps = stored(_steps(contents, window, k), "steps")
     keys = (
         steps.groupBy("key")
@@ -241,5 +240,11 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = MINIMI
     if not STEP + k < window:
         raise ValueError("the window must be longer than a step and a minimiser together")
     texts = keyed(docs, id_col, text_col)
-    spans = repeated_byte_spans(texts, window, k).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    single, many = once(texts)
+    found = repeated_byte_spans(single.select("did", "th", "text"), window, k)
+    if many is not None:
+        # Rows that are equal in id and text repeat each other whole.
+        size = F.octet_length("text") - window + 1
+        found = found.unionByName(single.join(many, ["did", "th"], "left_semi").filter(size > 0).select("did", "th", F.lit(0).alias("start"), size.alias("n")))
+    spans = found.groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     return _cut(texts, spans, window).select(id_back(F.col("did")).alias("doc_id"), "n_bytes", "kept", "spans")

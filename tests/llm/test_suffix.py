@@ -55,3 +55,11 @@ def test_edges(spark):
     lone = "".join(rng.choice("abcdefgh ") for _ in range(60_000))
     rows = [(1, lone + lone[100:400]), (2, "q" * 199), (3, "q" * 199)]
     assert _result(spark, rows) == sorted(brute.byte_repeats(rows), key=repr)
+
+
+def test_many_equal_rows(spark):
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(900))
+    rows = [(1, text)] * 600 + [(2, "short")] * 600 + [(3, "x" + text[300:600])]
+    out = suffix.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r["doc_id"], r["n_bytes"], bytes(r["kept"]), len(r["spans"])): r["n"] for r in out.groupBy("doc_id", "n_bytes", "kept", "spans").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, 900, b"", 1): 600, (2, 5, b"short", 0): 600, (3, 301, b"x", 1): 1}
