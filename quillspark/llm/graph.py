@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
     now = stored(_down(edges.select(F.col(left).alias("x"), F.col(right).alias("y")).filter("x is not null and y is not null")), "edges")
     seen = None
     for _ in range(rounds):
-        now = stored(_small_star(_large_star(now)), "edges")
+        before, now = now, stored(_small_star(_large_star(now)), "edges")
+        released(before)
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == seen:
             tops = now.select(F.col("b").alias("node")).distinct()

@@ -338,8 +338,8 @@ def aligned_blocks(texts: DataFrame, min_lines: int = MIN_LINES, min_bytes: int
 
 
 def _cut(texts: DataFrame, found: DataFrame, carry: bool = False) -> DataFrame:
-    columns = ["did", "text", "spans"] + ["row"] * carry
-    schema = T.StructType.fromDDL(_KEPT)
+    columns = ["did", "text", "spans", "marked"] + ["row"] * carry
+    schema = T.StructType.fromDDL(_KEPT).add("marked", "boolean")
     if carry:
         schema.add("row", texts.schema["row"].dataType)
 
@@ -367,12 +367,21 @@ def _cut(texts: DataFrame, found: DataFrame, carry: bool = False) -> DataFrame:
     return texts.join(found, ["did", "th"], "left").select(*columns).mapInArrow(run, schema)
 
 
-def remove_shared_blocks(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """``doc_id, n_lines, n_removed, n_blocks, n_bytes, kept_text``, a row for each row of docs.
+def remove_shared_blocks(
+    docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, marked: DataFrame | None = None
+) -> DataFrame:
+    """``doc_id, n_lines, n_removed, n_blocks, n_bytes, kept_text, marked``, a row for each row of docs.
 
-    ``n_bytes`` is the size before the cut; ``carry`` adds the columns of docs other than the text, in a struct ``row``."""
+    ``n_bytes`` is the size before the cut; ``carry`` adds the columns of docs other than the text, in a struct ``row``.
+    marked: a frame with ids in ``id_col``; true for documents that lose lines and are among them."""
     texts = keyed(docs, id_col, text_col, carry)
     # Repeated rows are one text.
     found = aligned_blocks(once(texts)[0].select("did", "th", "text"), min_lines, min_bytes)
     spans = found.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    return _cut(texts, spans, carry).select(id_back(F.col("did")).alias("doc_id"), "n_lines", "n_removed", "n_blocks", "n_bytes", "kept_text", *["row"] * carry)
+    some = F.lit(False)
+    if marked is not None:
+        ids = marked.select(F.col(id_col).cast("long").alias("did")).filter("did is not null").distinct().withColumn("hit", F.lit(True))
+        spans, some = spans.join(ids, "did", "left"), F.coalesce("hit", F.lit(False))
+    spans = spans.select("did", "th", "spans", some.alias("marked"))
+    kept = _cut(texts, spans, carry)
+    return kept.select(id_back(F.col("did")).alias("doc_id"), "n_lines", "n_removed", "n_blocks", "n_bytes", "kept_text", F.coalesce("marked", F.lit(False)).alias("marked"), *["row"] * carry)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import LAST_ID, id_back, keyed, stored, utf8_parts
+from .common import LAST_ID, id_back, keyed, released, stored, utf8_parts
 from .graph import components
 
 SHINGLE = 5
@@ -249,8 +249,8 @@ def near_duplicates(
     mixed = split.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
     unsettled = split.join(mixed, "key", "left_semi").join(reps.select("did", "th", "bands", "sketch"), ["did", "th"]).join(candidates, ["did", "th"])
     new = stored(_across(unsettled, size, bands * rows, threshold), "more-links")
-    edges = edges.unionByName(new)
-    found = components(edges)
+    found = components(edges.unionByName(new))
+    released(reps, members, candidates, joined, edges, new)
     labelled = (
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         .select("n", "set_a", "set_b", "rep", F.coalesce("component", "rep").alias("component"))

@@ -86,13 +86,25 @@ def test_clashing_columns_and_shared_ids(spark, tmp_path):
 
 
 def test_near_copies_leave_no_stumps(spark, tmp_path):
-    """A near copy whose lines are mostly an earlier document's goes in one of the two stages."""
+    """A document linked to an earlier one goes in one of the two stages; one below the threshold keeps its own line."""
     rng = random.Random(4)
     line = lambda: " ".join(f"w{rng.randint(0, 9000)}" for _ in range(10))
-    base = [[line() for _ in range(10)] for _ in range(12)]
+    base = [[line() for _ in range(12 if n < 8 else 10)] for n in range(12)]
     rows = [(n, "\n".join(b)) for n, b in enumerate(base)]
     rows += [(100 + n, "\n".join([*b[:4], line(), *b[5:]])) for n, b in enumerate(base)]
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     for stage in (corpus_pipeline.line_dedup, corpus_pipeline.minhash_dedup):
         docs = stored(stage(spark, docs, ""), "test")
-    assert sorted(r["doc_id"] for r in docs.collect()) == list(range(12))
+    texts = dict(rows)
+    assert {i for i, *_, stays in brute.near(rows) if not stays} == {100 + n for n in range(8)}
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == {**{n: texts[n] for n in range(12)}, **{100 + n: texts[100 + n].split("\n")[4] for n in range(8, 12)}}
+
+
+def test_own_text_stays_however_much_is_shared(spark):
+    shared = [f"shared line number {i} of a long passage" for i in range(1400)]
+    own = [f"own line number {i} that no other document holds anywhere {i * i}" for i in range(300)]
+    rows = [(1, "\n".join(shared)), (2, "\n".join(shared + own)), (3, "\n".join(["short own line", *shared[:50]]))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    left = "\n".join(own)
+    assert cut == {1: (rows[0][1], len(rows[0][1])), 2: (left, len(left)), 3: ("short own line", 14)}
