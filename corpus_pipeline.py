@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import released, stored, table
 from quillspark.llm.lines import remove_shared_blocks
-from quillspark.llm.minhash import DENOMINATOR as NEAR_UNDER
-from quillspark.llm.minhash import NUMERATOR as NEAR_OVER
 from quillspark.llm.minhash import near_duplicates
 from quillspark.llm.mixing import mixed
 from quillspark.llm.packing import GROUP_DOCS, packed
@@ -27,13 +25,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines that an earlier document has go from the later one.
+    """Blocks of lines that an earlier document has go from the later one; what is left of it stays.
 
-    A document that loses all its lines goes. So does one of which less than a quarter is left, the rest that the
-    near-dedup threshold allows: a near copy, cut down to its own few words, would match nothing later on."""
-    cut = remove_shared_blocks(docs, carry=True)
-    left = NEAR_UNDER * F.octet_length("kept_text") > (NEAR_UNDER - NEAR_OVER) * F.col("n_bytes")
-    cut = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")) & left)
+    A document that loses all its lines goes. So does a near copy of an earlier document that loses lines: near copies
+    are linked on whole texts, before the cut, as the few words that are left of one would match nothing later on."""
+    linked = stored(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-copies")
+    cut = remove_shared_blocks(docs, carry=True, marked=linked)
+    cut = cut.filter(((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))) & ~F.col("marked"))
     columns = []
     for c in docs.columns:
         if c == "text":
