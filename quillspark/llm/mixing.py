@@ -9,8 +9,8 @@ and serves any number of blocks.
 
 Target weights: ``weights`` by source, as given (others get the least weight given); the period is their sum
 without a common divisor. Sums beyond ``MOST_SLOTS`` are scaled to it and rounded. Without ``weights`` a
-source's target is the square root of its bytes, in ``period``-ths of the whole, rounded, one at least. A
-source that ends leaves its slots empty; the others keep their proportions, and no row is dropped or repeated.
+source's target is the square root of its bytes, in ``period``-ths of the whole, rounded, one at least; with many
+sources the period grows to ``SOURCE_SLOTS`` a source, up to ``MOST_SLOTS``. A source that ends leaves its slots empty; the others keep their proportions, and no row is dropped or repeated.
 
 Order within a source: rows are dealt by hash into ranges small enough for one task, numbered there, and
 joined to the prefix sums of the ranges, so a source of any size is never sorted in one task.
@@ -30,6 +30,8 @@ BLOCK_BYTES = 65536
 PERIOD = 1000
 #: Given weights are exact as long as their sum, without a common divisor, is no more than this.
 MOST_SLOTS = 1 << 17
+#: The period has this many slots for each source at least, so that rounding stays small beside many small sources.
+SOURCE_SLOTS = 16
 RANGE_ROWS = 500
 RUN_RANGES = 1000
 BROADCAST_SOURCES = 4096
@@ -66,15 +68,16 @@ def shares(sources: DataFrame, weights: dict[str, int] | None, period: int) -> D
         unit = math.gcd(*given.values())
         table = F.create_map(*[F.lit(x) for k, v in given.items() for x in (f"s:{k}", v // unit)])
         weight = F.coalesce(F.element_at(table, F.col("skey")), F.lit(min(given.values()) // unit))
-        most = MOST_SLOTS
+        least = MOST_SLOTS
     else:
         weight = F.greatest(F.floor(F.sqrt(F.col("bytes").cast("double"))), F.lit(1))
-        most = int(period)
+        least = int(period)
     # One row a source: this window sees as many rows as there are sources.
     every = Window.partitionBy(F.lit(1))
     w = sources.withColumn("w", weight.cast("long")).withColumn("all_w", F.sum("w").over(every))
-    rounded = F.expr(f"greatest((2 * {most} * w + all_w) div (2 * all_w), 1)")
-    w = w.withColumn("n", F.when(F.col("all_w") <= most, F.col("w")).otherwise(rounded))
+    w = w.withColumn("most", F.least(F.lit(MOST_SLOTS), F.greatest(F.lit(least), SOURCE_SLOTS * F.count("*").over(every))))
+    rounded = F.expr("greatest((2 * most * w + all_w) div (2 * all_w), 1)")
+    w = w.withColumn("n", F.when(F.col("all_w") <= F.col("most"), F.col("w")).otherwise(rounded))
     return w.select("skey", "n", F.sum("n").over(every).alias("period"))
 
 
@@ -147,8 +150,8 @@ numbered AS (
 weighed AS (
   SELECT skey, greatest(floor(sqrt(sum(n_bytes)::DOUBLE))::BIGINT, 1) AS w FROM rows_ GROUP BY skey),
 rounded AS (
-  SELECT skey, CASE WHEN all_w <= {PERIOD} THEN w ELSE greatest((2 * {PERIOD} * w + all_w) // (2 * all_w), 1) END AS n
-  FROM (SELECT skey, w, sum(w) OVER () AS all_w FROM weighed)),
+  SELECT skey, CASE WHEN all_w <= most THEN w ELSE greatest((2 * most * w + all_w) // (2 * all_w), 1) END AS n
+  FROM (SELECT skey, w, sum(w) OVER () AS all_w, least({MOST_SLOTS}, greatest({PERIOD}, {SOURCE_SLOTS} * count(*) OVER ())) AS most FROM weighed)),
 share AS (
   SELECT skey, n, sum(n) OVER () AS period FROM rounded),
 sources AS (

@@ -72,10 +72,17 @@ def test_many_sources_keep_their_targets(spark):
     share = {r["source"]: r["share"] for r in mixing.mixed(df).collect()}
     roots = {"big": math.isqrt(20 * 40_001)} | {f"s{i}": math.isqrt(501) for i in range(300)}
     total, period = sum(roots.values()), sum(share.values())
-    assert all(abs(share[s] - max(1, r / total * mixing.PERIOD)) <= 1 for s, r in roots.items())
+    assert all(abs(share[s] - max(1, r / total * mixing.SOURCE_SLOTS * 301)) <= 1 for s, r in roots.items())
     assert abs(share["big"] / period - roots["big"] / total) < 0.01
 
 
+def test_one_large_source_beside_thousands(spark):
+    for small in (500, 1000, 2000, 6000):
+        rows = [("s:big", (small * 40) ** 2)] + [(f"s:{i}", 40**2) for i in range(small)]
+        share = {r["skey"]: r["n"] / r["period"] for r in mixing.shares(spark.createDataFrame(rows, "skey string, bytes long"), None, mixing.PERIOD).collect()}
+        assert abs(share["s:big"] - 0.5) < 0.001 and max(abs(share[f"s:{i}"] * 2 * small - 1) for i in range(small)) < 0.1
+
+
 def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "x" * 3_000_000, "a"), (2, "y", "a"), (3, "z", "b")], "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["block"], r["block_offset"], r["n_bytes"]) for r in mixing.mixed(df).collect()}
