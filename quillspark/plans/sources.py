@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..sources import paged
 from ..sources import store as S
 from ..sources.scratch import scratch
+from ..streaming.streams import drained
 from .core import Tables, query
 
 
 @query("s01_seed_scan", "SELECT DISTINCT lang AS seed, source AS title FROM documents")
 def s01(t: Tables) -> DataFrame:
-    return S.seeds(t.documents, F.col("lang"), "source")
+    # The seeds are the languages; each one's list of titles is paged, and names a title once for every document.
+    rows = t.documents.select("lang", F.col("source").alias("title"), "doc_id")
+    path = paged.answers(rows, scratch(t.spark, "titles"), ["doc_id"], seed="lang", page_rows=100)
+    return paged.titles(t.spark, path, paged.seed_names(rows, "lang")).distinct()
 
 
 @query("s02_table_scan", "SELECT p_partkey, p_name FROM part")
@@ -29,10 +34,26 @@ def s03(t: Tables) -> DataFrame:
     return S.content(titles, t.documents.select("doc_id", "lang"), "doc_id")
 
 
-@query("s04_change_feed", "SELECT author::VARCHAR AS title, max(id) AS rcid FROM message WHERE id > 500 GROUP BY 1")
+# Newest first, back to the watermark: a title is named once; more titles than the limit make the feed incomplete.
+FEED = """entry AS (SELECT id AS rcid, author::VARCHAR AS title FROM message),
+fresh AS (SELECT *, (rcid = max(rcid) OVER (PARTITION BY title))::INT AS first FROM entry WHERE rcid > {watermark}),
+named AS (SELECT *, sum(first) OVER (ORDER BY rcid DESC) AS n FROM fresh)
+SELECT title, rcid, (SELECT max(rcid) FROM entry)::BIGINT AS watermark, (SELECT max(n) <= {limit} FROM named) AND EXISTS (SELECT 1 FROM entry WHERE rcid <= {watermark}) AS complete FROM named WHERE first = 1 AND n <= {limit} + 1"""
+
+
+def feed_of(t: Tables) -> str:
+    """The messages as a feed of changed authors, newest first; its answers' folder."""
+    return paged.answers(t.message.select(F.col("id").alias("rcid"), F.col("author").cast("string").alias("title")), scratch(t.spark, "feed"), [F.desc("rcid")])
+
+
+@query("s04_change_feed", "WITH " + FEED.format(watermark=500, limit=5000))
 def s04(t: Tables) -> DataFrame:
-    feed = t.message.select(F.col("id").alias("rcid"), F.col("author").cast("string").alias("title"))
-    return S.changes(feed, 500, 10_000_000)[0]
+    return paged.changes(t.spark, feed_of(t), 500)
+
+
+@query("s04_change_stream", "WITH " + FEED.format(watermark=500, limit=5000))
+def s04_stream(t: Tables) -> DataFrame:
+    return drained(paged.changes(t.spark, feed_of(t), 500, stream=True), "changes")
 
 
 @query("s05_links", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS links FROM part GROUP BY 1")

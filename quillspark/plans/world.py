@@ -14,9 +14,11 @@ from ..operators import rewind
 from ..operators import world as W
 from ..operators.trust import trust_ledger, trust_now
 from ..operators.wrapup import wrap_up
+from ..sources import paged
 from ..sources.scratch import scratch
 from ..sources.store import read_corpus
 from .core import Tables, query
+from .sources import FEED, feed_of
 
 NOW = 1_705_622_400_000  # an instant within the driver's month of events
 
@@ -171,9 +173,15 @@ def v15(t: Tables) -> DataFrame:
 # ---- T: incremental and stateful, in batch ----------------------------------------------------------
 
 
-@query("t01_watermark_sync", "SELECT DISTINCT channel, kind FROM message WHERE id > 400 AND id <= (SELECT max(id) FROM message)")
+@query(
+    "t01_watermark_sync",
+    "WITH " + FEED.format(watermark=400, limit=5000).replace("SELECT title, rcid", "SELECT 'reached' AS run, title, rcid") + " UNION ALL (WITH " + FEED.format(watermark=400, limit=20).replace("SELECT title, rcid", "SELECT 'beyond' AS run, title, rcid") + ")",
+)
 def t01(t: Tables) -> DataFrame:
-    return t.message.filter("id > 400").select("channel", "kind").distinct()
+    # Once within the limit, and once with a limit that the feed passes before it is back at the watermark.
+    path = feed_of(t)
+    runs = [paged.changes(t.spark, path, 400, limit).withColumn("run", F.lit(run)) for run, limit in (("reached", paged.FEED_LIMIT), ("beyond", 20))]
+    return runs[0].unionByName(runs[1])
 
 
 _HELD = "held AS (SELECT author, max(id) AS rev FROM message WHERE ms <= 1704900000000 GROUP BY 1), live AS (SELECT author, max(id) AS rev FROM message GROUP BY 1), feed AS (SELECT DISTINCT author FROM message WHERE ms > 1705900000000)"

@@ -30,17 +30,6 @@ def content(titles: DataFrame, pages: DataFrame, title: str) -> DataFrame:
     return titles.join(pages, title, "left")
 
 
-def seeds(pages: DataFrame, seed: Column, title: str) -> DataFrame:
-    return pages.select(seed.alias("seed"), F.col(title).alias("title")).distinct()
-
-
-def changes(feed: DataFrame, watermark: int, limit: int) -> tuple[DataFrame, bool]:
-    """Changed titles above the watermark, and whether the feed reached it within ``limit`` entries (newest first)."""
-    newest = feed.filter(F.col("rcid") > watermark).orderBy(F.desc("rcid")).limit(limit)
-    complete = feed.filter(F.col("rcid") > watermark).limit(limit + 1).count() <= limit
-    return newest.groupBy("title").agg(F.max("rcid").alias("rcid")), complete
-
-
 def links(pairs: DataFrame, page: str, link: str) -> DataFrame:
     return pairs.groupBy(page).agg(F.array_sort(F.collect_set(link)).alias("links"))
 
