@@ -6,6 +6,7 @@ order (splitting, turn-aligned cuts) runs as Arrow-batched Python per page or pe
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -81,23 +82,116 @@ def strip_tables(text: str) -> str:
     return "".join(out)
 
 
+_TABLE_MARK = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(/?)(table|tr|t[dh])\b([^>]*)>|<[^>]*>")
+_SPAN = re.compile(r"(?i)\b(row|col)span\s*=\s*[\"']?(\d{1,3})")
+
+
+@dataclass
+class Table:
+    """A table as the grid that a browser shows: (text, whether a header cell) of each place that a cell covers.
+
+    within: the number of the table around it, if any; its text is no part of that table's cells."""
+
+    within: int | None
+    grid: list[list[tuple[str, bool]]]
+
+    def header_rows(self) -> int:
+        """How many rows at the top hold header cells only."""
+        full = [bool(row) and all(header for _, header in row) for row in self.grid]
+        return full.index(False) if False in full else len(full)
+
+    def find_header(self, *names: str) -> int | None:
+        """The first row with header cells among which every name stands in one; titles above it don't matter."""
+        for n, row in enumerate(self.grid):
+            cells = [text for text, header in row if header]
+            if cells and all(any(name in text for text in cells) for name in names):
+                return n
+        return None
+
+
+class _Open:
+    """A table being read: cells that have begun, and what spans down from rows above."""
+
+    def __init__(self, number: int):
+        self.number, self.row, self.cell = number, -1, None
+        self.rows: list[list[tuple[str, bool, int, int]]] = []
+
+    def begin_row(self) -> None:
+        self.end_cell()
+        self.rows.append([])
+
+    def begin_cell(self, header: bool, attributes: str) -> None:
+        self.end_cell()
+        if not self.rows:
+            self.rows.append([])
+        span = {k.lower(): max(1, int(v)) for k, v in _SPAN.findall(attributes)}
+        self.cell = ([], header, span.get("row", 1), span.get("col", 1))
+
+    def end_cell(self) -> None:
+        if self.cell:
+            parts, *rest = self.cell
+            self.rows[-1].append(("".join(parts).strip(), *rest))
+            self.cell = None
+
+    def grid(self) -> list[list[tuple[str, bool]]]:
+        self.end_cell()
+        taken: dict[tuple[int, int], tuple[str, bool]] = {}
+        for r, row in enumerate(x for x in self.rows if x):
+            c = 0
+            for text, header, down, across in row:
+                while (r, c) in taken:
+                    c += 1
+                for dr in range(down):
+                    for dc in range(across):
+                        taken.setdefault((r + dr, c + dc), (text, header))
+                c += across
+        rows = 1 + max((r for r, _ in taken), default=-1)
+        return [[taken.get((r, c), ("", False)) for c in range(1 + max((k for q, k in taken if q == r), default=-1))] for r in range(rows)]
+
+
+def tables_of(text: str) -> list[Table]:
+    """All tables in the order in which they begin, nested ones too; read with a stack, as they nest.
+
+    A cell ends where the next cell, row or end of its own table comes, whether it is closed or not; a table that isn't
+    closed ends with the text. Comments and other tags are left out of texts; rows without cells are left out."""
+    out: list[Table] = []
+    open_: list[_Open] = []
+
+    def close() -> None:
+        done = open_.pop()
+        out[done.number].grid = done.grid()
+
+    at = 0
+    for m in [*_TABLE_MARK.finditer(text), None]:
+        words = text[at : m.start() if m else len(text)]
+        if open_ and open_[-1].cell:
+            open_[-1].cell[0].append(words)
+        if m is None:
+            break
+        at = m.end()
+        end, tag = m[1], (m[2] or "").lower()
+        if tag == "table":
+            if not end:
+                out.append(Table(open_[-1].number if open_ else None, []))
+                open_.append(_Open(len(out) - 1))
+            elif open_:
+                close()
+        elif tag and open_:
+            if tag == "tr":
+                open_[-1].end_cell() if end else open_[-1].begin_row()
+            elif end:
+                open_[-1].end_cell()
+            else:
+                open_[-1].begin_cell(tag == "th", m[3])
+    while open_:
+        close()
+    return out
+
+
 def table_grid(text: str) -> list[list[str]]:
-    """The first table's cells with rowspan and colspan expanded."""
-    m = re.search(r"(?is)<table\b[^>]*>(.*?)</table\s*>", text)
-    grid: dict[tuple[int, int], str] = {}
-    for r, row in enumerate(re.findall(r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|\Z)", m[1]) if m else []):
-        c = 0
-        for attributes, cell in re.findall(r"(?is)<t[dh]\b([^>]*)>(.*?)(?=<t[dh]\b|</tr|\Z)", row):
-            while (r, c) in grid:
-                c += 1
-            span = {k: int(v) for k, v in re.findall(r"(?i)(rowspan|colspan)\s*=\s*[\"']?(\d{1,3})", attributes)}
-            value = re.sub(r"<[^>]*>", "", cell).strip()
-            for dr in range(span.get("rowspan", 1)):
-                for dc in range(span.get("colspan", 1)):
-                    grid[r + dr, c + dc] = value
-            c += span.get("colspan", 1)
-    rows = 1 + max((r for r, _ in grid), default=-1)
-    return [[grid.get((r, c), "") for c in range(1 + max((k for q, k in grid if q == r), default=-1))] for r in range(rows)]
+    """The first table's texts with rowspan and colspan expanded."""
+    found = tables_of(text)
+    return [[cell for cell, _ in row] for row in found[0].grid] if found else []
 
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)

@@ -111,25 +111,31 @@ def r26(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "mode string, refused boolean")
 
 
-# Two rows under a head; the brand spans both rows, the type two columns.
+# Two rows under a head; the brand spans both rows, the type two columns; a table within a cell, and a second one that isn't closed.
 @query(
     "c03_table_grid",
-    """WITH g AS (SELECT p_partkey AS id, [['make', 'kind', 'kind'], [p_brand, p_type, p_type], [p_brand, p_name, p_size::VARCHAR]] AS g FROM part)
-    SELECT id, r, c, g[r + 1][c + 1] AS cell FROM g, (SELECT unnest([0, 1, 2]) AS r), (SELECT unnest([0, 1, 2]) AS c) UNION ALL SELECT -page_id, 0, 0, 'no table' FROM pages""",
+    """WITH g AS (SELECT p_partkey AS id, unnest([{'t': 0, 'w': NULL, 'h': 1, 'g': [['make', 'kind', 'kind'], [p_brand, p_type, p_type], [p_brand, p_name, p_size::VARCHAR]]},
+      {'t': 1, 'w': 0, 'h': 0, 'g': [['in ' || p_brand, p_type]]}, {'t': 2, 'w': NULL, 'h': 2, 'g': [[p_name], ['last']]}]) AS x FROM part),
+    r AS (SELECT id, x, unnest(x.g) AS cells, generate_subscripts(x.g, 1) - 1 AS r FROM g)
+    SELECT id, x.t AS tab, x.w AS within, x.h AS header_rows, r::INTEGER AS r, (generate_subscripts(cells, 1) - 1)::INTEGER AS c, unnest(cells) AS cell FROM r UNION ALL SELECT -page_id, 0, NULL, 0, 0, 0, 'no table' FROM pages""",
 )
 def c03(t: Tables) -> DataFrame:
     from ..operators import corpus as C
 
     def parse(row: dict) -> list[dict]:
-        grid = C.table_grid(row["html"]) or [["no table"]]
-        return [{"id": row["id"], "r": r, "c": c, "cell": cell} for r, cells in enumerate(grid) for c, cell in enumerate(cells)]
+        found = C.tables_of(row["html"]) or [C.Table(None, [[("no table", False)]])]
+        return [
+            {"id": row["id"], "tab": n, "within": x.within, "header_rows": x.header_rows(), "r": r, "c": c, "cell": cell}
+            for n, x in enumerate(found) for r, cells in enumerate(x.grid) for c, (cell, _) in enumerate(cells)
+        ]
 
     html = F.concat(
-        F.lit("<p>before</p><table><tr><th>make</th><th colspan=2>kind</th></tr><tr><td rowspan='2'>"), "p_brand", F.lit('</td><td colspan="2"><b>'), "p_type",
-        F.lit("</b></td></tr><TR><td>"), "p_name", F.lit("</td><td> "), "p_size", F.lit(" </td></TR></table><p>after</p>"),
+        F.lit("<p>before</p><table><tr><th>make</th><th colspan=2>kind</th></tr><tr><td rowspan='2'>"), "p_brand", F.lit("<table><td>in "), "p_brand", F.lit("<td>"), "p_type",
+        F.lit('</table></td><td colspan="2"><b>'), "p_type", F.lit("</b></td></tr><TR><td>"), "p_name", F.lit("</td><td> "), "p_size", F.lit(" </td></TR></table><p>after</p><table><tr><th><!-- <td> -->"), "p_name",
+        F.lit("<tr><th>last"),
     )
     every = t.part.select(F.col("p_partkey").alias("id"), html.alias("html")).unionByName(t.pages.select((-F.col("page_id")).alias("id"), "html"))
-    return H.parsed(every, parse, "id long, r int, c int, cell string")
+    return H.parsed(every, parse, "id long, tab int, within int, header_rows int, r int, c int, cell string")
 
 
 @query("c06_definition_lists", "SELECT p_partkey, p_brand || ': ' || p_type || ', ' || p_name AS text FROM part")
