@@ -122,6 +122,22 @@ def slots_due(day: Column, since: Column, part: int, total: int, salt: int) -> C
     return out
 
 
+def away_settled(stays: DataFrame, commitments: DataFrame, user: str, part: int, total: int, salt: int, first_minute: int = 0) -> DataFrame:
+    """``user, since, until, slots, kept, lapsed``: what each time away used up. stays: ``user, since, until``.
+
+    Slots of the day of the return that came while away count as spent. Of the commitments (``user, due, own``) that fell
+    due meanwhile the user's own are told on return and kept, those of others lapse. Slots are counted in UTC days from
+    ``first_minute`` on, ``total`` parts of ``part`` minutes."""
+    minute = lambda ms: F.expr(f"{ms} div 60000 % 1440") - first_minute
+    days = stays.select(user, "since", "until", F.expr("until div 86400000").alias("_day"), minute("until").alias("_now"), F.when(F.expr("since div 86400000 = until div 86400000"), minute("since")).otherwise(-1440).alias("_left"))
+    slots = slots_due(F.col("_day"), F.col("_now"), part, total, salt) - slots_due(F.col("_day"), F.col("_left"), part, total, salt)
+    spent = days.select(user, "since", "until", slots.cast("long").alias("slots"))
+    due = commitments.select(F.col(user).alias("_user"), "due", "own")
+    fell = spent.join(due, (F.col(user) == F.col("_user")) & (F.col("due") > F.col("since")) & (F.col("due") <= F.col("until")), "left")
+    count = lambda own: F.sum((F.col("own") == F.lit(own)).cast("long"))
+    return fell.groupBy(user, "since", "until", "slots").agg(F.coalesce(count(True), F.lit(0)).alias("kept"), F.coalesce(count(False), F.lit(0)).alias("lapsed"))
+
+
 def day_sql(day: Column) -> str:
     """The name of the day column, for exact decimal expressions."""
     return day._jc.toString() if hasattr(day, "_jc") else str(day)

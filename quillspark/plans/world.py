@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..operators import relational as R
 from ..operators import rewind
 from ..operators import world as W
+from ..operators.openings import opening_plan
 from ..operators.trust import trust_ledger, trust_now
 from ..operators.wrapup import wrap_up
 from ..sources import paged
@@ -393,9 +394,67 @@ def t20_ledger(t: Tables) -> DataFrame:
     return _ledger(t).select("author", "id", "step", F.round("before", 6).alias("before"), F.round("trust", 6).alias("trust"))
 
 
-@query("t21_away", f"SELECT author, ({NOW} - max(ms)) // 14400000 AS spent FROM message WHERE ms <= {NOW} GROUP BY author")
+# Occasions stand for views (presences) and clicks; a signup is the user's own word; after an error the user is away until
+# the next event; purchases of the last six hours are the quota. Three parts of five hours from seven in the morning, each
+# with a slot at a hashed minute; an occasion has up to three candidates.
+_PLAN = """ordered AS (SELECT *, lag(kind) OVER w AS before, max(CASE WHEN kind = 'signup' THEN ms END) OVER w AS spoke,
+    count(*) FILTER (kind = 'purchase') OVER (PARTITION BY author ORDER BY ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW) AS spends, ms // 60000 % 1440 AS minute, ms // 86400000 AS day
+  FROM message WINDOW w AS (PARTITION BY author ORDER BY ms, id)),
+occasion AS (SELECT author, ms, id, day, kind = 'view' AS presence, coalesce(before = 'error', false) AS away, spends < 2 AS free, minute >= 1320 OR minute < 420 AS quiet, coalesce(ms - spoke < 1800000, false) AS talking,
+    CASE WHEN id % 97 = 0 THEN 1 ELSE 0 END AS spent, (minute - 420) // 300 AS part, (minute - 420) % 300 >= (day * 7 + (minute - 420) // 300 * 13) % 300 AS come,
+    list_transform(range(id % 4), lambda j: {'person': (id * 7 + j) % 5, 'channel': id % 3, 'grp': (id + j) % 3 = 0}) AS candidates,
+    row_number() OVER (PARTITION BY author ORDER BY ms, id) AS rn FROM ordered WHERE kind IN ('view', 'click')),
+plan AS (SELECT DISTINCT author, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::VARCHAR AS outcome, [{'ms': 0::BIGINT, 'part': 0::BIGINT, 'person': 0::BIGINT, 'channel': 0::BIGINT, 'grp': false}][2:] AS opened, NULL::BIGINT AS person, NULL::BIGINT AS channel FROM occasion
+  UNION ALL SELECT author, rn, id, outcome, CASE WHEN outcome = 'open' THEN list_append(opened, {'ms': ms, 'part': part, 'person': pick.person, 'channel': pick.channel, 'grp': pick.grp}) ELSE opened END,
+    CASE WHEN outcome = 'open' THEN pick.person END, CASE WHEN outcome = 'open' THEN pick.channel END
+  FROM (SELECT *, CASE WHEN away THEN 'away' WHEN len(candidates) = 0 THEN 'no_seed' WHEN NOT free THEN 'quota' WHEN quiet THEN 'quiet_hours' WHEN talking THEN 'in_conversation' WHEN len(today) + spent >= 3 THEN 'daily_total'
+      WHEN presence AND ms - opened[-1].ms < 3600000 THEN 'too_soon' WHEN presence AND (NOT come OR (direct AND grouped)) THEN 'not_yet' WHEN pick IS NOT NULL THEN 'open' WHEN waits THEN 'not_yet' ELSE 'per_person' END AS outcome
+    FROM (SELECT *, list_filter(candidates, lambda c: CASE WHEN c.grp THEN NOT grouped AND len(list_filter(today, lambda o: o.grp AND o.person = c.person AND o.channel = c.channel)) < 1
+          ELSE NOT direct AND len(list_filter(today, lambda o: NOT o.grp AND o.person = c.person)) < 1 END)[1] AS pick,
+        len(list_filter(candidates, lambda c: CASE WHEN c.grp THEN grouped ELSE direct AND len(list_filter(today, lambda o: NOT o.grp AND o.person = c.person)) < 1 END)) > 0 AS waits
+      FROM (SELECT *, presence AND len(list_filter(today, lambda o: o.part = part AND NOT o.grp)) > 0 AS direct, presence AND len(list_filter(today, lambda o: o.part = part AND o.grp)) > 0 AS grouped
+        FROM (SELECT s.*, p.opened, list_filter(p.opened, lambda o: o.ms // 86400000 = s.day) AS today FROM plan p JOIN occasion s ON s.author = p.author AND s.rn = p.rn + 1)))))"""
+
+
+def occasions_of(t: Tables) -> DataFrame:
+    own = Window.partitionBy("author").orderBy("ms", "id")
+    hours = Window.partitionBy("author").orderBy("ms").rangeBetween(-21_600_000, 0)
+    ms, minute, day = F.col("ms"), F.expr("ms div 60000 % 1440"), F.expr("ms div 86400000")
+    part, inside = F.expr("(ms div 60000 % 1440 - 420) div 300"), (minute - 420) % 300
+    candidate = lambda j: F.struct(((F.col("id") * 7 + j) % 5).alias("person"), (F.col("id") % 3).alias("channel"), ((F.col("id") + j) % 3 == 0).alias("grp"))
+    places = F.slice(F.array(*[F.lit(j).cast("long") for j in range(3)]), F.lit(1), (F.col("id") % 4).cast("int"))
+    every = t.message.select(
+        "author", "ms", "id", "kind", (F.col("kind") == "view").alias("presence"), F.coalesce(F.lag("kind").over(own) == "error", F.lit(False)).alias("away"),
+        (F.sum((F.col("kind") == "purchase").cast("int")).over(hours) < 2).alias("open"), ((minute >= 1320) | (minute < 420)).alias("quiet"),
+        F.coalesce(ms - F.max(F.when(F.col("kind") == "signup", ms)).over(own) < 1_800_000, F.lit(False)).alias("talking"),
+        F.when(F.col("id") % 97 == 0, 1).otherwise(0).alias("spent"), part.alias("part"), (inside >= (day * 7 + part * 13) % 300).alias("come"), F.transform(places, candidate).alias("candidates"),
+    )
+    return every.filter("kind in ('view', 'click')")
+
+
+@query("t15_opening_plan", f"WITH RECURSIVE {_PLAN} SELECT author, id, outcome, person, channel FROM plan WHERE rn > 0")
+def t15_plan(t: Tables) -> DataFrame:
+    return opening_plan(occasions_of(t), "author")
+
+
+# After an error its user is away until the next event; every third event is a commitment due a day later.
+_SLOT = "p * 240 + ((({day} * 31 + p + 1 + 7000)::HUGEINT * 11400714819323198485::HUGEINT % 18446744073709551616::HUGEINT) // 8589934592) % 240"
+
+
+@query(
+    "t21_away",
+    f"""WITH stays AS (SELECT author, ms AS since, later AS until FROM (SELECT *, lead(ms) OVER (PARTITION BY author ORDER BY ms, id) AS later FROM message) WHERE kind = 'error' AND later IS NOT NULL),
+    due AS (SELECT author, ms + 86400000 AS due, id % 2 = 0 AS own FROM message WHERE id % 3 = 0)
+    SELECT author, since, until, (SELECT count(*) FROM range(4) r(p) WHERE {_SLOT.format(day="(until // 86400000)")} <= until // 60000 % 1440
+        AND (since // 86400000 <> until // 86400000 OR {_SLOT.format(day="(until // 86400000)")} > since // 60000 % 1440)) AS slots,
+      (SELECT count(*) FROM due d WHERE d.author = s.author AND d.due > since AND d.due <= until AND own) AS kept, (SELECT count(*) FROM due d WHERE d.author = s.author AND d.due > since AND d.due <= until AND NOT own) AS lapsed
+    FROM stays s""",
+)
 def t21(t: Tables) -> DataFrame:
-    return t.message.filter(F.col("ms") <= NOW).groupBy("author").agg(F.expr(f"({NOW} - max(ms)) div 14400000").alias("spent"))
+    later = F.lead("ms").over(Window.partitionBy("author").orderBy("ms", "id"))
+    stays = t.message.withColumn("until", later).filter("kind = 'error' and until is not null").select("author", F.col("ms").alias("since"), "until")
+    due = t.message.filter("id % 3 = 0").select("author", (F.col("ms") + 86_400_000).alias("due"), (F.col("id") % 2 == 0).alias("own"))
+    return W.away_settled(stays, due, "author", 240, 4, 7)
 
 
 # ---- D: selections from the corpus -------------------------------------------------------------------
