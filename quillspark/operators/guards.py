@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store
 from . import relational as R
 
 
@@ -15,6 +16,45 @@ def drift(counts: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
     return both.withColumn("severity", severity).filter("severity is not null").select(key, "severity")
 
 
+def measured(watermark: Column, **counts: DataFrame) -> DataFrame:
+    """``part, name, n``: a part's count of each name; ``watermark`` of the first part's rows stands as a row of its own.
+
+    counts: frames with a column ``name``, one row for what is counted, by part."""
+    rows = [df.groupBy(F.col("name").cast("string").alias("name")).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "name", "n") for part, df in counts.items()]
+    out = next(iter(counts.values())).agg(F.coalesce(watermark, F.lit(0)).cast("long").alias("n")).select(F.lit("meta").alias("part"), F.lit("watermark").alias("name"), "n")
+    for df in rows:
+        out = out.unionByName(df)
+    return out
+
+
+def accept(measures: DataFrame, path: str) -> str:
+    """Record what was measured as the baseline that later runs are held against; a new version each time."""
+    return store.write_corpus({"baseline": measures}, path, {"format_version": 1})
+
+
+def accepted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest baseline, if one was accepted."""
+    try:
+        _, version = store.read_corpus(spark, path)
+    except FileNotFoundError:
+        return None
+    return spark.read.parquet(f"{version}/baseline")
+
+
+def against_baseline(measures: DataFrame, baseline: DataFrame | None) -> DataFrame:
+    """``part, name, n, was, severity``: what shrank is high, what grew or is new is low, equal counts are silent.
+
+    Without a baseline each part has one low finding that says so (name null). The watermark is no count."""
+    now = measures.filter("part <> 'meta'")
+    if baseline is None:
+        none = F.lit(None)
+        return now.select("part").distinct().select("part", none.cast("string").alias("name"), none.cast("long").alias("n"), none.cast("long").alias("was"), F.lit("low").alias("severity"))
+    was = baseline.filter("part <> 'meta'").withColumnRenamed("n", "was")
+    both = now.join(was, ["part", "name"], "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
+    severity = F.when(F.col("was").isNull() | (F.col("n") > F.col("was")), "low").when(F.col("n") < F.col("was"), "high")
+    return both.withColumn("severity", severity).filter("severity is not null").select("part", "name", "n", "was", "severity")
+
+
 def reconciled(made: DataFrame, kept: DataFrame, ignored: DataFrame, key: str) -> DataFrame:
     """Keys whose produced count isn't kept plus ignored."""
     held = made.select(key, F.col("n").alias("made")).join(kept.select(key, F.col("n").alias("kept")), key, "left").join(ignored.select(key, F.col("n").alias("ignored")), key, "left")

@@ -148,12 +148,6 @@ def bonds(messages: DataFrame, min_known: int = 1) -> DataFrame:
     return messages.groupBy(F.col("author").alias("person")).agg(F.min("ms").alias("first_seen"), F.max("ms").alias("last_seen"), F.count("*").alias("words"))
 
 
-def migrated(rows: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
-    """Rows in the newest shape: known columns kept and cast, missing ones with their default, unknown ones dropped."""
-    have = set(rows.columns)
-    return rows.select(*[(F.coalesce(F.col(n).cast(kind), F.lit(default).cast(kind)) if n in have else F.lit(default).cast(kind)).alias(n) for n, (kind, default) in columns.items()])
-
-
 def openings(occasions: DataFrame, person: str, gap_ms: int, daily: int) -> DataFrame:
     """Occasions that may open a conversation, in order: at least ``gap_ms`` after the last one taken, at most ``daily`` a day.
 

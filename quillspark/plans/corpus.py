@@ -11,6 +11,7 @@ from ..operators import corpus as C
 from ..operators import guards as G
 from ..operators import relational as R
 from ..operators.names import leak_share, name_leaks
+from ..sources.scratch import scratch
 from .core import Tables, query
 from .scalars import TOKENS
 
@@ -437,6 +438,22 @@ def g17(t: Tables) -> DataFrame:
     return R.drop_matching(links.distinct(), links.select(F.lower("link").alias("link")), "link")
 
 
-@query("g18_baseline", "SELECT kind, count(*) AS n FROM message GROUP BY kind")
+# The first half of the messages is accepted; what all of them measure is held against it, seeds by kind and authors by form.
+@query(
+    "g18_baseline",
+    """WITH half AS (SELECT max(id) // 2 AS mark FROM message), rows_ AS (SELECT id, 'seeds' AS part, kind AS name FROM message UNION ALL SELECT id, 'identity', 'form:' || author % 4 FROM message WHERE kind <> 'view'),
+    old AS (SELECT part, name, count(*) AS was FROM rows_, half WHERE id <= mark AND name <> 'click' GROUP BY 1, 2), new AS (SELECT part, name, count(*) AS n FROM rows_ WHERE name <> 'signup' GROUP BY 1, 2)
+    SELECT part, name, coalesce(n, 0) AS n, was, CASE WHEN was IS NULL OR coalesce(n, 0) > was THEN 'low' ELSE 'high' END AS severity FROM new FULL JOIN old USING (part, name) WHERE was IS NULL OR coalesce(n, 0) <> was
+    UNION ALL SELECT 'meta', 'watermark', max(id), (SELECT max(id) FROM message, half WHERE id <= mark AND kind <> 'click'), 'none' FROM message WHERE kind <> 'signup'""",
+)
 def g18(t: Tables) -> DataFrame:
-    return R.grouped_counts(t.message, "kind")
+    form = F.concat(F.lit("form:"), (F.col("author") % 4).cast("string"))
+    measure = lambda df: G.measured(F.max("id"), seeds=df.withColumn("name", F.col("kind")), identity=t.message.filter(F.col("kind") != "view").withColumn("name", form))
+    half = t.message.agg(F.expr("max(id) div 2")).first()[0]
+    older = t.message.filter(F.col("id") <= half)
+    path = scratch(t.spark, "baseline")
+    first = G.measured(F.max("id"), seeds=older.filter("kind <> 'click'").withColumn("name", F.col("kind")), identity=older.filter("kind <> 'view'").withColumn("name", form))
+    G.accept(first, path)
+    now, was = measure(t.message.filter("kind <> 'signup'")), G.accepted(t.spark, path)
+    marks = now.filter("part = 'meta'").join(was.filter("part = 'meta'").select("name", F.col("n").alias("was")), "name").select("part", "name", "n", "was", F.lit("none").alias("severity"))
+    return G.against_baseline(now, was).unionByName(marks)

@@ -15,7 +15,7 @@ from ..operators import world as W
 from ..operators.openings import opening_plan
 from ..operators.trust import trust_ledger, trust_now
 from ..operators.wrapup import wrap_up
-from ..sources import paged
+from ..sources import ladder, paged
 from ..sources.scratch import scratch
 from ..sources.store import read_corpus
 from .core import Tables, query
@@ -159,9 +159,49 @@ def v13(t: Tables) -> DataFrame:
     return mean.unionByName(hit)
 
 
-@query("v14_migration", "SELECT id, author::VARCHAR AS author, coalesce(kind, 'view') AS kind, 'lexical' AS mode FROM message")
+# Layout 1 holds messages, settings by key (the kinds and three more), a log and a table that layout 4 no longer has.
+_STEPS = [
+    ladder.Step(2, "authors are text", lambda t: {**t, "message": t["message"].withColumn("author", F.col("author").cast("string"))}),
+    ladder.Step(3, "errors are failures", lambda t: {**t, "message": t["message"].withColumn("kind", F.when(F.col("kind") == "error", "failure").otherwise(F.col("kind")))}),
+    ladder.Step(4, "settings by kind count their messages", lambda t: {**t, "settings": t["settings"].join(t["message"].groupBy(F.col("kind").alias("key")).agg(F.count("*").alias("uses")), "key", "left")}),
+]
+_LAYOUT = ladder.Layout(
+    tables={
+        "message": {"id": ("long", 0), "author": ("string", ""), "kind": ("string", "view"), "mode": ("string", "lexical")},
+        "settings": {"key": ("string", ""), "uses": ("long", 0)},
+        "log": {"id": ("long", 0)},
+        "bond": {"person": ("string", ""), "trust": ("double", 0.0)},
+    },
+    keys={"settings": ("view", "click", "signup", "failure", "tier")},
+    emptied=("log",),
+)
+_CLIMBED = """m AS (SELECT id, author::VARCHAR AS author, CASE kind WHEN 'error' THEN 'failure' ELSE kind END AS kind FROM message), known AS (SELECT unnest(['view', 'click', 'signup', 'failure', 'tier']) AS key),
+s AS (SELECT DISTINCT kind AS key FROM message UNION ALL SELECT unnest(['tier', 'theme', 'theme'])), s4 AS (SELECT s.key, u.n FROM s LEFT JOIN (SELECT kind AS key, count(*) AS n FROM m GROUP BY kind) u USING (key))"""
+
+
+def _climbed(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
+    path = scratch(t.spark, "ladder")
+    m = t.message
+    more = t.spark.createDataFrame([("tier",), ("theme",), ("theme",)], "key string")
+    old = {"message": m.select("id", "author", "kind", "channel"), "settings": m.select(F.col("kind").alias("key")).distinct().unionByName(more), "log": m.select("id"), "cache": m.filter("id % 3 = 0").select("id")}
+    ladder.write_world(old, path, 1)
+    ladder.climb(t.spark, path, _STEPS)
+    return ladder.keep(ladder.read_world(t.spark, path)[0], _LAYOUT)
+
+
+@query("v14_migration", f"WITH {_CLIMBED} SELECT id, author, kind, 'lexical' AS mode FROM m")
 def v14(t: Tables) -> DataFrame:
-    return W.migrated(t.message, {"id": ("long", 0), "author": ("string", ""), "kind": ("string", "view"), "mode": ("string", "lexical")})
+    return _climbed(t)[0]["message"]
+
+
+@query(
+    "v14_policy",
+    f"""WITH {_CLIMBED} SELECT 'settings key' AS part, key AS name, count(*) AS n FROM s4 WHERE key NOT IN (SELECT key FROM known) GROUP BY key UNION ALL SELECT 'table', 'cache', (SELECT count(*) FROM message WHERE id % 3 = 0)
+    UNION ALL SELECT 'emptied', 'log', (SELECT count(*) FROM message) UNION ALL SELECT 'kept', key, coalesce(n, 0) FROM s4 WHERE key IN (SELECT key FROM known)""",
+)
+def v14_policy(t: Tables) -> DataFrame:
+    tables, gone = _climbed(t)
+    return gone.unionByName(tables["settings"].select(F.lit("kept").alias("part"), F.col("key").alias("name"), F.col("uses").alias("n")))
 
 
 @query("v15_user_words", "SELECT person, id FROM (SELECT m.person, e.id, row_number() OVER (PARTITION BY m.person ORDER BY e.id DESC) AS rn FROM (SELECT DISTINCT channel, author AS person FROM message) m JOIN message e USING (channel) WHERE e.kind = 'view') WHERE rn <= 5")
