@@ -39,6 +39,9 @@ from .common import id_back, keyed, once, released, stored, utf8_parts
 MIN_LINES = 2
 MIN_BYTES = 32
 
+#: Documents that share this much of their runs of five words are near copies.
+COPY_OVER, COPY_UNDER = 3, 4
+
 #: Bits of the table of one longest common subsequence, at most: 32 MB.
 TABLE_BITS = 1 << 28
 
@@ -46,7 +49,7 @@ _KEPT = "did long, n_lines long, n_removed long, n_blocks long, n_bytes long, ke
 
 
 def _full_lines(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of texts: (first row, end row, text of each non-blank line, its place in the text, its digest in halves, bytes)."""
+    """Runs of texts: (first row, end row, text of each non-blank line, its digest in halves, bytes, words)."""
     for low, high, data, offsets in utf8_parts(column):
         starts, ends, bounds = K.word_bounds(data, offsets)
         if not len(starts):
@@ -60,11 +63,10 @@ def _full_lines(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(starts)) - 1
         a, b, of = starts[first], ends[last], text[first]
-        place = np.arange(len(first)) - np.searchsorted(of, of)
         raw = data.tobytes()
         digests = b"".join([blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), b.tolist(), strict=True)])
         h, g = np.frombuffer(digests, np.uint64).reshape(-1, 2).T.copy()
-        yield low, high, of, place, h, g, b - a
+        yield low, high, of, h, g, b - a, last - first + 1
 
 
 def _rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -200,18 +202,18 @@ def shared_blocks(later: dict[int, object], earlier: dict[int, object], size: di
 
 
 def sequences(texts: DataFrame) -> DataFrame:
-    """``did, th, h, g, size``: the non-blank lines of each text in order, the halves of the digest and the bytes of each."""
+    """``did, th, h, g, size, words``: the non-blank lines of each text in order, the halves of each one's digest, its bytes and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, _, of, _, h, g, size in _full_lines(batch.column(2)):
+            for low, _, of, h, g, size, words in _full_lines(batch.column(2)):
                 head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
                 bounds = pa.array(np.append(head, len(of)).astype(np.int32))
                 at = pa.array(low + of[head])
-                held = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (h.view(np.int64), g.view(np.int64), size.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *held], names=["did", "th", "h", "g", "size"])
+                held = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (h.view(np.int64), g.view(np.int64), size.astype(np.int32), words.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *held], names=["did", "th", "h", "g", "size", "words"])
 
-    return texts.mapInArrow(run, "did long, th long, h array<long>, g array<long>, size array<int>")
+    return texts.mapInArrow(run, "did long, th long, h array<long>, g array<long>, size array<int>, words array<int>")
 
 
 def _windows(h: np.ndarray, size: np.ndarray, owner: np.ndarray, min_lines: int, min_bytes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -267,18 +269,18 @@ def window_rows(seqs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
     return seqs.select("did", "th", "h", "size").mapInArrow(run, "did long, th long, key long, n int, at array<int>")
 
 
-_PASSAGES = "did long, th long, at array<int>, h array<long>, g array<long>, size array<int>, partners array<struct<edid:long,eth:long>>"
-_ALIGNED = "did long, th long, edid long, eth long, start int, estart int, n int"
+_PASSAGES = "did long, th long, total long, at array<int>, h array<long>, g array<long>, size array<int>, words array<int>, partners array<struct<edid:long,eth:long>>"
+_ALIGNED = "did long, th long, edid long, eth long, start int, estart int, n int, near boolean"
 
 
 def _passages(marked: DataFrame) -> DataFrame:
-    """Of each text the lines that lie in the marked windows, with their places."""
+    """Of each text the words of all its lines, and the lines that lie in the marked windows, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (h, bounds), (g, _), (size, _) = (_list_values(batch.column(i)) for i in (2, 3, 4))
+            (h, bounds), (g, _), (size, _), (words, _) = (_list_values(batch.column(i)) for i in (2, 3, 4, 5))
             took, counts = [], []
-            for i, marks in enumerate(batch.column(5)):
+            for i, marks in enumerate(batch.column(6)):
                 at, ends = _list_values(marks.values.field(1))
                 n = np.repeat(marks.values.field(0).to_numpy(), np.diff(ends))
                 step = np.zeros(bounds[i + 1] - bounds[i] + 1, np.int64)
@@ -291,14 +293,18 @@ def _passages(marked: DataFrame) -> DataFrame:
             at = np.concatenate(took)
             own = at + np.repeat(bounds[:-1], counts)
             ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), h[own], g[own], size[own])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, batch.column(6)], names=["did", "th", "at", "h", "g", "size", "partners"])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), h[own], g[own], size[own], words[own])]
+            every = np.append(0, np.cumsum(words, dtype=np.int64))
+            total = pa.array(every[bounds[1:]] - every[bounds[:-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), total, *lists, batch.column(7)], names=["did", "th", "total", "at", "h", "g", "size", "words", "partners"])
 
-    return marked.select("did", "th", "h", "g", "size", "marks", "partners").mapInArrow(run, _PASSAGES)
+    return marked.select("did", "th", "h", "g", "size", "words", "marks", "partners").mapInArrow(run, _PASSAGES)
 
 
 def aligned_blocks(texts: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``did, th, edid, eth, start, estart, n``: blocks of each later text, and where an earlier one has them."""
+    """``did, th, edid, eth, start, estart, n, near``: blocks of each later text, and where an earlier one has them.
+
+    near: the pair's blocks alone hold ``COPY_OVER / COPY_UNDER`` of both texts' runs of five words, shared ones counted once."""
     seqs = stored(sequences(texts), "sequences")
     windows = stored(window_rows(seqs, min_lines, min_bytes), "windows")
     first = windows.groupBy("key").agg(F.min(F.struct("did", "th")).alias("first"), F.max("did").alias("high")).filter("first.did < high")
@@ -311,8 +317,8 @@ def aligned_blocks(texts: DataFrame, min_lines: int = MIN_LINES, min_bytes: int
     joined = marked.join(seqs, ["did", "th"])
     passages = stored(_passages(joined), "passages")
     released(marked, seqs)
-    pairs = passages.select("did", "th", "at", "h", "g", "size", F.explode("partners").alias("e")).select("e.edid", "e.eth", "did", "th", "at", "h", "g", "size")
-    earlier = passages.select(F.col("did").alias("edid"), F.col("th").alias("eth"), F.col("at").alias("eat"), F.col("h").alias("eh"), F.col("g").alias("eg"))
+    pairs = passages.select("did", "th", "total", "at", "h", "g", "size", "words", F.explode("partners").alias("e")).select("e.edid", "e.eth", "did", "th", "total", "at", "h", "g", "size", "words")
+    earlier = passages.select(F.col("did").alias("edid"), F.col("th").alias("eth"), F.col("total").alias("etotal"), F.col("at").alias("eat"), F.col("h").alias("eh"), F.col("g").alias("eg"))
 
     def lines_of(at: pa.ListScalar, h: pa.ListScalar, g: pa.ListScalar) -> dict[int, object]:
         return dict(zip(at.values.to_numpy().tolist(), zip(h.values.to_numpy().tolist(), g.values.to_numpy().tolist(), strict=True), strict=True))
@@ -321,25 +327,30 @@ def aligned_blocks(texts: DataFrame, min_lines: int = MIN_LINES, min_bytes: int
         # The join brings the pairs of one earlier text one after the other.
         known, other = None, {}
         for batch in batches:
-            row, found = [], []
-            for i, (edid, eth, at, h, g, size, eat, eh, eg) in enumerate(zip(*(batch.column(k) for k in (0, 1, 4, 5, 6, 7, 8, 9, 10)), strict=True)):
+            row, found, near = [], [], []
+            for i, (edid, eth, at, h, g, size, eat, eh, eg, words, total, etotal) in enumerate(zip(*(batch.column(k) for k in (0, 1, *range(4, 14))), strict=True)):
                 if (key := (edid.as_py(), eth.as_py())) != known:
                     known, other = key, lines_of(eat, eh, eg)
                 later = lines_of(at, h, g)
-                own = shared_blocks(later, other, dict(zip(later, size.values.to_numpy().tolist(), strict=True)), min_lines, min_bytes)
+                sizes = dict(zip(later, size.values.to_numpy().tolist(), strict=True))
+                own = shared_blocks(later, other, sizes, min_lines, min_bytes)
+                said = dict(zip(later, words.values.to_numpy().tolist(), strict=True))
+                # Runs of five words within the blocks: none of the first four words of a block ends one.
+                both = sum(said[p] for p in {p + k for p, _, n in own for k in range(n)}) - 4 * len(own)
                 row += [i] * len(own)
                 found += own
+                near += [both > 0 and COPY_UNDER * both >= COPY_OVER * (total.as_py() + etotal.as_py() - 8 - both)] * len(own)
             take = pa.array(row, pa.int64())
             ends = [batch.column(k).take(take) for k in (2, 3, 0, 1)]
-            yield pa.RecordBatch.from_arrays(ends + [pa.array([x[k] for x in found], pa.int32()) for k in range(3)], names=["did", "th", "edid", "eth", "start", "estart", "n"])
+            yield pa.RecordBatch.from_arrays(ends + [pa.array([x[k] for x in found], pa.int32()) for k in range(3)] + [pa.array(near, pa.bool_())], names=["did", "th", "edid", "eth", "start", "estart", "n", "near"])
 
-    ordered = ["edid", "eth", "did", "th", "at", "h", "g", "size", "eat", "eh", "eg"]
+    ordered = ["edid", "eth", "did", "th", "at", "h", "g", "size", "eat", "eh", "eg", "words", "total", "etotal"]
     return pairs.join(earlier, ["edid", "eth"]).select(*ordered).mapInArrow(run, _ALIGNED)
 
 
 def _cut(texts: DataFrame, found: DataFrame, carry: bool = False) -> DataFrame:
-    columns = ["did", "text", "spans", "marked"] + ["row"] * carry
-    schema = T.StructType.fromDDL(_KEPT).add("marked", "boolean")
+    columns = ["did", "text", "spans", "near_copy"] + ["row"] * carry
+    schema = T.StructType.fromDDL(_KEPT).add("near_copy", "boolean")
     if carry:
         schema.add("row", texts.schema["row"].dataType)
 
@@ -367,21 +378,14 @@ def _cut(texts: DataFrame, found: DataFrame, carry: bool = False) -> DataFrame:
     return texts.join(found, ["did", "th"], "left").select(*columns).mapInArrow(run, schema)
 
 
-def remove_shared_blocks(
-    docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, marked: DataFrame | None = None
-) -> DataFrame:
-    """``doc_id, n_lines, n_removed, n_blocks, n_bytes, kept_text, marked``, a row for each row of docs.
+def remove_shared_blocks(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """``doc_id, n_lines, n_removed, n_blocks, n_bytes, kept_text, near_copy``, a row for each row of docs.
 
-    ``n_bytes`` is the size before the cut; ``carry`` adds the columns of docs other than the text, in a struct ``row``.
-    marked: a frame with ids in ``id_col``; true for documents that lose lines and are among them."""
+    ``n_bytes`` is the size before the cut; ``near_copy``: the lines that one earlier document alone shares with it hold
+    three quarters of the runs of five words of both; ``carry`` adds the columns of docs other than the text, in a struct ``row``."""
     texts = keyed(docs, id_col, text_col, carry)
     # Repeated rows are one text.
     found = aligned_blocks(once(texts)[0].select("did", "th", "text"), min_lines, min_bytes)
-    spans = found.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    some = F.lit(False)
-    if marked is not None:
-        ids = marked.select(F.col(id_col).cast("long").alias("did")).filter("did is not null").distinct().withColumn("hit", F.lit(True))
-        spans, some = spans.join(ids, "did", "left"), F.coalesce("hit", F.lit(False))
-    spans = spans.select("did", "th", "spans", some.alias("marked"))
+    spans = found.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.max("near").alias("near_copy"))
     kept = _cut(texts, spans, carry)
-    return kept.select(id_back(F.col("did")).alias("doc_id"), "n_lines", "n_removed", "n_blocks", "n_bytes", "kept_text", F.coalesce("marked", F.lit(False)).alias("marked"), *["row"] * carry)
+    return kept.select(id_back(F.col("did")).alias("doc_id"), "n_lines", "n_removed", "n_blocks", "n_bytes", "kept_text", F.coalesce("near_copy", F.lit(False)).alias("near_copy"), *["row"] * carry)

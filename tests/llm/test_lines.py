@@ -84,7 +84,7 @@ def _patience(a, b):
 
 def _result(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as did", "2 as h", "3 as at", "4 as th", "5 as partners")
-    return sorted((tuple(r) for r in lines.remove_shared_blocks(df).collect()), key=repr)
+    return sorted((tuple(r) for r in lines.remove_shared_blocks(df).drop("near_copy").collect()), key=repr)
 
 
 def _random_rows(seed):
@@ -190,6 +190,15 @@ def test_hash_columns_and_carried_row(spark):
     assert sorted((r[0], r[1], r[2]) for r in got) == [(1, 0, "x"), (2, 2, None)]
 
 
+def test_near_copies(spark):
+    line = lambda n, k=10: " ".join(f"w{n}x{i}" for i in range(k))
+    base = [line(n) for n in range(12)]
+    rows = [(1, base), (2, [*base[:4], line(90), *base[5:]]), (3, [*base[:4], line(91), *base[5:8], line(92), *base[9:]]), (4, [*base, line(93, 200)]), (5, base)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {r["doc_id"]: (r["near_copy"], r["n_removed"]) for r in lines.remove_shared_blocks(df).collect()}
+    assert got == {1: (False, 0), 2: (True, 11), 3: (False, 10), 4: (False, 12), 5: (True, 12)}
+
+
 def _longest(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

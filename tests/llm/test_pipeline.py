@@ -102,7 +102,7 @@ def test_near_copies_leave_no_stumps(spark, tmp_path):
 
 def test_own_text_stays_however_much_is_shared(spark):
     shared = [f"shared line number {i} of a long passage" for i in range(1400)]
-    own = [f"own line number {i} that no other document holds anywhere {i * i}" for i in range(300)]
+    own = [f"own line number {i} that no other document holds anywhere, with some words more {i * i}" for i in range(300)]
     rows = [(1, "\n".join(shared)), (2, "\n".join(shared + own)), (3, "\n".join(["short own line", *shared[:50]]))]
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     cut = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
