@@ -27,11 +27,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has go from the later one; what is left of it stays.
 
-    A document that loses all its lines goes. So does a near copy of an earlier document that loses lines: near copies
-    are linked on whole texts, before the cut, as the few words that are left of one would match nothing later on."""
-    linked = stored(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-copies")
-    cut = remove_shared_blocks(docs, carry=True, marked=linked)
-    cut = cut.filter(((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))) & ~F.col("marked"))
+    A document that loses all its lines goes. So does a near copy of a single earlier document, if their common
+    lines alone hold three quarters of the five-word runs of both: what is left would match nothing later on."""
+    cut = remove_shared_blocks(docs, carry=True)
+    cut = cut.filter(((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))) & ~F.col("near_copy"))
     columns = []
     for c in docs.columns:
         if c == "text":
