@@ -327,3 +327,27 @@ def test_values_at_places(spark):
         v = sorted(x for k, x in rows if k == g and x is not None)
         assert got[g] == (len(v), v[int(0.95 * (len(v) - 1))], v[len(v) // 2], v[int((len(v) - 1) * 0.9 + 0.5)])
     assert R.values_at(df.filter("false"), [], "v", {"a": R.upper_place}).first()["a"] is None
+
+
+def test_scores_need_no_exchange_of_postings(spark):
+    units = spark.createDataFrame([(i, f"a b{i % 7} c c d{i % 3}") for i in range(60)], "ord long, text string")
+    index = V.build_index(units)
+    terms = V.query_terms(spark.createDataFrame([(1, "a c c"), (2, "b1 d2 zz")], "qid long, text string"), "qid", "text")
+    hits = V.top_hits(V.bm25(index, terms), 5)
+    plan = hits._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "hashpartitioning(qid" in plan and "hashpartitioning(term" not in plan.split("BroadcastExchange")[0]
+    many, V.SUITE_TERMS = V.SUITE_TERMS, 1
+    try:
+        plain = sorted(map(tuple, V.top_hits(V.bm25(index, terms), 5).collect()))
+    finally:
+        V.SUITE_TERMS = many
+    assert sorted(map(tuple, hits.collect())) == plain and len(plain) == 10
+
+
+def test_stored_frames_are_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.sources.scratch import stored
+
+    frame = stored(spark.range(3).select("id", F.rand().alias("x")), "once")
+    assert frame.collect() == frame.collect() and frame.columns == ["id", "x"]
