@@ -329,6 +329,17 @@ def test_values_at_places(spark):
     assert R.values_at(df.filter("false"), [], "v", {"a": R.upper_place}).first()["a"] is None
 
 
+def test_siblings_are_cut_by_source_before_the_join(spark):
+    # Source a begins with 70 gold units, unit 3 also lies in b; the first 64 others are still found whole.
+    units = spark.createDataFrame([(o, "a") for o in range(300)] + [(o, "b") for o in range(500, 900)] + [(3, "b")], "ord long, source string")
+    gold = spark.createDataFrame([(1, o, "a") for o in range(70)] + [(2, 510, "b")], "qid long, ord long, source string")
+    near = E.sibling_units(gold, units)
+    assert near.count() == 70 + 64 + 64 + 1
+    whole = gold.select("qid", "source").distinct().join(units, "source")
+    got, want = (sorted(map(tuple, E.hard_negatives(df, gold).collect())) for df in (near, whole))
+    assert got == want and len(got) == 128
+
+
 def test_scores_need_no_exchange_of_postings(spark):
     units = spark.createDataFrame([(i, f"a b{i % 7} c c d{i % 3}") for i in range(60)], "ord long, text string")
     index = V.build_index(units)
