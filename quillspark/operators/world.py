@@ -34,10 +34,47 @@ def visibility(facts: DataFrame, members: DataFrame) -> DataFrame:
     return alone.unionByName(group).distinct()
 
 
+def visibility_classes(facts: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``id, class``, ``class, person``): ``visibility`` without a row for each fact and person.
+
+    A fact's class is the set of persons and channels that it is told to, so facts told alike share one row a person."""
+    told = facts.filter(~F.col("retracted") & F.col("audience").isin("self", "channel")).select("id", F.struct("audience", "ref").alias("_to"))
+    classes = told.groupBy("id").agg(F.array_sort(F.collect_set("_to")).alias("class"))
+    to = classes.select("class").distinct().select("class", F.explode("class").alias("_to")).select("class", "_to.*")
+    alone = to.filter("audience = 'self'").select("class", F.col("ref").alias("person"))
+    group = to.filter("audience = 'channel'").join(members, F.col("ref") == F.col("channel")).select("class", "person")
+    return classes, alone.unionByName(group).distinct()
+
+
+def seen_counts(facts: DataFrame, members: DataFrame) -> DataFrame:
+    """``person, facts``: how many facts each person sees, the world's left out as in ``visibility``."""
+    classes, viewers = visibility_classes(facts, members)
+    sizes = classes.groupBy("class").agg(F.count("*").alias("_n"))
+    return viewers.join(sizes, "class").groupBy("person").agg(F.sum("_n").alias("facts"))
+
+
+def leak_counts(facts: DataFrame, members: DataFrame) -> DataFrame:
+    """``point, leaks``: pairs of a fact and a person that sees its id, though the fact is another's alone (alone), is
+    retracted, or is for a channel that the person takes no part in (outsider)."""
+    classes, viewers = visibility_classes(facts, members)
+    # Facts are counted by class and audience first; persons come to the counts, not to the facts.
+    kinds = facts.join(classes, "id").groupBy("class", "audience", "ref", "retracted").agg(F.count("*").alias("_n"))
+    told = lambda where: kinds.filter(where).groupBy("class", "ref").agg(F.sum("_n").alias("_n")).join(viewers, "class")
+    sizes = viewers.groupBy("class").agg(F.count("*").alias("_seen"))
+    found = {
+        "alone": told("audience = 'self'").filter("person <> ref"),
+        "retracted": kinds.filter("retracted").join(sizes, "class").withColumn("_n", F.col("_n") * F.col("_seen")),
+        "outsider": told("audience = 'channel'").join(members.select(F.col("channel").alias("ref"), "person"), ["ref", "person"], "left_anti"),
+    }
+    sums = [df.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("leaks")).withColumn("point", F.lit(point)) for point, df in found.items()]
+    return sums[0].unionByName(sums[1]).unionByName(sums[2])
+
+
 def shared_visible(facts: DataFrame, members: DataFrame, channel: int) -> DataFrame:
     """Facts that every participant sees; a channel without participants sees the world's only."""
     group = members.filter(F.col("channel") == channel).select("person").distinct()
-    all_see = R.seen_by_all(visibility(facts, members), "id", "person", group)
+    classes, viewers = visibility_classes(facts, members)
+    all_see = classes.join(R.seen_by_all(viewers, "class", "person", group), "class", "left_semi").select("id")
     world = facts.filter(~F.col("retracted") & (F.col("audience") == "world")).select("id")
     return world.unionByName(all_see)
 
@@ -63,14 +100,14 @@ def quota_history(spends: DataFrame, by: list[str], limit: int, quiet: int) -> D
 
     Costs, ``limit`` and ``quiet`` (where the quiet band begins) are whole numbers of one unit; rows without a cost don't
     count. Release is when the hour's sum falls below the band's mark again; null in the open band. An hour's rows are
-    read with the hour before it, so no window holds more than two hours of a key."""
+    read with the hour before it, so no window holds more than two hours of a key, and no frame more rows than a mark."""
     if not 0 < quiet <= limit:
         raise ValueError("the marks must be above zero, and the quiet one not above the limit")
     at = spends.filter(F.col("cost") > 0).groupBy(*by, "ms").agg(F.sum("cost").cast("long").alias("cost"))
     cell = F.expr(f"ms div {HOUR_MS}")
-    both = at.select("*", F.explode(F.array(cell, cell + 1)).alias("_cell"))
     own = Window.partitionBy(*by, "_cell")
-    run = both.withColumn("_run", F.sum("cost").over(own.orderBy("ms"))).withColumn("used", F.sum("cost").over(own.orderBy("ms").rangeBetween(1 - HOUR_MS, 0)))
+    run = R.rolling_sum(at, "ms", "cost", HOUR_MS, by).withColumnRenamed("rolling", "used")
+    run = run.select("*", F.explode(F.array(cell, cell + 1)).alias("_cell")).withColumn("_run", F.sum("cost").over(own.orderBy("ms")))
     # The sum falls below a mark once it has lost the first row whose running sum is less than the mark behind.
     first = {mark: F.min("ms").over(own.orderBy("_run").rangeBetween(1 - mark, 0)) + HOUR_MS for mark in (limit, quiet)}
     band = F.when(F.col("used") >= limit, "exhausted").when(F.col("used") >= quiet, "quiet").otherwise("open")

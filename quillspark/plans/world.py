@@ -62,7 +62,7 @@ def v02(t: Tables) -> DataFrame:
 
 @query("v03_candidates", f"WITH {FACTS}, sees AS ({_SEES}) SELECT person, count(*) AS facts FROM sees GROUP BY person")
 def v03(t: Tables) -> DataFrame:
-    return W.visibility(facts_of(t), members_of(t)).groupBy("person").agg(F.count("*").alias("facts"))
+    return W.seen_counts(facts_of(t), members_of(t))
 
 
 # Memories stand for sentences: a turn is a wrap-up of its conversation, each fourth sentence a commitment (due unless
@@ -133,12 +133,7 @@ def v09(t: Tables) -> DataFrame:
 
 @query("v10_leak_checks", f"WITH {FACTS}, sees AS ({_SEES}) SELECT 'alone' AS point, count(*) AS leaks FROM sees s JOIN facts f USING (id) WHERE f.audience = 'self' AND s.person <> f.ref UNION ALL SELECT 'retracted', count(*) FROM sees s JOIN facts f USING (id) WHERE f.retracted UNION ALL SELECT 'outsider', count(*) FROM sees s JOIN facts f USING (id) WHERE f.audience = 'channel' AND NOT EXISTS (SELECT 1 FROM members m WHERE m.channel = f.ref AND m.person = s.person)")
 def v10(t: Tables) -> DataFrame:
-    facts, members = facts_of(t), members_of(t)
-    seen = W.visibility(facts, members).join(facts, "id")
-    alone = seen.filter("audience = 'self' and person <> ref").agg(F.count("*").alias("leaks")).withColumn("point", F.lit("alone"))
-    retracted = seen.filter("retracted").agg(F.count("*").alias("leaks")).withColumn("point", F.lit("retracted"))
-    outside = seen.filter("audience = 'channel'").join(members.withColumnRenamed("channel", "ref"), ["ref", "person"], "left_anti").agg(F.count("*").alias("leaks")).withColumn("point", F.lit("outsider"))
-    return alone.unionByName(retracted).unionByName(outside)
+    return W.leak_counts(facts_of(t), members_of(t))
 
 
 @query("v11_bonds", "SELECT author AS person, min(ms) AS first_seen, max(ms) AS last_seen, count(*) AS words FROM message GROUP BY 1")

@@ -362,3 +362,31 @@ def test_stored_frames_are_computed_once(spark):
 
     frame = stored(spark.range(3).select("id", F.rand().alias("x")), "once")
     assert frame.collect() == frame.collect() and frame.columns == ["id", "x"]
+
+
+def test_visibility_is_counted_by_class(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(25)]), rng.choice(["world", "self", "channel"]), rng.choice([None, 0, 1, 2, 3]), rng.random() < 0.2) for _ in range(80)]
+    facts = spark.createDataFrame(rows, "id long, audience string, ref long, retracted boolean")
+    pairs = [(rng.randint(0, 3), rng.randint(0, 5)) for _ in range(12)]
+    members = spark.createDataFrame(pairs, "channel long, person long")
+    seen = {tuple(r) for r in W.visibility(facts, members).collect()}
+    counts = {r["person"]: r["facts"] for r in W.seen_counts(facts, members).collect()}
+    assert counts == {p: sum(q == p for _, q in seen) for p in {p for _, p in seen}}
+    met = [(r, p) for i, p in seen if i is not None for r in rows if r[0] == i]
+    leaks = {
+        "alone": sum(r[1] == "self" and None not in (p, r[2]) and p != r[2] for r, p in met),
+        "retracted": sum(r[3] for r, _ in met),
+        "outsider": sum(r[1] == "channel" and (r[2], p) not in pairs for r, p in met),
+    }
+    assert {r["point"]: r["leaks"] for r in W.leak_counts(facts, members).collect()} == leaks and all(leaks.values())
+    for channel in (0, 1, 9):
+        group = {p for c, p in pairs if c == channel}
+        shared = [i for i in {i for i, _ in seen} if group and group <= {p for j, p in seen if j == i}]
+        want = sorted([str(i) for i in shared] + [str(r[0]) for r in rows if r[1] == "world" and not r[3]])
+        assert sorted(str(r["id"]) for r in W.shared_visible(facts, members, channel).collect()) == want
+    # Two facts of one audience share a class: nothing holds a row for each fact and person.
+    same = spark.createDataFrame([(i, "channel", 1, False) for i in range(50)], "id long, audience string, ref long, retracted boolean")
+    assert W.visibility_classes(same, members)[1].count() == len({p for c, p in pairs if c == 1})
