@@ -256,15 +256,24 @@ def macro_average(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def rolling_sum(df: DataFrame, at: str, value: str, span_ms: int, by: list[str] | None = None) -> DataFrame:
-    """Sum over (at - span, at]; without ``by`` the frame is cut into spans first, so no task sees all rows."""
-    if by:
-        w = Window.partitionBy(*by).orderBy(at).rangeBetween(-(span_ms - 1), 0)
-        return df.withColumn("rolling", F.sum(value).over(w))
-    # A row belongs to its own span and, as history, to the next one.
-    cells = df.withColumn("_cell", F.floor(F.col(at) / span_ms)).withColumn("_old", F.lit(False))
-    history = cells.withColumn("_cell", F.col("_cell") + 1).withColumn("_old", F.lit(True))
-    w = Window.partitionBy("_cell").orderBy(at).rangeBetween(-(span_ms - 1), 0)
-    return cells.unionByName(history).withColumn("rolling", F.sum(value).over(w)).filter("not _old").drop("_cell", "_old")
+    """Sum of whole numbers over (at - span, at]; instants are cut into spans first, so no task sees all rows.
+
+    Values add up within each instant. In its own span an instant's sum counts from there on, in the next one from the
+    start until a span after it: running sums of these changes are the rolling ones, however dense the rows."""
+    by = by or []
+    cell = F.expr(f"floor({at} / {span_ms})")
+    sums = df.groupBy(*by, at).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    change = lambda c, when, sign, real: F.struct(c.alias("_cell"), when.cast("long").alias("_at"), (sign * F.col("_sum")).alias("_sum"), (sign * F.col("_n")).alias("_n"), F.lit(real).alias("_real"))
+    changes = F.array(change(cell, F.col(at), 1, True), change(cell + 1, (cell + 1) * span_ms, 1, False), change(cell + 1, F.col(at) + span_ms, -1, False))
+    dealt = sums.select(*by, F.explode(changes).alias("_c")).select(*by, "_c.*")
+    w = Window.partitionBy(*by, "_cell").orderBy("_at")  # rows of one instant count together
+    run = dealt.withColumn("rolling", F.sum("_sum").over(w)).withColumn("_some", F.sum("_n").over(w)).filter("_real")
+    # Without a value in the frame the sum is null, as in a window.
+    told = run.select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], "_at", F.when(F.col("_some") > 0, F.col("rolling")).alias("rolling"))
+    same = F.col(at).eqNullSafe(F.col("_at"))
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    return df.join(told, same, "left").drop("_at", *[f"_b{i}" for i in range(len(by))])
 
 
 def dense_ordinal(df: DataFrame, order: list[str], name: str, parts: str) -> DataFrame:

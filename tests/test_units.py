@@ -390,3 +390,23 @@ def test_visibility_is_counted_by_class(spark):
     # Two facts of one audience share a class: nothing holds a row for each fact and person.
     same = spark.createDataFrame([(i, "channel", 1, False) for i in range(50)], "id long, audience string, ref long, retracted boolean")
     assert W.visibility_classes(same, members)[1].count() == len({p for c, p in pairs if c == 1})
+
+
+def test_rolling_sums_of_dense_instants(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice("ab"), rng.choice([None, *range(-30, 90)]), rng.choice([None, 0, 1, 5])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, ms long, cost long")
+    for by in (None, ["k"]):
+        made = R.rolling_sum(df, "ms", "cost", 20, by)
+        assert "RangeFrame, -" not in made._jdf.queryExecution().toString()
+
+        def held(a, b, by=by):
+            return (not by or a[1] == b[1]) and (a[2] is b[2] is None or (None not in (a[2], b[2]) and a[2] - 20 < b[2] <= a[2]))
+
+        want = {}
+        for a in rows:
+            values = [b[3] for b in rows if b[3] is not None and held(a, b)]
+            want[a[0]] = sum(values) if values else None
+        assert {r["id"]: r["rolling"] for r in made.collect()} == want
