@@ -410,3 +410,9 @@ def test_rolling_sums_of_dense_instants(spark):
             values = [b[3] for b in rows if b[3] is not None and held(a, b)]
             want[a[0]] = sum(values) if values else None
         assert {r["id"]: r["rolling"] for r in made.collect()} == want
+
+
+def test_equal_names_are_compared_once(spark):
+    names = spark.createDataFrame([("a", "red ring"), ("a", "red ring"), ("a", "red rink"), ("a", None), ("b", "red ring")], "g string, n string")
+    got = {(r["_group"], r["_x"], r["_y"]): r["similar"] for r in X.similar_names(names, "g", "n").collect()}
+    assert len(got) == 10 and got["a", "red ring", "red ring"] == 100 and got["a", "red ring", "red rink"] == got["a", "red rink", "red ring"] == 71
