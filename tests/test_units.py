@@ -416,3 +416,11 @@ def test_equal_names_are_compared_once(spark):
     names = spark.createDataFrame([("a", "red ring"), ("a", "red ring"), ("a", "red rink"), ("a", None), ("b", "red ring")], "g string, n string")
     got = {(r["_group"], r["_x"], r["_y"]): r["similar"] for r in X.similar_names(names, "g", "n").collect()}
     assert len(got) == 10 and got["a", "red ring", "red ring"] == 100 and got["a", "red ring", "red rink"] == got["a", "red rink", "red ring"] == 71
+
+
+def test_runs_without_an_alias_are_not_dealt_out(spark):
+    aliases = spark.createDataFrame([("LX", "Lex"), ("Ann", "Anna"), ("A N", "Anna"), ("Nil", None)], "alias string, target string")
+    queries = spark.createDataFrame([(1, "LX and LX"), (2, "Ann, A N"), (3, "LX Ann"), (4, "Nil"), (5, "Nil LX")], "qid long, text string")
+    found = V.resolve_inside(queries, aliases)
+    assert sorted(map(tuple, found.collect())) == [(1, "Lex"), (2, "Anna"), (5, "Lex")]
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString() and "hashpartitioning(qid#" in found._jdf.queryExecution().toString().split("BroadcastHashJoin")[0]
