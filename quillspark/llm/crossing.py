@@ -10,7 +10,7 @@ Counts: how many documents hold an id pair linked. Documents are taken in batche
 (a longer one alone). A batch holds its distinct pairs once, with the number of its documents that have them, and each
 document points into that list. So what is shuffled and joined is a row for each distinct pair of a batch, not of a
 document, and no pair can be hot: it has one row a batch, and sums combine before the shuffle. Batches are written
-first, so texts are encoded once.
+first, so texts are encoded once; each is a row group of its own, so a task holds one, however many its file has.
 
 Cases: texts that are null or empty, or whose joined token bytes differ from the text behind a space (a literal
 U+2581, say), have no tokens: zeros and an empty digest; special tokens' strings are plain text; rows with a null id or
@@ -210,7 +210,7 @@ def align_tokenizers(
 ) -> DataFrame:
     """A row for each row of docs: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``."""
     bounded_batches(docs.sparkSession)
-    batches = stored(_batched(docs, vocabulary_a, vocabulary_b, batch_bytes, id_col, text_col), "token-batches")
+    batches = stored(_batched(docs, vocabulary_a, vocabulary_b, batch_bytes, id_col, text_col), "token-batches", group_rows=1)
     pairs = batches.select("batch", F.explode(F.arrays_zip("a", "b", "docs")).alias("x")).select("batch", "x.*")
     counts = pairs.groupBy("a", "b").agg(F.sum("docs").alias("count"))
     # An A id has no more pairs than B has ids.

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -95,3 +96,15 @@ def test_stretches_give_the_same_cuts():
     for stretch in (1, 7, 100):
         again = crossing.common_ends(*ends, stretch)
         assert all((x == y).all() for x, y in zip(again, found[2:4], strict=True))
+
+
+def test_a_reader_meets_one_batch_at_once(spark, monkeypatch):
+    kept, made = crossing.stored, {}
+    monkeypatch.setattr(crossing, "stored", lambda df, name, **how: made.setdefault(name, kept(df, name, **how)))
+    rows = [*enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = crossing.align_tokenizers(df, batch_bytes=20)
+    assert sorted(map(tuple, out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()), key=str) == _brute(rows)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made["token-batches"].inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert len(groups) > len(files) and set(groups) == {1}
