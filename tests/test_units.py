@@ -424,3 +424,45 @@ def test_runs_without_an_alias_are_not_dealt_out(spark):
     found = V.resolve_inside(queries, aliases)
     assert sorted(map(tuple, found.collect())) == [(1, "Lex"), (2, "Anna"), (5, "Lex")]
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString() and "hashpartitioning(qid#" in found._jdf.queryExecution().toString().split("BroadcastHashJoin")[0]
+
+
+def _pairs_by_sql(folder):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    db = duckdb.connect()
+    db.execute(f"create view part as select * from '{folder}/part.parquet/*.parquet'")
+    return sorted(db.execute(entry.oracle_sql()["v05_similarity"]).fetchall(), key=str)
+
+
+def test_similarity_of_odd_names_is_that_of_the_sql(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    names = ["red ring", "Red ring", "red-ring", "a", "a", "", None, None, "a b", "ab", "é è", "red ring"]
+    parts = [(i, n, b) for b in ("x", "y", None) for i, n in enumerate(names, 100 * len(b or ""))]
+    parts += [(None, "red ring", "x"), (101, "red rink", "x"), (101, "red ring", "x")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = entry.queries()["v05_similarity"](spark, str(tmp_path)).select("a", "b", "similar").collect()
+    assert sorted(map(tuple, got), key=str) == _pairs_by_sql(tmp_path)
+
+
+@pytest.mark.parametrize("block,near", [(1, 1), (3, 10), (1000, 7), (4, 1000)])
+def test_similar_pairs_in_blocks_of_any_size(spark, block, near):
+    names = ["red ring", "red rink", "a", None]
+    rows = [("g" if i % 7 else "h", names[(i * i) % 4 if i % 3 else 0], i) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, n string, k long")
+    alike = {("red ring", "red rink"): 71, ("red ring", "a"): 0, ("red rink", "a"): 0, ("a", "a"): 0}
+    want = [(i, j, None if n is None else 0 if m is None else alike.get((n, m), alike.get((m, n), 100))) for g, n, i in rows for h, m, j in rows if g == h and i < j]
+    got = R.similar_pairs(df, "g", "n", "k", block=block, near=near).select("a", "b", "similar").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_similar_pairs_arise_only_as_rows_of_the_result(spark):
+    rows = [("g", "red ring" if i % 2 else "red rink", i) for i in range(400)]
+    made = R.similar_pairs(spark.createDataFrame(rows, "g string, n string, k long"), "g", "n", "k", block=32, near=100)
+    assert made.count() == 400 * 399 // 2
+    plan = made._jdf.queryExecution().toString()
+    # Explosions stand above the last shuffle and join: below them are blocks.
+    top = plan[plan.index("== Physical Plan ==") :]
+    assert top.count("SortMergeJoin") and top.index("Generate explode") < top.index("SortMergeJoin") < top.index("Exchange")
